@@ -79,7 +79,7 @@ def luhn(digits: Column) -> Column:
         return F.struct((acc["sum"] + F.when(acc["odd"], twice).otherwise(d)).alias("sum"), (~acc["odd"]).alias("odd"))
 
     zero = F.struct(F.lit(0).alias("sum"), F.lit(False).alias("odd"))
-    return F.aggregate(F.split(F.reverse(digits), "(?!^)"), zero, step, lambda acc: acc["sum"] % 10 == 0)
+    return F.aggregate(F.split(F.reverse(digits), "(?!^)(?=.)"), zero, step, lambda acc: acc["sum"] % 10 == 0)
 
 
 def mod97(iban: Column) -> Column:
@@ -90,7 +90,7 @@ def mod97(iban: Column) -> Column:
         code = F.ascii(c)
         return F.when(code < 58, (acc * 10 + code - 48) % 97).otherwise((acc * 100 + code - 55) % 97)
 
-    return F.aggregate(F.split(turned, "(?!^)"), F.lit(0), step) == 1
+    return F.aggregate(F.split(turned, "(?!^)(?=.)"), F.lit(0), step) == 1
 
 
 def confirmed(kind: str, m: Column) -> Column:

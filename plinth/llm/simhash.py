@@ -202,5 +202,25 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, size: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: one of the smallest id.
+
+    A component whose rows all lack an id keeps one of them.
+    """
+    common.shared_dir(docs.sparkSession)
+    key = F.xxhash64(docs[text_col], F.lit(1))
+    prints = fingerprints(docs.select(F.struct(docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id"), F.coalesce(key, F.lit(0)).alias("key")).alias("row"), docs[text_col].alias("text")), "row", "text", size).checkpoint()
+    found = components(prints, radius)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.id").alias("_id"), F.col("doc_id.key").alias("_key"))
+    # Rows that agree in id and text are one row here.
+    repeated = kept.groupBy("_id", "_key").agg(F.count("*").alias("_n")).checkpoint()
+    on = docs[id_col].eqNullSafe(F.col("_id")) & F.coalesce(key, F.lit(0)).eqNullSafe(F.col("_key"))
+    once = docs.join(repeated.where("_n = 1"), on, "left_semi")
+    more = repeated.where("_n > 1")
+    if more.isEmpty():
+        return once
+    return once.unionByName(docs.join(more, on, "left_semi").dropDuplicates([id_col, text_col]))
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(common.table(spark, sf_dir, "documents"))
