@@ -66,13 +66,17 @@ def fingerprint(words: list[bytes], size: int = SHINGLE, seed: int = SEED) -> in
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) for each row of ``docs``; null texts have no words."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int | None = SHINGLE) -> DataFrame:
+    """doc_id and fp (the fingerprint as a signed long) for each row of ``docs``; null texts have no words.
+
+    Without a ``size``, the features are the distinct words.
+    """
     common.prepare(docs.sparkSession)
     schema = T.StructType([common.id_field(docs, id_col), T.StructField("fp", T.LongType())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        made = np.array([fingerprint(t.lower().split(), size) for t in common.utf8(batch.column("text"))], dtype=np.uint64)
+        words = (t.lower().split() for t in common.utf8(batch.column("text")))
+        made = np.array([fingerprint(w, size) if size else fingerprint(sorted(set(w)), 1) for w in words], dtype=np.uint64)
         return {"doc_id": batch.column("doc_id"), "fp": pa.array(made.view(np.int64))}
 
     return common.map_arrow(common.id_text(docs, id_col, text_col), run, schema)
@@ -202,7 +206,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, size: int | None, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component, with all its columns: one of the smallest id.
 
     A component whose rows all lack an id keeps one of them.

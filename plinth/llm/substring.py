@@ -9,6 +9,9 @@ anchor whose hash occurs twice; only such windows are looked at further.  There,
 anchors are extended to all windows around them, whose own 128-bit hashes are
 grouped, and every window that isn't the first of its group is removed.
 
+Exact copies of whole documents are found first by their texts' hashes and need
+neither anchors nor windows.
+
 Anchors and windows are sorted by their hashes on disk and streamed; a hash that
 occurs in any number of places needs no more memory than another.
 """
@@ -66,6 +69,15 @@ class Words:
         return mixed(h)
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """The ids (column doc) of documents whose whole text is that of a smaller id: all their windows start earlier."""
+    hashed = docs.select("doc", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g"))
+    first = hashed.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    # An id with several texts is left to the windows.
+    single = hashed.groupBy("doc").agg(F.min("h").alias("h"), F.min("g").alias("g"), F.max("h").alias("h2"), F.max("g").alias("g2")).where("h = h2 AND g = g2")
+    return single.join(first, ["h", "g"]).where(F.col("doc") > F.col("first")).select("doc")
+
+
 def anchors(docs: DataFrame) -> DataFrame:
     cover = np.isin(np.arange(PERIOD), COVER)
 
@@ -174,15 +186,21 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest
     parts = common.parts_for(spark)
     read = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     dealt = read.repartition(parts, "doc")
-    at = repeated(anchors(read)).groupBy("doc").agg(F.collect_list("pos").alias("at"))
+    copied = copies(read)
+    own = dealt.join(copied.hint("shuffle_hash"), "doc", "left_anti")
+    at = repeated(anchors(own)).groupBy("doc").agg(F.collect_list("pos").alias("at"))
     found = later(windows(dealt.join(at.hint("shuffle_hash"), "doc"))).groupBy("doc").agg(F.collect_list("pos").alias("at"))
+    marked = found.select("doc", "at", F.lit(False).alias("copy")).unionByName(copied.select("doc", F.lit(None).cast("array<int>").alias("at"), F.lit(True).alias("copy")))
 
     def cut(batch: pa.RecordBatch) -> dict:
         out: dict = {"doc_id": [], "n_words": [], "n_removed": [], "kept": []}
-        lists = batch.column("at")
+        lists, copy = batch.column("at"), batch.column("copy").to_pylist()
         for i, (doc, text) in enumerate(zip(batch.column("doc").to_pylist(), common.utf8(batch.column("text")))):
             words, gone = text.split(), 0
-            if lists[i].is_valid:
+            if copy[i]:
+                if len(words) >= WINDOW:
+                    words, gone = [], len(words)
+            elif lists[i].is_valid:
                 starts = lists[i].values.to_numpy(zero_copy_only=False)
                 starts = starts[starts <= len(words) - WINDOW]
                 marks = np.zeros(len(words) + 1, dtype=np.int32)
@@ -198,7 +216,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest
             out["kept"].append(hashlib.sha256(text).hexdigest().encode() if digest else text)
         return out
 
-    return common.map_arrow(dealt.join(found.hint("shuffle_hash"), "doc", "left"), cut, _KEPT)
+    return common.map_arrow(dealt.join(marked.hint("shuffle_hash"), "doc", "left"), cut, _KEPT)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
