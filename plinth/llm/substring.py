@@ -6,7 +6,7 @@ of two cover elements, so for two equal windows of ``WINDOW`` words, wherever
 they start, some offset below the period puts both on cover positions, and the
 anchor there lies within both.  A window that starts a repeat thus always has an
 anchor whose hash occurs twice; only such windows are looked at further.  There,
-anchors are extended to all windows around them, whose own 128-bit hashes are
+anchors are extended to all windows around them, whose own 96-bit hashes are
 grouped, and every window that isn't the first of its group is removed.
 
 Exact copies of whole documents are found first by their texts' hashes and need
@@ -32,12 +32,13 @@ from plinth.llm import common
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
+HIGH = np.uint64(0xFFFFFFFF00000000)
 #: Stands for a null id, which comes before all others.
 NULL_ID = -(1 << 63)
 
 _ANCHORS = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("pos", T.IntegerType())])
 _PLACES = T.StructType([T.StructField("doc", T.LongType()), T.StructField("pos", T.IntegerType())])
-_WINDOWS = T.StructType([T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("pos", T.IntegerType())])
+_WINDOWS = T.StructType([T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), T.StructField("doc", T.LongType())])
 
 
 def multipliers(seed: int, n: int) -> np.ndarray:
@@ -123,7 +124,10 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 
 def windows(places: DataFrame) -> DataFrame:
-    """Hashes and places of all windows that hold an anchor of ``places`` (doc, text, at: anchor positions)."""
+    """Hashes and places of all windows that hold an anchor of ``places`` (doc, text, at: anchor positions).
+
+    ``g`` has 32 more bits of hash above the window's position.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
         w = Words(common.utf8(batch.column("text")))
@@ -137,8 +141,8 @@ def windows(places: DataFrame) -> DataFrame:
         here = np.flatnonzero((np.cumsum(marks)[:-1] > 0) & (w.pos <= w.sizes[w.text] - WINDOW))
         docs = batch.column("doc").to_numpy()
         return {
-            "h": pa.array(w.runs(here, WINDOW, 2).view(np.int64)), "g": pa.array(w.runs(here, WINDOW, 3).view(np.int64)),
-            "doc": pa.array(docs[w.text[here]]), "pos": pa.array(w.pos[here].astype(np.int32)),
+            "h": pa.array(w.runs(here, WINDOW, 2).view(np.int64)), "doc": pa.array(docs[w.text[here]]),
+            "g": pa.array((w.runs(here, WINDOW, 3) & HIGH | w.pos[here].astype(np.uint64)).view(np.int64)),
         }
 
     return common.map_arrow(places, run, _WINDOWS)
@@ -151,20 +155,21 @@ def later(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = None  # the first row of the group that the rows so far end in
         for batch in batches:
-            h, g, doc, pos = _columns(batch, ("h", "g", "doc", "pos"))
+            h, g, doc = _columns(batch, ("h", "g", "doc"))
             if not len(h):
                 continue
             if first:
-                h, g, doc, pos = (np.concatenate(([x], y)) for x, y in zip(first, (h, g, doc, pos)))
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
+                h, g, doc = (np.concatenate(([x], y)) for x, y in zip(first, (h, g, doc)))
+            pos, high = g & 0xFFFFFFFF, g >> 32
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (high[1:] != high[:-1])))
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
             drop = (doc != doc[lead]) | (pos != pos[lead])
             k = lead[-1]
-            first = (h[k], g[k], doc[k], pos[k])
+            first = (h[k], g[k], doc[k])
             yield pa.RecordBatch.from_arrays([pa.array(doc[drop], type=pa.int64()), pa.array(pos[drop], type=pa.int32())], schema=arrow)
 
     parts = common.parts_for(rows.sparkSession)
-    return rows.repartition(parts, "h").sortWithinPartitions("h", "g", "doc", "pos").mapInArrow(run, _PLACES)
+    return rows.repartition(parts, "h").sortWithinPartitions("h", F.shiftright("g", 32), "doc", "g").mapInArrow(run, _PLACES)
 
 
 _KEPT = T.StructType([
@@ -187,7 +192,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest
     read = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     dealt = read.repartition(parts, "doc")
     copied = copies(read)
-    own = dealt.join(copied.hint("shuffle_hash"), "doc", "left_anti")
+    # Not an anti join, which would be moved below the shuffle and make it a second one.
+    own = dealt.join(copied.withColumn("copy", F.lit(True)).hint("shuffle_hash"), "doc", "left").where(F.col("copy").isNull()).drop("copy")
     at = repeated(anchors(own)).groupBy("doc").agg(F.collect_list("pos").alias("at"))
     found = later(windows(dealt.join(at.hint("shuffle_hash"), "doc"))).groupBy("doc").agg(F.collect_list("pos").alias("at"))
     marked = found.select("doc", "at", F.lit(False).alias("copy")).unionByName(copied.select("doc", F.lit(None).cast("array<int>").alias("at"), F.lit(True).alias("copy")))
