@@ -1,8 +1,379 @@
-"""Registered queries of the library and their SQL oracles."""
+"""Registered queries of the library and their SQL oracles.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+On the driver's tables a feature is an order, a city object one of its line
+items, a vertex (part key, supplier key, quantity) and the transform a scale of
+1e-3 with a translation of (85000, 446000, 0).
+"""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from plinth.functions import boxes, geometry, values
+from plinth.operators import attributes, spatial, statistics
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+SCALE, TX, TY = 1e-3, 85000.0, 446000.0
+FEATURES_SQL = """SELECT l_orderkey AS key, min(l_partkey) AS xmin, min(l_suppkey) AS ymin, min(CAST(l_quantity AS INT)) AS zmin,
+ max(l_partkey) AS xmax, max(l_suppkey) AS ymax, max(CAST(l_quantity AS INT)) AS zmax FROM lineitem GROUP BY l_orderkey"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each order: key and quantised box."""
+    items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"), F.col("l_quantity").cast("int").alias("z"))
+    return items.groupBy("key").agg(*(f(a).alias(a + f.__name__) for f in (F.min, F.max) for a in "xyz"))
+
+
+def flat(df: DataFrame) -> DataFrame:
+    return df.select("key", *boxes.BOX)
+
+
+def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spatial.with_sequence(spatial.with_hilbert(flat(features(spark, sf_dir))), "key")
+
+
+def _hilbert_sql() -> str:
+    """Staged SQL for the curve: a step for each bit."""
+    ctes = [
+        f"f AS ({FEATURES_SQL})",
+        "e AS (SELECT min(xmin) AS x0, min(ymin) AS y0, max(xmax) AS x1, max(ymax) AS y1 FROM f)",
+        "h16 AS (SELECT key, xmin, ymin, xmax, ymax, CAST(floor(65535 * ((xmin + xmax) / 2.0 - x0) / (x1 - x0)) AS BIGINT) AS x,"
+        " CAST(floor(65535 * ((ymin + ymax) / 2.0 - y0) / (y1 - y0)) AS BIGINT) AS y, CAST(0 AS BIGINT) AS d FROM f, e)",
+    ]
+    for b in range(15, -1, -1):
+        ctes.append(f"r{b} AS (SELECT *, (x >> {b}) & 1 AS rx, (y >> {b}) & 1 AS ry FROM h{b + 1})")
+        ctes.append(
+            f"h{b} AS (SELECT key, xmin, ymin, xmax, ymax,"
+            f" CASE WHEN ry = 0 AND rx = 1 THEN 65535 - y WHEN ry = 0 THEN y ELSE x END AS x,"
+            f" CASE WHEN ry = 0 AND rx = 1 THEN 65535 - x WHEN ry = 0 THEN x ELSE y END AS y,"
+            f" d * 4 + xor(rx * 3, ry) AS d FROM r{b})"
+        )
+    ctes.append("hil AS (SELECT key, xmin, ymin, xmax, ymax, CAST(d AS BIGINT) AS hilbert FROM h0)")
+    ctes.append("ord AS (SELECT *, row_number() OVER (ORDER BY hilbert DESC, key) AS hilbert_seq FROM hil)")
+    return "WITH " + ",\n".join(ctes)
+
+
+HILBERT = _hilbert_sql()
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features in a box around the middle, in storage order."""
+    return spatial.select(ordered(spark, sf_dir), spatial.SpatialQuery("bbox", 50, 3, 150, 7)).orderBy("hilbert_seq")
+
+
+@query(FEATURES_SQL)
+def feature_bbox(spark, sf_dir):
+    return features(spark, sf_dir).select("key", "xmin", "ymin", "zmin", "xmax", "ymax", "zmax")
+
+
+@query(f"""SELECT key, xmin * CAST('1e-3' AS DOUBLE) + 85000.0 AS xmin, ymin * CAST('1e-3' AS DOUBLE) + 446000.0 AS ymin,
+ xmax * CAST('1e-3' AS DOUBLE) + 85000.0 AS xmax, ymax * CAST('1e-3' AS DOUBLE) + 446000.0 AS ymax FROM ({FEATURES_SQL})""")
+def feature_bbox_real(spark, sf_dir):
+    at = lambda c, t: (F.col(c) * SCALE + t).alias(c)
+    return features(spark, sf_dir).select("key", at("xmin", TX), at("ymin", TY), at("xmax", TX), at("ymax", TY))
+
+
+@query(f"SELECT min(xmin) AS xmin, min(ymin) AS ymin, min(zmin) AS zmin, max(xmax) AS xmax, max(ymax) AS ymax, max(zmax) AS zmax FROM ({FEATURES_SQL})")
+def dataset_extent(spark, sf_dir):
+    return spatial.extent(features(spark, sf_dir))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS xmin, CAST(0 AS BIGINT) AS ymin, CAST(0 AS INT) AS zmin, CAST(0 AS BIGINT) AS xmax, CAST(0 AS BIGINT) AS ymax, CAST(0 AS INT) AS zmax")
+def dataset_extent_empty(spark, sf_dir):
+    return spatial.extent(features(spark, sf_dir).where("xmin < 0"))
+
+
+@query(f"{HILBERT} SELECT key, hilbert FROM hil")
+def hilbert_key(spark, sf_dir):
+    return spatial.with_hilbert(flat(features(spark, sf_dir))).select("key", "hilbert")
+
+
+@query(f"{HILBERT} SELECT key, hilbert_seq FROM ord")
+def hilbert_order(spark, sf_dir):
+    return ordered(spark, sf_dir).select("key", "hilbert_seq")
+
+
+@query(f"SELECT key, xmin, ymin, xmax, ymax FROM ({FEATURES_SQL}) WHERE xmax >= 500 AND xmin <= 600 AND ymax >= 30 AND ymin <= 40")
+def bbox_select(spark, sf_dir):
+    return spatial.select(flat(features(spark, sf_dir)), spatial.SpatialQuery("bbox", 500, 30, 600, 40))
+
+
+@query("""SELECT l_orderkey AS key FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_partkey * CAST('1e-3' AS DOUBLE) + 85000.0 BETWEEN 85000.1 AND 85000.9
+ AND l_suppkey * CAST('1e-3' AS DOUBLE) + 446000.0 BETWEEN 446000.01 AND 446000.05)""")
+def vertex_in_bbox(spark, sf_dir):
+    v = F.struct(F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"))
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.collect_list(v).alias("vertices"))
+    transform = {"sx": SCALE, "sy": SCALE, "tx": TX, "ty": TY}
+    return rows.where(spatial.vertex_in_bbox(F.col("vertices"), transform, 85000.1, 446000.01, 85000.9, 446000.05)).select("key")
+
+
+@query(f"SELECT key FROM ({FEATURES_SQL}) WHERE 700 BETWEEN xmin AND xmax AND 50 BETWEEN ymin AND ymax")
+def point_intersects(spark, sf_dir):
+    return spatial.select(flat(features(spark, sf_dir)), spatial.SpatialQuery("pointIntersects", 700, 50)).select("key")
+
+
+_D2 = "((xmin + xmax) / 2.0 - {x}) * ((xmin + xmax) / 2.0 - {x}) + ((ymin + ymax) / 2.0 - {y}) * ((ymin + ymax) / 2.0 - {y})"
+
+
+@query(f"{HILBERT} SELECT key, CAST({_D2.format(x='700', y='50')} AS DOUBLE) AS d2 FROM ord ORDER BY d2, hilbert_seq LIMIT 1")
+def point_nearest(spark, sf_dir):
+    return spatial.select(ordered(spark, sf_dir), spatial.SpatialQuery("pointNearest", 700, 50)).select("key", "d2")
+
+
+POINTS = [(1, 100.0, 10.0), (2, 900.0, 60.0), (3, 1500.0, 95.0)]
+
+
+@query(f"""{HILBERT}, p(point_id, x, y) AS (VALUES (CAST(1 AS BIGINT), 100.0, 10.0), (2, 900.0, 60.0), (3, 1500.0, 95.0)),
+ r AS (SELECT point_id, key, row_number() OVER (PARTITION BY point_id ORDER BY CAST({_D2.format(x='x', y='y')} AS DOUBLE), hilbert_seq) AS n FROM ord, p)
+ SELECT point_id, key FROM r WHERE n = 1""")
+def point_nearest_many(spark, sf_dir):
+    points = spark.createDataFrame(POINTS, "point_id long, x double, y double")
+    return spatial.nearest_many(ordered(spark, sf_dir), points).select("point_id", "key")
+
+
+def _attr(name: str, conditions: list, having: str, semantics: str = "feature", sql: str | None = None) -> None:
+    def run(spark, sf_dir):
+        return attributes.select_ids(read(spark, sf_dir, "lineitem"), conditions, "l_orderkey", semantics)
+
+    run.__name__ = name
+    query(sql or f"SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING {having}")(run)
+
+
+_attr("attr_eq", [("l_quantity", "=", 25.0)], "bool_or(l_quantity = 25)")
+_attr("attr_ne", [("l_returnflag", "!=", "A")], "count(l_returnflag) > 0 AND NOT bool_or(l_returnflag = 'A')")
+_attr("attr_gt", [("l_quantity", ">", 25.0)], "max(l_quantity) >= 25 AND NOT bool_or(l_quantity = 25)")
+_attr("attr_lt", [("l_quantity", "<", 25.0)], "min(l_quantity) <= 25 AND NOT bool_or(l_quantity = 25)")
+_attr("attr_ge", [("l_quantity", ">=", 25.0)], "max(l_quantity) >= 25")
+_attr("attr_le", [("l_quantity", "<=", 25.0)], "min(l_quantity) <= 25")
+_attr("attr_and_cross_object", [("l_quantity", ">=", 45.0), ("l_returnflag", "=", "R")], "max(l_quantity) >= 45 AND bool_or(l_returnflag = 'R')")
+_attr("attr_and_same_object", [("l_quantity", ">=", 45.0), ("l_returnflag", "=", "R")], "", "object", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R'")
+
+
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 12")
+def attr_range(spark, sf_dir):
+    return attributes.select_range(read(spark, sf_dir, "lineitem"), "l_quantity", 10.0, 12.0).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING max(l_shipdate) >= TIMESTAMP '1997-01-01' AND NOT bool_or(l_shipdate = TIMESTAMP '1997-01-01')")
+def attr_datetime(spark, sf_dir):
+    import datetime
+
+    at = datetime.datetime(1997, 1, 1)
+    items = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_shipdate").cast("timestamp").alias("l_shipdate"))
+    return attributes.select_ids(items, [("l_shipdate", ">", at.replace(tzinfo=datetime.timezone.utc))], "l_orderkey")
+
+
+@query("SELECT doc_id, substr(hex(encode(text)), 1, 100) AS prefix FROM documents")
+def attr_string_prefix50(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.hex(values.prefix_key(F.col("text"))).alias("prefix"))
+
+
+@query(f"""SELECT key FROM ({FEATURES_SQL}) WHERE xmax >= 500 AND xmin <= 600 AND ymax >= 30 AND ymin <= 40
+ AND key IN (SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING max(l_quantity) >= 45)""")
+def spatial_and_attr(spark, sf_dir):
+    found = spatial.select(flat(features(spark, sf_dir)), spatial.SpatialQuery("bbox", 500, 30, 600, 40))
+    items = read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "key")
+    return attributes.select(found, items, [("l_quantity", ">=", 45.0)], "key").select("key")
+
+
+_A, _B = "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity >= 45", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R'"
+
+
+@query(f"{_A} INTERSECT {_B}")
+def condition_intersect(spark, sf_dir):
+    items = read(spark, sf_dir, "lineitem")
+    return items.where("l_quantity >= 45").select("l_orderkey").intersect(items.where("l_returnflag = 'R'").select("l_orderkey"))
+
+
+@query(f"{_A} EXCEPT {_B}")
+def condition_except(spark, sf_dir):
+    items = read(spark, sf_dir, "lineitem")
+    return items.where("l_quantity >= 45").select("l_orderkey").subtract(items.where("l_returnflag = 'R'").select("l_orderkey"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity = 50)")
+def semi_lookup(spark, sf_dir):
+    hits = read(spark, sf_dir, "lineitem").where("l_quantity = 50")
+    return read(spark, sf_dir, "orders").join(hits, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity = 50)")
+def anti_lookup(spark, sf_dir):
+    hits = read(spark, sf_dir, "lineitem").where("l_quantity = 50")
+    return read(spark, sf_dir, "orders").join(hits, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+
+
+@query("SELECT l_orderkey, l_linenumber, p_name, p_size FROM lineitem JOIN part ON l_partkey = p_partkey")
+def template_lookup(spark, sf_dir):
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    return read(spark, sf_dir, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "p_name", "p_size")
+
+
+@query("SELECT r_name, string_agg(n_name, ',' ORDER BY n_name) AS children, count(*) AS n FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name")
+def hierarchy_children(spark, sf_dir):
+    joined = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return joined.groupBy("r_name").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("children"), F.count("*").alias("n"))
+
+
+@query("SELECT l_quantity, count(*) AS n, md5(string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_orderkey)) AS payload FROM (SELECT DISTINCT l_quantity, l_orderkey FROM lineitem) GROUP BY l_quantity")
+def key_payload(spark, sf_dir):
+    distinct = read(spark, sf_dir, "lineitem").select("l_quantity", "l_orderkey").distinct()
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list("l_orderkey")), lambda k: k.cast("string")), ",")
+    return distinct.groupBy("l_quantity").agg(F.count("*").alias("n"), F.md5(listed).alias("payload"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS n FROM lineitem" for c in ("l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")))
+def unique_keys(spark, sf_dir):
+    names = ("l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
+    counts = read(spark, sf_dir, "lineitem").agg(*(F.countDistinct(c).alias(c) for c in names))
+    return counts.unpivot([], list(names), "name", "n")
+
+
+@query("""SELECT k AS name, any_value(CASE t WHEN 'UBIGINT' THEN 'ULong' WHEN 'BIGINT' THEN 'Long' WHEN 'DOUBLE' THEN 'Double' WHEN 'VARCHAR' THEN 'String' WHEN 'BOOLEAN' THEN 'Bool' ELSE 'Json' END) AS type
+ FROM (SELECT 'k' AS k, json_type(props, '$.k') AS t FROM events) WHERE t IS NOT NULL AND t <> 'NULL' GROUP BY k""")
+def infer_types(spark, sf_dir):
+    return statistics.infer_types(read(spark, sf_dir, "events"), "props", "event_id")
+
+
+@query("SELECT event_id, 'k' AS name, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def attr_explode(spark, sf_dir):
+    return statistics.explode_attributes(read(spark, sf_dir, "events"), "props", "event_id")
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def attr_typed_projection(spark, sf_dir):
+    parsed = F.try_parse_json("props")
+    return read(spark, sf_dir, "events").select("event_id", F.try_variant_get(parsed, "$.k", "bigint").alias("k"))
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def json_roundtrip(spark, sf_dir):
+    made = read(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "event_type", "value")).alias("j"))
+    return made.select(F.from_json("j", "event_id bigint, event_type string, value double").alias("r")).select("r.*")
+
+
+@query("SELECT doc_id, CAST(coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM documents")
+def byte_offsets(spark, sf_dir):
+    return statistics.running_offsets(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars")
+
+
+@query("SELECT doc_id, start, lead(start) OVER (ORDER BY doc_id) - start AS length FROM (SELECT doc_id, CAST(coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM documents)")
+def range_lengths(spark, sf_dir):
+    offsets = statistics.running_offsets(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", keep=True)
+    last = offsets.agg(F.max("doc_id").alias("last"))
+    joined = offsets.crossJoin(F.broadcast(last))
+    return joined.select("doc_id", "start", F.when(F.col("doc_id") < F.col("last"), F.col("n_chars")).alias("length"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g)
+ SELECT user_id, CAST(run AS BIGINT) AS run, min(ts) AS first, max(ts) AS last, count(*) AS n FROM s GROUP BY user_id, run""")
+def coalesce_ranges(spark, sf_dir):
+    return statistics.merge_runs(read(spark, sf_dir, "events").select("user_id", "ts"), "user_id", "ts", "INTERVAL 1 HOUR")
+
+
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) WHERE n % 1000 = 0")
+def sample_every_nth(spark, sf_dir):
+    numbered = statistics.running_offsets(read(spark, sf_dir, "orders").select("o_orderkey", F.lit(1).cast("long").alias("one")), "o_orderkey", "one")
+    return numbered.where((F.col("start") + 1) % 1000 == 0).select("o_orderkey")
+
+
+@query("SELECT count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type NOT IN ('click', 'view')) AS others FROM events")
+def type_counts(spark, sf_dir):
+    kind = F.col("event_type")
+    return read(spark, sf_dir, "events").agg(F.count_if(kind == "click").alias("clicks"), F.count_if(kind == "view").alias("views"), F.count_if(~kind.isin("click", "view")).alias("others"))
+
+
+@query("""SELECT source, count(*) AS features, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, round(avg(octet_length(encode(text))), 6) AS mean_bytes,
+ round(CASE WHEN sum(n_chars) > 0 THEN sum(octet_length(encode(text))) / CAST(sum(n_chars) AS DOUBLE) ELSE 0 END, 9) AS ratio FROM documents GROUP BY source""")
+def dataset_stats(spark, sf_dir):
+    size = F.octet_length("text").cast("long")
+    docs = read(spark, sf_dir, "documents")
+    return docs.groupBy("source").agg(
+        F.count("*").alias("features"), F.sum(size).alias("bytes"), F.round(F.avg(size), 6).alias("mean_bytes"),
+        F.round(values.safe_ratio(F.sum(size), F.sum("n_chars")), 9).alias("ratio"),
+    )
+
+
+@query("""SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_pop(value), 6) AS sd, min(value) AS least, max(value) AS most FROM events GROUP BY event_type""")
+def bench_stats(spark, sf_dir):
+    return statistics.summary(read(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query("SELECT event_type, arg_min(event_id, (value, event_id)) AS event_id FROM events GROUP BY event_type")
+def fastest_by_group(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.min_by("event_id", F.struct("value", "event_id")).alias("event_id"))
+
+
+def _surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A MultiSurface for each order: a surface for each item, of one ring of three indices."""
+    ring = F.array("l_partkey", "l_suppkey", F.col("l_linenumber").cast("long"))
+    row = F.struct("l_linenumber", F.array(ring).alias("surface"))
+    rows = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    return rows.select("l_orderkey", F.transform("rows", lambda r: r["surface"]).alias("nested"))
+
+
+@query("""SELECT l_orderkey, count(*) AS n_surfaces, CAST(3 * count(*) AS BIGINT) AS n_points,
+ string_agg(l_partkey || ',' || l_suppkey || ',' || l_linenumber, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS boundaries FROM lineitem GROUP BY l_orderkey""")
+def flatten_boundaries(spark, sf_dir):
+    found = _surfaces(spark, sf_dir).select("l_orderkey", geometry.flatten(F.col("nested"), 3).alias("f"))
+    text = F.array_join(F.transform("f.boundaries", lambda x: x.cast("string")), ",")
+    points = F.aggregate("f.strings", F.lit(0).cast("long"), lambda a, n: a + n)
+    return found.select("l_orderkey", F.size("f.surfaces").cast("long").alias("n_surfaces"), points.alias("n_points"), text.alias("boundaries"))
+
+
+@query("""SELECT l_orderkey, '[' || string_agg('[[' || l_partkey || ',' || l_suppkey || ',' || l_linenumber || ']]', ',' ORDER BY l_linenumber, l_partkey, l_suppkey) || ']' AS nested FROM lineitem GROUP BY l_orderkey""")
+def rebuild_boundaries(spark, sf_dir):
+    flattened = _surfaces(spark, sf_dir).select("l_orderkey", geometry.flatten(F.col("nested"), 3).alias("f"))
+    return flattened.select("l_orderkey", F.to_json(geometry.rebuild(F.col("f"), 3)).alias("nested"))
+
+
+@query("SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) AS vertex FROM lineitem")
+def vertex_dedup(spark, sf_dir):
+    rank = F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey")).cast("long")
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct().withColumn("vertex", rank)
+
+
+@query(f"{HILBERT} SELECT (hilbert_seq - 1) // 16 AS tile, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, count(*) AS n FROM ord GROUP BY ALL")
+def tile_pyramid(spark, sf_dir):
+    return spatial.tiles(ordered(spark, sf_dir))
+
+
+@query("SELECT p_partkey, CASE WHEN p_type IN ('Building', 'Road') OR starts_with(p_type, '+') THEN p_type ELSE 'GenericCityObject' END AS type FROM part")
+def type_normalise(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", values.normalise_type(F.col("p_type")).alias("type"))
+
+
+@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)/', 1) AS authority, coalesce(TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS INT), 0) AS code FROM pages")
+def crs_parse(spark, sf_dir):
+    url = F.concat(F.lit("https://www.example.org/def/crs/"), F.regexp_extract("url", "^[a-z]+://([^/]+)/", 1), F.lit("/0/"), F.regexp_extract("url", "/([0-9]+)", 1))
+    found = read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)/", 1).alias("authority"), values.reference_system(url).alias("crs"))
+    return found.select("page_id", "authority", F.col("crs.code").alias("code"))
+
+
+@query(f"""WITH f AS (SELECT * FROM ({FEATURES_SQL}) WHERE xmax - xmin <= 60 AND ymax - ymin <= 60), c AS (SELECT s_suppkey, s_suppkey * 20 AS x0, s_suppkey AS y0 FROM supplier)
+ SELECT key, s_suppkey FROM f JOIN c ON xmax >= x0 AND xmin <= x0 + 15 AND ymax >= y0 AND ymin <= y0 + 5""")
+def spatial_join(spark, sf_dir):
+    small = flat(features(spark, sf_dir)).where((boxes.width() <= 60) & (boxes.height() <= 60))
+    k = F.col("s_suppkey")
+    other = read(spark, sf_dir, "supplier").select("s_suppkey", (k * 20).alias("xmin"), k.alias("ymin"), (k * 20 + 15).alias("xmax"), (k + 5).alias("ymax"))
+    return spatial.join_boxes(small, other, 50.0).select("key", F.col("r_s_suppkey").alias("s_suppkey"))
