@@ -1,0 +1,109 @@
+"""CityJSON documents and text sequences as DataFrames.
+
+A sequence has its header in the first line and a feature in each further line.
+Lines are read in parallel; a feature keeps its file and its place there.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plinth.errors import BadInput
+from plinth.functions import values
+
+HEADER = "type string, version string, transform struct<scale: array<double>, translate: array<double>>, metadata variant, extensions variant, appearance variant, `geometry-templates` variant"
+FEATURE = "id string, vertices array<array<int>>, appearance variant, CityObjects map<string, variant>"
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (ascending within a file) and the text of each line; blank lines are left out."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"), F.col("value"))
+    return lines.where(F.trim("value") != "")
+
+
+def read_sequence(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The header row and the features of a CityJSON text sequence; a line that isn't JSON fails."""
+    lines = read_lines(spark, path).withColumn("type", F.try_variant_get(F.parse_json("value"), "$.type", "string"))
+    header = lines.where(F.col("type") == "CityJSON").select("file", F.from_json("value", HEADER).alias("h")).select("file", "h.*")
+    return header, _features(lines.where(F.col("type") == "CityJSONFeature"))
+
+
+def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The header row of whole documents and one feature for each, with all their objects."""
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("line_no"), F.col("value"))
+    header = texts.select("file", F.from_json("value", HEADER).alias("h")).select("file", "h.*")
+    return header, _features(texts)
+
+
+def read_cityjson(spark: SparkSession, path: str, kind: str = "sequence") -> tuple[DataFrame, DataFrame]:
+    if kind == "sequence":
+        return read_sequence(spark, path)
+    if kind == "document":
+        return read_document(spark, path)
+    raise BadInput(f"unknown kind: {kind}")
+
+
+def _features(lines: DataFrame) -> DataFrame:
+    parsed = lines.select("file", F.col("line_no").alias("feature_seq"), F.from_json("value", FEATURE).alias("f"))
+    vertex = F.transform("f.vertices", lambda v: F.struct(v[0].alias("x"), v[1].alias("y"), v[2].alias("z")))
+    axis = lambda i: F.transform("f.vertices", lambda v: v[i])
+    boxes = [f(axis(i)).alias(f"{n}{a}") for n, f in (("qmin_", F.array_min), ("qmax_", F.array_max)) for i, a in enumerate("xyz")]
+    return parsed.select("file", "feature_seq", F.col("f.id").alias("feature_id"), vertex.alias("vertices"), F.col("f.appearance").alias("appearance"), F.col("f.CityObjects").alias("objects"), *boxes)
+
+
+def with_box(features: DataFrame, header: DataFrame) -> DataFrame:
+    """Adds the real-world box xmin to zmax, by the transform of the feature's file."""
+    t = header.select("file", "transform")
+    moved = features.join(F.broadcast(t), "file")
+    at = [(F.col(f"q{m}_{a}") * F.col("transform.scale")[i] + F.col("transform.translate")[i]).alias(f"{a}{m}") for m in ("min", "max") for i, a in enumerate("xyz")]
+    return moved.select(*features.columns, *at)
+
+
+def city_objects(features: DataFrame) -> DataFrame:
+    """A row for each city object: its feature, id, type, attributes (variant) and links."""
+    rows = features.select("file", "feature_seq", "feature_id", F.explode("objects").alias("object_id", "o"))
+    get = lambda path, kind: F.try_variant_get("o", path, kind)
+    return rows.select(
+        "file", "feature_seq", "feature_id", "object_id", get("$.type", "string").alias("type"), get("$.attributes", "variant").alias("attributes"),
+        get("$.children", "array<string>").alias("children"), get("$.parents", "array<string>").alias("parents"), get("$.geometry", "array<variant>").alias("geometry"),
+    )
+
+
+def attributes(objects: DataFrame) -> DataFrame:
+    """A row for each attribute of each object: name, type and the value as JSON text; nulls have no type."""
+    entries = F.explode(F.from_json(F.to_json("attributes"), "map<string,variant>")).alias("name", "value")
+    rows = objects.where(F.col("attributes").isNotNull()).select("file", "feature_seq", "feature_id", "object_id", entries)
+    return rows.withColumn("json", F.to_json("value")).withColumn("type", values.guess_type(F.col("json")))
+
+
+def infer_schema(objects: DataFrame) -> DataFrame:
+    """Name and type of each attribute; types that disagree widen to Double or String."""
+    kinds = attributes(objects).where(F.col("type").isNotNull()).groupBy("name").agg(F.collect_set("type").alias("kinds"))
+    numbers = F.array(*map(F.lit, ("Long", "ULong", "Double")))
+    whole = F.size(F.array_except("kinds", numbers)) == 0
+    merged = F.when(F.size("kinds") == 1, F.element_at("kinds", 1)).when(whole, F.when(F.array_contains("kinds", "Double"), "Double").otherwise("Long")).otherwise("String")
+    return kinds.select("name", merged.alias("type")).orderBy("name")
+
+
+#: What a column of each attribute type is read as.
+_READ_AS = {"Bool": "boolean", "ULong": "bigint", "Long": "bigint", "Double": "double", "DateTime": "string", "String": "string", "Json": "variant"}
+
+
+def project(objects: DataFrame, schema: DataFrame | None = None) -> DataFrame:
+    """Objects with a typed column for each attribute; the schema has a row for each attribute name."""
+    found = (infer_schema(objects) if schema is None else schema).collect()
+    columns = []
+    for r in found:
+        path = "$['" + r["name"].replace("\\", "\\\\").replace("'", "\\'") + "']"
+        column = F.try_variant_get("attributes", path, _READ_AS.get(r["type"], "string"))
+        columns.append((values.to_instant(column) if r["type"] == "DateTime" else column).alias(r["name"]))
+    return objects.select(*objects.columns, *columns)
+
+
+def write_sequence(features: DataFrame, header: DataFrame, path: str) -> None:
+    """A CityJSON text sequence in one file, the header first; for one file's features."""
+    head = header.select(F.lit(-1).cast("long").alias("seq"), F.to_json(F.struct(F.lit("CityJSON").alias("type"), "version", "transform", "metadata", F.create_map().cast("map<string,string>").alias("CityObjects"), F.array().cast("array<int>").alias("vertices"))).alias("value"))
+    vertices = F.transform("vertices", lambda v: F.array(v["x"], v["y"], v["z"]))
+    body = features.select(F.col("feature_seq").alias("seq"), F.to_json(F.struct(F.lit("CityJSONFeature").alias("type"), F.col("feature_id").alias("id"), F.col("objects").alias("CityObjects"), vertices.alias("vertices"), "appearance")).alias("value"))
+    head.unionByName(body).coalesce(1).sortWithinPartitions("seq").select("value").write.mode("overwrite").text(path)
