@@ -15,6 +15,8 @@ all executors share.
 from __future__ import annotations
 
 import re
+import sys
+import types
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -178,6 +180,14 @@ class Encoder:
         return np.frombuffer(b"".join(found), dtype="<u4")
 
 
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this Python process, kept with its cache for the tasks to come."""
+    kept = sys.modules.setdefault("_plinth_encoders", types.ModuleType("_plinth_encoders")).__dict__
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 _BLOCKS = T.StructType([
     T.StructField("shard", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("first_id", T.LongType()),
     T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())), T.StructField("lengths", T.ArrayType(T.LongType())),
@@ -198,7 +208,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     arrow = common.to_arrow(_BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(path), np.array([end_id], dtype="<u4")
+        encoder, end = encoder_of(path), np.array([end_id], dtype="<u4")
         shard, block, first, n, docs, held = None, 0, 0, 0, [], []
 
         def made() -> pa.RecordBatch:
