@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 import duckdb
@@ -206,3 +207,42 @@ def test_language_held_out(spark):
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "language_id"
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def base_spans(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(PII.items()):
+        for m in re.finditer(pattern, text):
+            d = re.sub("[^0-9]", "", m[0])
+            total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d)))
+            if {"email": True, "ip": kind != "ip" or all(int(x) <= 255 for x in m[0].split(".")), "card": 12 <= len(d) <= 19 and total % 10 == 0, "phone": 9 <= len(d) <= 15}[kind]:
+                out.append((m.start(), rank, m.end(), kind))
+    return sorted(out)
+
+
+def test_pii_brute(documents, spark):
+    extra = [
+        "a@b.c_d@e.f x", "1.2.3.4.5.6.7.8 12345.1.1.1 0001.2.3.4 256.1.1.1", "+1 (988) 555-2485 +49 4111 1111 1111 1111", "4111-1111 1111 1111 4111",
+        "\U0001f600é a.b@c-d.e.f, \U0001f600 +123456789", None, "", "9" * 5000 + " " + "a" * 3000 + "@" + "b.c" * 500, "a@b 1..2 +1 +12 ++1234567890 @a.b a@-.- 4@4.4",
+    ]
+    rows = documents + [(10**9 + i, x) for i, x in enumerate(extra)]
+    got = {r["doc_id"]: r for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    for doc, text in rows:
+        want = base_spans(text or "")
+        assert got[doc]["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, _, b, k in want).encode()).hexdigest()
+        assert [got[doc][f"n_{k}"] for k in PII] == [sum(x[3] == k for x in want) for k in PII]
+
+
+def test_pii_validators_and_context(spark):
+    texts = [(1, "IBAN DE89370400440532013000, not DE89370400440532013001"), (2, "my SSN is 078-05-1120"), (3, "part 078-05-1120"), (4, "call (555) 123-4567")]
+    got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(spark.createDataFrame(texts, "doc_id long, text string"))).collect()}
+    assert "iban:5:27" in got[1].split(",") and got[1].count("iban") == 1
+    assert (got[2], got[3], got[4]) == ("ssn:10:21", "", "local_phone:5:19")
