@@ -31,6 +31,10 @@ from plinth.llm import common, graph
 
 SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
 HEAVY = 50_000
+#: Near copies share this part of their shingles of so many words.
+WORDS, SIMILAR = 5, 0.8
+#: Members of all sets of a component that one task compares; the tasks that a large component is dealt over.
+HEAVY_MARKS, SALTS = 8_000_000, 32
 CHUNK = 1 << 16
 
 
@@ -206,19 +210,149 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, size: int | None, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component, with all its columns: one of the smallest id.
+def shingle_sets(docs: DataFrame, size: int, bucket: str = "bucket", node: str = "node", text_col: str = "text") -> DataFrame:
+    """bucket, node and the sorted distinct 64-bit hashes of a text's ``size``-word shingles, for each row; null texts have none."""
+    common.prepare(docs.sparkSession)
+    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", T.LongType()), T.StructField("marks", T.ArrayType(T.LongType()))])
+
+    def run(batch: pa.RecordBatch) -> dict:
+        made = []
+        for text in common.utf8(batch.column("text")):
+            held = {xxhash.xxh64_intdigest(s, SEED) for s in shingles(text.lower().split(), size)}
+            made.append(np.sort(np.fromiter(held, dtype=np.uint64, count=len(held)).view(np.int64)))
+        return {"bucket": batch.column("bucket"), "node": batch.column("node"), "marks": pa.array(made, type=pa.list_(pa.int64()))}
+
+    df = docs.select(docs[bucket].alias("bucket"), docs[node].alias("node"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    return common.map_arrow(df, run, schema)
+
+
+def similar_forest(nodes: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Edges that connect what pairs of a Jaccard similarity of ``least`` or more connect, fewer than there are sets.
+
+    A set is compared with all sets that nothing has reached yet.  Two empty sets are alike.
+    """
+    edges: list[tuple[int, int]] = []
+    rest = np.arange(len(nodes))
+    sizes = np.array([len(s) for s in sets])
+    flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
+    owner = np.repeat(rest, sizes)
+    reached: list[int] = []
+    while len(rest):
+        if not reached:
+            at, rest = int(rest[0]), rest[1:]
+            kept = owner != at
+            flat, owner = flat[kept], owner[kept]
+        else:
+            at = reached.pop()
+        own = sets[at]
+        if len(own):
+            place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            both = np.bincount(owner[own[place] == flat], minlength=len(nodes))[rest]
+        else:
+            both = np.zeros(len(rest), dtype=np.int64)
+        either = len(own) + sizes[rest] - both
+        near = both >= least * either - 1e-9
+        if near.any():
+            found = rest[near]
+            edges += [(nodes[at], nodes[x]) for x in found.tolist()]
+            reached += found.tolist()
+            rest = rest[~near]
+            kept = np.isin(owner, rest)
+            flat, owner = flat[kept], owner[kept]
+    return edges
+
+
+def _verify(dealt: DataFrame, least: float, heavy: int | None) -> DataFrame:
+    """Links within the buckets of ``dealt`` (bucket, node, marks; sorted by bucket in each partition).
+
+    A bucket whose sets have over ``heavy`` members in all is named as a heavy row (a: the bucket, b: how many) instead.
+    """
+    arrow = common.to_arrow(_LINKS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: list[tuple[bool, int, int]] = []
+        current, nodes, sets, total = None, [], [], 0
+
+        def end() -> None:
+            if heavy is not None and total > heavy:
+                edges.append((True, current, total))
+            elif len(nodes) > 1:
+                edges.extend((False, a, b) for a, b in similar_forest(nodes, sets, least))
+
+        for batch in batches:
+            marks = batch.column("marks")
+            ends = np.cumsum(marks.value_lengths().to_numpy(zero_copy_only=False))
+            flat = marks.flatten().to_numpy(zero_copy_only=False)
+            begin = 0
+            for bucket, node, stop in zip(batch.column("bucket").to_pylist(), batch.column("node").to_pylist(), ends.tolist()):
+                if bucket != current:
+                    if current is not None:
+                        end()
+                    current, nodes, sets, total = bucket, [], [], 0
+                total += stop - begin + 1
+                if heavy is not None and total > heavy:
+                    nodes, sets = [], []
+                else:
+                    nodes.append(node)
+                    sets.append(flat[begin:stop].copy())
+                begin = stop
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*edges), arrow)], schema=arrow)
+                edges.clear()
+        if current is not None:
+            end()
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*edges), arrow)], schema=arrow)
+
+    return dealt.mapInArrow(run, _LINKS)
+
+
+def similar_links(sets: DataFrame, least: float = SIMILAR, heavy: int = HEAVY_MARKS) -> DataFrame:
+    """Edges a, b between nodes of a bucket (bucket, node, marks) that connect all pairs whose sets are ``least`` alike.
+
+    Buckets over ``heavy`` are dealt out as pairs of chunks: a task holds two chunks and no link is lost.
+    """
+    spark = sets.sparkSession
+    parts = common.parts_for(spark)
+    sets = sets.checkpoint()
+    out = _verify(sets.repartition(parts, "bucket").sortWithinPartitions("bucket"), least, heavy).checkpoint()
+    found = out.where(~F.col("heavy")).select("a", "b")
+    over = out.where("heavy").select(F.col("a").alias("bucket"), F.ceil(2 * F.col("b") / heavy).cast("long").alias("n"))
+    if over.isEmpty():
+        return found.distinct()
+    dealt = sets.join(over, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "n"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    dealt = dealt.select(F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "node", "marks")
+    more = _verify(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket"), least, None).select("a", "b")
+    return found.unionByName(more).distinct()
+
+
+def keep_one(docs: DataFrame, size: int | None, radius: int, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = SIMILAR) -> DataFrame:
+    """One row of each group of near copies, with all its columns: one of the smallest id.
 
-    A component whose rows all lack an id keeps one of them.
+    The fingerprints' components choose candidates.  Within a component, texts are
+    linked where their sets of ``words``-word shingles have a Jaccard similarity of
+    ``least`` or more, and a group is what such links connect.  A group whose rows
+    all lack an id keeps one of them.
     """
     common.shared_dir(docs.sparkSession)
-    key = F.xxhash64(docs[text_col], F.lit(1))
-    prints = fingerprints(docs.select(F.struct(docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id"), F.coalesce(key, F.lit(0)).alias("key")).alias("row"), docs[text_col].alias("text")), "row", "text", size).checkpoint()
-    found = components(prints, radius)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.id").alias("_id"), F.col("doc_id.key").alias("_key"))
+    key = F.coalesce(F.xxhash64(docs[text_col], F.lit(1)), F.lit(0))
+    row = F.struct(docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id"), key.alias("key"))
+    prints = fingerprints(docs.select(row.alias("row"), docs[text_col].alias("text")), "row", "text", size).checkpoint()
+    found = components(prints, radius).select(F.xxhash64("component_id").alias("bucket"), F.col("doc_id").alias("row"), F.col("doc_id.key").alias("node"))
+    # Equal texts are one node.
+    texts = found.groupBy("bucket", "node").agg(F.min("row").alias("row")).checkpoint()
+    # A large component's texts are dealt over ``SALTS`` tasks.
+    several = texts.groupBy("bucket").count().where("count > 1").select("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    chosen = texts.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(several, ["bucket", "salt"])
+    chosen = chosen.select(F.col("row.id").alias("_id"), F.col("node").alias("_key"), F.col("bucket").alias("_bucket"))
+    on = docs[id_col].eqNullSafe(F.col("_id")) & key.eqNullSafe(F.col("_key"))
+    read = docs.join(chosen, on).select(F.col("_bucket").alias("bucket"), F.col("_key").alias("node"), docs[text_col].alias("text"))
+    linked = graph.components(similar_links(shingle_sets(read, words), least))
+    group = texts.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
     # Rows that agree in id and text are one row here.
-    repeated = kept.groupBy("_id", "_key").agg(F.count("*").alias("_n")).checkpoint()
-    on = docs[id_col].eqNullSafe(F.col("_id")) & F.coalesce(key, F.lit(0)).eqNullSafe(F.col("_key"))
+    kept = prints.join(group.select(F.col("row").alias("doc_id")), "doc_id", "left_semi")
+    repeated = kept.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.key").alias("_key")).groupBy("_id", "_key").agg(F.count("*").alias("_n")).checkpoint()
     once = docs.join(repeated.where("_n = 1"), on, "left_semi")
     more = repeated.where("_n > 1")
     if more.isEmpty():
