@@ -26,14 +26,14 @@ def read_sequence(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     """The header row and the features of a CityJSON text sequence; a line that isn't JSON fails."""
     lines = read_lines(spark, path).withColumn("type", F.try_variant_get(F.parse_json("value"), "$.type", "string"))
     header = lines.where(F.col("type") == "CityJSON").select("file", F.from_json("value", HEADER).alias("h")).select("file", "h.*")
-    return header, _features(lines.where(F.col("type") == "CityJSONFeature"))
+    return header, parse_features(lines.where(F.col("type") == "CityJSONFeature"))
 
 
 def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The header row of whole documents and one feature for each, with all their objects."""
     texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.lit(0).cast("long").alias("line_no"), F.col("value"))
     header = texts.select("file", F.from_json("value", HEADER).alias("h")).select("file", "h.*")
-    return header, _features(texts)
+    return header, parse_features(texts)
 
 
 def read_cityjson(spark: SparkSession, path: str, kind: str = "sequence") -> tuple[DataFrame, DataFrame]:
@@ -44,7 +44,7 @@ def read_cityjson(spark: SparkSession, path: str, kind: str = "sequence") -> tup
     raise BadInput(f"unknown kind: {kind}")
 
 
-def _features(lines: DataFrame) -> DataFrame:
+def parse_features(lines: DataFrame) -> DataFrame:
     parsed = lines.select("file", F.col("line_no").alias("feature_seq"), F.from_json("value", FEATURE).alias("f"))
     vertex = F.transform("f.vertices", lambda v: F.struct(v[0].alias("x"), v[1].alias("y"), v[2].alias("z")))
     axis = lambda i: F.transform("f.vertices", lambda v: v[i])
