@@ -163,6 +163,56 @@ def test_covering_and_heavy_buckets(spark):
     assert all(c in {x for _, x in results[0]} for c in [min(fps)])
 
 
+def test_similar_forest_brute():
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(12):
+        base = rng.integers(0, 1 << 40, int(rng.integers(5, 40)))
+        for _ in range(6):
+            kept = base[rng.random(len(base)) > 0.06]
+            sets.append(np.unique(np.concatenate([kept, rng.integers(0, 1 << 40, int(rng.integers(0, 3)))])))
+    sets += [np.empty(0, np.int64)] * 2
+    parent = list(range(len(sets)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def groups(pairs):
+        parent[:] = range(len(sets))
+        for a, b in pairs:
+            parent[root(a)] = root(b)
+        return [sorted(y for y in range(len(sets)) if root(y) == root(x)) for x in range(len(sets))]
+
+    def alike(a, b):
+        both = len(set(a) & set(b))
+        return both >= 0.8 * (len(a) + len(b) - both) - 1e-9
+
+    edges = simhash.similar_forest(list(range(len(sets))), sets, 0.8)
+    assert len(edges) < len(sets)
+    assert groups(edges) == groups([(a, b) for a in range(len(sets)) for b in range(a) if alike(sets[a], sets[b])])
+
+
+def near_rows():
+    text = [" ".join(f"w{i}x{j}" for j in range(120)) for i in range(4)]
+    one = text[0].replace("w0x60", "new")
+    half = " ".join(text[1].split()[:60] + text[2].split()[:60])
+    rows = [(5, text[0]), (2, one), (9, text[0].upper()), (3, text[1]), (4, half), (6, text[3]), (6, text[3]), (7, text[3]), (None, text[2]), (8, text[2] + " end"), (None, "alone"), (10, None), (11, ""), (12, "  ")]
+    return rows, {2, 3, 4, 6, 8, 10, None}
+
+
+@pytest.mark.parametrize("heavy", [simhash.HEAVY_MARKS, 150])
+def test_near_dedup(spark, monkeypatch, heavy):
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (simhash.SIMILAR, heavy))
+    rows, want = near_rows()
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, bucket int")
+    got = simhash.keep_one(docs, None, 6).collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "node", "bucket"}
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted((x is None, x or 0) for x in want)
+    assert simhash.keep_one(docs.limit(0), None, 6).count() == 0
+
+
 def test_sketch():
     a = sketch.digests(b"one two three four\nfive six seven\n" * 30)
     b = sketch.digests(b"one two three four\nfive six seven\n" * 20 + b"other words here\n" * 9)
