@@ -339,9 +339,10 @@ def keep_one(docs: DataFrame, size: int | None, radius: int, id_col: str = "doc_
     key = F.coalesce(F.xxhash64(docs[text_col], F.lit(1)), F.lit(0))
     row = F.struct(docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id"), key.alias("key"))
     prints = fingerprints(docs.select(row.alias("row"), docs[text_col].alias("text")), "row", "text", size).checkpoint()
-    found = components(prints, radius).select(F.xxhash64("component_id").alias("bucket"), F.col("doc_id").alias("row"), F.col("doc_id.key").alias("node"))
-    # Equal texts are one node.
-    texts = found.groupBy("bucket", "node").agg(F.min("row").alias("row")).checkpoint()
+    # Equal texts are one node, before anything is joined by fingerprint.
+    one = prints.groupBy(F.col("doc_id.key").alias("node"), "fp").agg(F.min("doc_id").alias("doc_id")).checkpoint()
+    found = components(one.select("doc_id", "fp"), radius)
+    texts = found.select(F.xxhash64("component_id").alias("bucket"), F.col("doc_id.key").alias("node"), F.col("doc_id").alias("row")).checkpoint()
     # A large component's texts are dealt over ``SALTS`` tasks.
     several = texts.groupBy("bucket").count().where("count > 1").select("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     chosen = texts.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(several, ["bucket", "salt"])
