@@ -197,15 +197,16 @@ def keep_mixture(docs: DataFrame, weights: dict[tuple, float] = WEIGHTS, share:
     text are taken alike.
     """
     key = common.fresh(docs, "text_hash")
+    id_, key_, taken_, n_ = (common.fresh(docs, n) for n in ("_id", "_key", "_taken", "_n"))
     docs = docs.withColumn(key, F.xxhash64("text", F.length("text")))
     slim = docs.select("doc_id", key, "lang", "source", n_words(F.col("text")).alias("n"))
     found = select(slim, (domain_of(F.col("source")), "lang", "source"), F.col("n"), weights, share, 1, seed)
-    taken = found.groupBy(F.col("doc_id").alias("_id"), F.col(key).alias("_key")).agg(F.max("mix.taken").alias("_taken"), F.max("mix.n_tokens").alias("_n"))
-    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col("_id")) & docs[key].eqNullSafe(F.col("_key")))
+    taken = found.groupBy(F.col("doc_id").alias(id_), F.col(key).alias(key_)).agg(F.max("mix.taken").alias(taken_), F.max("mix.n_tokens").alias(n_))
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col(id_)) & docs[key].eqNullSafe(F.col(key_)))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    text = F.when(F.col("_taken") < F.col("_n"), F.array_join(F.slice(words, F.lit(1), F.col("_taken").cast("int")), "")).otherwise(F.col("text"))
+    text = F.when(F.col(taken_) < F.col(n_), F.array_join(F.slice(words, F.lit(1), F.col(taken_).cast("int")), "")).otherwise(F.col("text"))
     cut = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("_taken") < F.col("_n"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cut.drop(key, "_id", "_key", "_taken", "_n")
+        cut = cut.withColumn("n_chars", F.when(F.col(taken_) < F.col(n_), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return cut.drop(key, id_, key_, taken_, n_)

@@ -336,6 +336,7 @@ def keep_one(docs: DataFrame, size: int | None, radius: int, id_col: str = "doc_
     all lack an id keeps one of them.
     """
     common.shared_dir(docs.sparkSession)
+    id_, key_, bucket_, n_ = (common.fresh(docs, n) for n in ("_id", "_key", "_bucket", "_n"))
     key = F.coalesce(F.xxhash64(docs[text_col], F.lit(1)), F.lit(0))
     row = F.struct(docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id"), key.alias("key"))
     prints = fingerprints(docs.select(row.alias("row"), docs[text_col].alias("text")), "row", "text", size).checkpoint()
@@ -346,16 +347,16 @@ def keep_one(docs: DataFrame, size: int | None, radius: int, id_col: str = "doc_
     # A large component's texts are dealt over ``SALTS`` tasks.
     several = texts.groupBy("bucket").count().where("count > 1").select("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     chosen = texts.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(several, ["bucket", "salt"])
-    chosen = chosen.select(F.col("row.id").alias("_id"), F.col("node").alias("_key"), F.col("bucket").alias("_bucket"))
-    on = docs[id_col].eqNullSafe(F.col("_id")) & key.eqNullSafe(F.col("_key"))
-    read = docs.join(chosen, on).select(F.col("_bucket").alias("bucket"), F.col("_key").alias("node"), docs[text_col].alias("text"))
+    chosen = chosen.select(F.col("row.id").alias(id_), F.col("node").alias(key_), F.col("bucket").alias(bucket_))
+    on = docs[id_col].eqNullSafe(F.col(id_)) & key.eqNullSafe(F.col(key_))
+    read = docs.join(chosen, on).select(F.col(bucket_).alias("bucket"), F.col(key_).alias("node"), docs[text_col].alias("text"))
     linked = graph.components(similar_links(shingle_sets(read, words), least))
     group = texts.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("row").alias("row"))
     # Rows that agree in id and text are one row here.
     kept = prints.join(group.select(F.col("row").alias("doc_id")), "doc_id", "left_semi")
-    repeated = kept.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.key").alias("_key")).groupBy("_id", "_key").agg(F.count("*").alias("_n")).checkpoint()
-    once = docs.join(repeated.where("_n = 1"), on, "left_semi")
-    more = repeated.where("_n > 1")
+    repeated = kept.select(F.col("doc_id.id").alias(id_), F.col("doc_id.key").alias(key_)).groupBy(id_, key_).agg(F.count("*").alias(n_)).checkpoint()
+    once = docs.join(repeated.where(F.col(n_) == 1), on, "left_semi")
+    more = repeated.where(F.col(n_) > 1)
     if more.isEmpty():
         return once
     return once.unionByName(docs.join(more, on, "left_semi").dropDuplicates([id_col, text_col]))

@@ -63,6 +63,25 @@ def test_odd_tables(spark, odd):
     assert removed[8]["n_removed"] == removed[8]["n_words"] > 0
 
 
+def test_stages_on_odd_tables(spark, odd):
+    clashing = ("_id", "_key", "_n", "_taken", "_bucket", "text_hash", "key", "bucket", "row", "heavy", "lang_pred", "held_out", "epochs", "budget")
+    docs = odd.withColumns({n: F.lit(n) for n in clashing})
+    for rows in (docs, docs.limit(0), docs.where("text IS NULL")):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, rows, SF)
+            if name == "token_output":
+                assert out.count() == rows.count()
+                continue
+            assert out.schema.simpleString() == docs.schema.simpleString(), name
+            kept = out.collect()
+            assert len(kept) <= rows.count()
+            assert all(r[n] == n for r in kept for n in clashing), name
+    languages = [r["doc_id"] for r in corpus_pipeline.known_language(spark, docs, SF).collect()]
+    assert not {1, 2, 5, 7} & set(languages)
+    clean = [r["doc_id"] for r in corpus_pipeline.decontaminated(spark, docs, SF).collect()]
+    assert sorted(map(str, clean)) == sorted(str(r["doc_id"]) for r in docs.collect())
+
+
 def test_odd_pages(spark):
     rows = [(1, None), (2, "no host"), (3, "http://a.com"), (4, "HTTP://Www.Example.COM/en/1?x"), (5, "http://example.com/en/"), (6, "http://x.net/es/1"), (None, "")]
     got = {r["page_id"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
