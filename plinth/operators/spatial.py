@@ -52,20 +52,23 @@ def select(features: DataFrame, query: SpatialQuery) -> DataFrame:
     return nearest(features, query.x0, query.y0)
 
 
-def nearest(features: DataFrame, x: float, y: float, tie: str = "hilbert_seq") -> DataFrame:
-    """The feature whose box centre is nearest; a top-1 in each task, then among those."""
+def nearest(features: DataFrame, x: float, y: float, *tie: Column | str) -> DataFrame:
+    """The feature whose box centre is nearest; a top-1 in each task, then among those.
+
+    Without ``tie``, equally near ones are taken in storage order, by ``hilbert_seq``.
+    """
     d2 = boxes.centroid_distance_squared(x, y)
-    return features.withColumn("d2", d2).orderBy("d2", tie).limit(1)
+    return features.withColumn("d2", d2).orderBy("d2", *(tie or ("hilbert_seq",))).limit(1)
 
 
-def nearest_many(features: DataFrame, points: DataFrame, tie: str = "hilbert_seq") -> DataFrame:
+def nearest_many(features: DataFrame, points: DataFrame, *tie: Column | str) -> DataFrame:
     """For each point (point_id, x, y) of a small stated set, the feature whose box centre is nearest.
 
     Each task keeps the best row of each point before anything is shuffled.
     """
     d2 = boxes.centroid_distance_squared(F.col("x"), F.col("y"))
     kept = [c for c in features.columns]
-    best = F.min_by(F.struct(*kept), F.struct(d2, F.col(tie))).alias("best")
+    best = F.min_by(F.struct(*kept), F.struct(d2, *(tie or ("hilbert_seq",)))).alias("best")
     return features.crossJoin(F.broadcast(points)).groupBy("point_id").agg(best, F.min(d2).alias("d2")).select("point_id", "best.*", "d2")
 
 

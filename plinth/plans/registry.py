@@ -136,7 +136,8 @@ _D2 = "((xmin + xmax) / 2.0 - {x}) * ((xmin + xmax) / 2.0 - {x}) + ((ymin + ymax
 
 @query(f"{HILBERT} SELECT key, CAST({_D2.format(x='700', y='50')} AS DOUBLE) AS d2 FROM ord ORDER BY d2, hilbert_seq LIMIT 1")
 def point_nearest(spark, sf_dir):
-    return spatial.select(ordered(spark, sf_dir), spatial.SpatialQuery("pointNearest", 700, 50)).select("key", "d2")
+    placed = spatial.with_hilbert(flat(features(spark, sf_dir)))
+    return spatial.nearest(placed, 700, 50, F.desc("hilbert"), "key").select("key", "d2")
 
 
 POINTS = [(1, 100.0, 10.0), (2, 900.0, 60.0), (3, 1500.0, 95.0)]
@@ -147,7 +148,8 @@ POINTS = [(1, 100.0, 10.0), (2, 900.0, 60.0), (3, 1500.0, 95.0)]
  SELECT point_id, key FROM r WHERE n = 1""")
 def point_nearest_many(spark, sf_dir):
     points = spark.createDataFrame(POINTS, "point_id long, x double, y double")
-    return spatial.nearest_many(ordered(spark, sf_dir), points).select("point_id", "key")
+    placed = spatial.with_hilbert(flat(features(spark, sf_dir)))
+    return spatial.nearest_many(placed, points, -F.col("hilbert"), "key").select("point_id", "key")
 
 
 def _attr(name: str, conditions: list, having: str, semantics: str = "feature", sql: str | None = None) -> None:
