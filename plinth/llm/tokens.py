@@ -19,7 +19,8 @@ import sys
 import types
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,10 @@ GROUP = 128
 BLOCK_IDS = 1 << 16
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Entries of a worker's cache of encoded words.
-CACHED = 300_000
+#: Entries of a worker's cache of encoded pieces, and the most characters of one.
+CACHED, KEPT_CHARS = 500_000, 64
+#: The array type of 4-byte unsigned integers.
+UNSIGNED = next(c for c in "IL" if array(c).itemsize == 4)
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,59 +128,65 @@ def _data(words: np.ndarray, at: int, group: int) -> bool:
     return n % 2 == 1
 
 
+class Pieces(dict):
+    """Ids of pieces as bytes, made by ``make`` when first asked for; only short ones are kept."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.make(piece)
+        if len(piece) <= KEPT_CHARS:
+            if len(self) >= CACHED:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Ids by the tokenizers library, with the ids of frequent words kept.
+    """Ids by the tokenizers library, with the ids of frequent pieces kept.
 
     The tokenizer drops white space and never joins characters across it, so a
-    text's ids are those of its words.  Words of Latin-1 letters, digits and
-    ASCII punctuation are cut into pieces here by the tokenizer's own rule and
-    each piece is encoded by its model; any other word, and any that holds the
+    text's ids are those of its words.  Texts of Latin-1 letters, digits, ASCII
+    punctuation and white space are cut into pieces here by the tokenizer's own
+    rule and each piece is encoded by its model.  In other texts that is done
+    word by word, and a word of other characters, or one that holds the
     beginning of a special token, is encoded whole by the library.
     """
 
-    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-z0-9à-öø-ÿß]+")
+    PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-z0-9à-öø-ÿß\t-\r ]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.pieces, self.words = Pieces(self.piece), Pieces(self.whole)
         # Printable bytes stand for themselves, the others for characters from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in shown]
-        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
 
     def piece(self, piece: str) -> bytes:
-        mapped = piece if piece.isascii() else "".join(self.shown[b] for b in piece.encode())
-        return np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], dtype="<u4").tobytes()
-
-    def word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if "<|" in text or not self.PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        found = []
-        for p in self.PIECES.findall(text.lower()):
-            ids = self.pieces.get(p)
-            if ids is None:
-                if len(self.pieces) >= CACHED:
-                    self.pieces.clear()
-                ids = self.pieces[p] = self.piece(p)
-            found.append(ids)
-        return b"".join(found)
+        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+        return array(UNSIGNED, [t.id for t in self.tokenize(mapped)]).tobytes()
+
+    def whole(self, word: str) -> bytes:
+        return array(UNSIGNED, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def plain(self, text: str) -> bool:
+        return "<|" not in text and self.PLAIN.fullmatch(text) is not None
+
+    def cut(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.PIECES.findall(text.lower())))
 
     def encode(self, text: bytes) -> np.ndarray:
-        words, kept = text.split(), self.words
-        found = list(map(kept.get, words))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    w = words[i]
-                    if len(kept) >= CACHED:
-                        kept.clear()
-                    found[i] = kept[w] = self.word(w)
-        return np.frombuffer(b"".join(found), dtype="<u4")
+        string = text.decode()
+        if self.plain(string):
+            return np.frombuffer(self.cut(string), dtype="<u4")
+        words = (w.decode() for w in text.split())
+        return np.frombuffer(b"".join([self.cut(w) if self.plain(w) else self.words[w] for w in words]), dtype="<u4")
 
 
 def encoder_of(path: str) -> Encoder:

@@ -120,7 +120,7 @@ def test_tokens_are_the_librarys(documents, spark):
 
     path = public_tokenizers.path(tokens.TOKENIZER)
     whole, own = Tokenizer.from_file(path), tokens.Encoder(path)
-    extra = ["It's I'LL Àé ß ÷× 12a3 «x» a\x1cb a b <|endoftext|> x<|startoftext|>y ΑΣ Σ İ é 中文 😀", "\x85 ª µ º --''s 's't"]
+    extra = ["It's I'LL Àé ß ÷× 12a3 «x» a\x1cb a b <|endoftext|> x<|startoftext|>y ΑΣ Σ İ é 中文 😀", "\x85 ª µ º --''s 's't", "It's I'LL Àé ß 12a3\ta\x0bb\x0cc\r\n's't --''s don'T's ÿÖx Þ " + "ab" * 50]
     start = 0
     got = {r["doc_id"]: r for r in tokens.op3(spark, SF).collect()}
     for doc, text in sorted(documents):
