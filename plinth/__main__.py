@@ -1,8 +1,9 @@
-"""The command line: ingest, export, info, obj, document, cbor and bson.
+"""The command line: ingest, export, info, obj, document, stats, cbor and bson.
 
     python -m plinth ingest IN OUT [--kind sequence|document] [--bbox x0,y0,x1,y1]
     python -m plinth export|obj|document DATASET OUT
     python -m plinth info DATASET
+    python -m plinth stats FOLDER [OUT] [--format csv|json] [--prefix NAME ...]
     python -m plinth cbor|bson IN OUT
 
 ``cbor`` and ``bson`` read one JSON file and write one file, ``-`` being the
@@ -19,7 +20,7 @@ from pyspark.sql import SparkSession
 
 from plinth.functions import encodings
 from plinth.operators import merge, spatial
-from plinth.sources import cityjson, dataset
+from plinth.sources import cityjson, collection, dataset
 
 
 def _convert(kind: str, source: str, target: str) -> None:
@@ -34,13 +35,15 @@ def _convert(kind: str, source: str, target: str) -> None:
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
     parser = argparse.ArgumentParser(prog="plinth", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
-    parser.add_argument("command", choices=["ingest", "export", "info", "obj", "document", "cbor", "bson"])
+    parser.add_argument("command", choices=["ingest", "export", "info", "obj", "document", "stats", "cbor", "bson"])
     parser.add_argument("source")
     parser.add_argument("target", nargs="?")
     parser.add_argument("--kind", default="sequence", choices=["sequence", "document"])
     parser.add_argument("--bbox")
+    parser.add_argument("--format", default="csv", choices=["csv", "json"])
+    parser.add_argument("--prefix", action="append", default=[])
     given = parser.parse_args(args)
-    if given.target is None and given.command != "info":
+    if given.target is None and given.command not in ("info", "stats"):
         parser.error("a target is needed")
     if given.command in encodings.ENCODE:
         return _convert(given.command, given.source, given.target)
@@ -49,6 +52,13 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         header, features = cityjson.read_cityjson(spark, given.source, given.kind)
         dataset.write_dataset(features, header, given.target, spatial.parse_bbox(given.bbox) if given.bbox else None)
         return None
+    if given.command == "stats":
+        found = collection.report(spark, given.source, tuple(given.prefix))
+        if given.target:
+            collection.write_report(found, given.target, given.format)
+        else:
+            print(found.orderBy("city").toPandas().to_string(index=False))
+        return None
     data = dataset.Dataset.open(spark, given.source)
     if given.command == "info":
         data.info().show(truncate=False, vertical=True)

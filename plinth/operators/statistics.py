@@ -70,6 +70,13 @@ def summary(rows: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def ratios(rows: DataFrame, key: str, kind: str, value: str, base) -> DataFrame:
+    """Mean of each kind within a key, and how many times the mean of kind ``base`` it is: 0 where that isn't positive."""
+    means = rows.groupBy(key, kind).agg(F.avg(value).alias("mean"))
+    own = F.max(F.when(F.col(kind) == base, F.col("mean"))).over(Window.partitionBy(key))
+    return means.select(key, kind, F.round("mean", 6).alias("mean"), F.round(values.safe_ratio(F.col("mean"), own), 6).alias("ratio"))
+
+
 def geometry_counts(objects: DataFrame, type_col: str = "geometry_type") -> DataFrame:
     """Numbers of solids, multi-surfaces and other geometries."""
     t = F.col(type_col)

@@ -326,6 +326,13 @@ def fastest_by_group(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.min_by("event_id", F.struct("value", "event_id")).alias("event_id"))
 
 
+@query("""WITH m AS (SELECT l_returnflag, l_linestatus, avg(l_quantity) AS mean FROM lineitem GROUP BY ALL),
+ b AS (SELECT *, max(mean) FILTER (l_linestatus = 'O') OVER (PARTITION BY l_returnflag) AS base FROM m)
+ SELECT l_returnflag, l_linestatus, round(mean, 6) AS mean, round(CASE WHEN base > 0 THEN mean / base ELSE 0 END, 6) AS ratio FROM b""")
+def format_ratios(spark, sf_dir):
+    return statistics.ratios(read(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", "l_quantity", "O")
+
+
 def _surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A MultiSurface for each order: a surface for each item, of one ring of three indices."""
     ring = F.array("l_partkey", "l_suppkey", F.col("l_linenumber").cast("long"))

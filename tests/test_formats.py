@@ -10,7 +10,7 @@ from plinth import __main__ as cli
 from plinth.errors import BadInput
 from plinth.functions import encodings
 from plinth.operators import merge, spatial
-from plinth.sources import cityjson, dataset, encoded
+from plinth.sources import cityjson, collection, dataset, encoded
 from plinth.streaming import sequence
 
 HEAD = {"type": "CityJSON", "version": "2.0", "transform": {"scale": [0.5, 0.5, 1.0], "translate": [10.0, 20.0, 0.0]}, "CityObjects": {}, "vertices": []}
@@ -92,6 +92,32 @@ def test_dataset(spark, city, tmp_path, capsys):
     assert ids(dataset.Dataset.open(spark, str(tmp_path / "e")).all()) == ["a"]
 
 
+def test_collection(spark, city, tmp_path, capsys):
+    where = tmp_path / "all of it"
+    where.mkdir()
+    text = open(city).read()
+    for name, suffix in (("ax", ".jsonl"), ("ax", ".city.jsonl"), ("b+y", ".jsonl"), ("lone", ".jsonl")):
+        (where / f"{name}{suffix}").write_text(text if suffix != ".jsonl" or name != "ax" else text + "\n")
+    for name in ("ax", "b+y"):
+        cli.main(["ingest", city, str(where / name)], spark)
+    rows = {r["city"]: r for r in collection.report(spark, str(where)).collect()}
+    assert sorted(rows) == ["ax", "b+y"]
+    for r in rows.values():
+        assert (r["features"], r["objects"], r["vertices"], r["columns"], r["sequence_bytes"]) == (3, 3, 7, 2, len(text))
+        assert r["mean_line_bytes"] == sum(map(len, text.splitlines()[1:])) / 3
+        assert r["compression"] == len(text) / r["stored_bytes"] and r["vertices_per_feature"] == 7 / 3
+    assert [r["city"] for r in collection.pairs(spark, str(where), ("b",)).collect()] == ["b+y"]
+    assert collection.report(spark, str(where), ("none",)).count() == 0
+    cli.main(["stats", str(where)], spark)
+    assert "b+y" in capsys.readouterr().out
+    for kind in ("csv", "json"):
+        cli.main(["stats", str(where), str(tmp_path / kind), "--format", kind, "--prefix", "a"], spark)
+        (made,) = glob.glob(str(tmp_path / kind / "part-*"))
+        assert len(open(made).read().splitlines()) == (2 if kind == "csv" else 1)
+    with pytest.raises(BadInput):
+        collection.write_report(collection.report(spark, str(where)), str(tmp_path / "z"), "xml")
+
+
 def corners(document, boundaries):
     return [corners(document, b) for b in boundaries] if isinstance(boundaries, list) else document["vertices"][boundaries]
 
