@@ -21,6 +21,16 @@ OBJECT_TYPES = (
     "TunnelConstructiveElement", "TunnelHollowSpace", "TunnelFurniture", "WaterBody",
 )
 
+#: The semantic surface types of CityJSON.
+SURFACE_TYPES = (
+    "RoofSurface", "GroundSurface", "WallSurface", "ClosureSurface", "OuterCeilingSurface", "OuterFloorSurface", "Window", "Door",
+    "InteriorWallSurface", "CeilingSurface", "FloorSurface", "WaterSurface", "WaterGroundSurface", "WaterClosureSurface",
+    "TrafficArea", "AuxiliaryTrafficArea", "TransportationMarking", "TransportationHole",
+)
+
+#: Bytes of a stored attribute of each type of fixed size.
+SIZES = {"Byte": 1, "UByte": 1, "Bool": 1, "Short": 2, "UShort": 2, "Int": 4, "UInt": 4, "Long": 8, "ULong": 8, "Float": 4, "Double": 8}
+
 RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
 
 
@@ -58,6 +68,42 @@ def normalise_type(name: Column) -> Column:
     return F.when(name.isin(*OBJECT_TYPES) | name.startswith("+"), name).otherwise("GenericCityObject")
 
 
+def surface_type(name: Column) -> Column:
+    """type and extension: known surface types as they are, others as ExtraSemanticSurface; names with a plus are extensions."""
+    known = F.when(name.isin(*SURFACE_TYPES), name).otherwise("ExtraSemanticSurface")
+    return F.struct(known.alias("type"), F.when(name.startswith("+"), name).alias("extension"))
+
+
+def point_of_contact(metadata: Column) -> Column:
+    """The contact in a header's metadata (variant); null without one.
+
+    Fails without a name or an e-mail address.  The address is there only with
+    all five of its parts, of which the number must be a whole one.
+    """
+    at = lambda path, kind="string": F.try_variant_get(metadata, f"$.pointOfContact{path}", kind)
+    needed = lambda path: F.coalesce(at(path), F.raise_error(F.lit(f"missing field: {path[1:]}")).cast("string"))
+    parts = {
+        "thoroughfare_number": at(".address.thoroughfareNumber", "bigint"), "thoroughfare_name": at(".address.thoroughfareName"), "locality": at(".address.locality"),
+        "postcode": F.coalesce(at(".address.postcode"), at(".address.postalCode")), "country": at(".address.country"),
+    }
+    whole = F.lit(True)
+    for c in parts.values():
+        whole = whole & c.isNotNull()
+    address = F.when(whole, F.struct(*(c.alias(n) for n, c in parts.items())))
+    contact = F.struct(
+        needed(".contactName").alias("name"), at(".contactType").alias("type"), at(".role").alias("role"), at(".phone").alias("phone"),
+        needed(".emailAddress").alias("email"), at(".website").alias("website"), address.alias("address"),
+    )
+    return F.when(at("", "variant").isNotNull(), contact)
+
+
+def attribute_size(kind: Column, json: Column) -> Column:
+    """Bytes that an attribute of a type takes when it is stored; texts and JSON have their length before them."""
+    fixed = F.element_at(F.create_map(*(F.lit(x) for pair in SIZES.items() for x in pair)), kind)
+    text = F.coalesce(F.try_variant_get(F.try_parse_json(json), "$", "string"), F.lit(""))
+    return F.when(kind == "Json", F.octet_length(json) + 4).when(kind.isin("String", "DateTime", "Binary"), F.octet_length(text) + 4).otherwise(fixed)
+
+
 def reference_system(url: Column) -> Column:
     """Authority, version and code of a CRS URL; numbers that don't parse are 0."""
     part = lambda n: F.regexp_extract(url, r"/def/crs/([^/]+)/([^/]+)/([^/]+)$", n)
@@ -81,3 +127,8 @@ def format_size(n: Column) -> Column:
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), 1):
         out = F.when(n >= 1024**k, F.format_string(f"%.2f {unit}", n / float(1024**k))).otherwise(out)
     return out
+
+
+def format_duration(seconds: Column) -> Column:
+    """Seconds for people; less than one as milliseconds."""
+    return F.when(seconds >= 1, F.format_string("%.2fs", seconds)).otherwise(F.format_string("%.2fms", seconds * 1000.0))

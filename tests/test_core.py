@@ -126,3 +126,30 @@ def test_sequence(spark, tmp_path):
     cityjson.write_sequence(features, header, str(tmp_path / "out"))
     _, again = cityjson.read_cityjson(spark, str(tmp_path / "out"))
     assert sorted(r["feature_id"] for r in again.collect()) == ["a", "b"]
+
+
+def test_surface_types(spark):
+    rows = spark.createDataFrame([("Door",), ("+Solar",), ("Hedge",), (None,)], "n string").select(values.surface_type(F.col("n")).alias("s")).select("s.*")
+    assert [tuple(r) for r in rows.collect()] == [("Door", None), ("ExtraSemanticSurface", "+Solar"), ("ExtraSemanticSurface", None), ("ExtraSemanticSurface", None)]
+
+
+def test_point_of_contact(spark):
+    address = {"thoroughfareNumber": 7, "thoroughfareName": "Lane", "locality": "Town", "postcode": "1A", "country": "Land"}
+    got = lambda m: spark.createDataFrame([(json.dumps(m),)], "j string").select(values.point_of_contact(F.parse_json("j")).alias("c")).first()["c"]
+    contact = {"contactName": "Ann", "emailAddress": "a@b.c", "role": "owner", "address": address}
+    whole = got({"pointOfContact": contact})
+    assert (whole["name"], whole["email"], whole["role"], whole["phone"]) == ("Ann", "a@b.c", "owner", None)
+    assert tuple(whole["address"]) == (7, "Lane", "Town", "1A", "Land")
+    assert got({"pointOfContact": contact | {"address": address | {"thoroughfareNumber": "7b"}}})["address"] is None
+    assert got({"pointOfContact": contact | {"address": {"country": "Land"}}})["address"] is None
+    assert got({"title": "x"}) is None
+    with pytest.raises(Exception, match="emailAddress"):
+        got({"pointOfContact": {"contactName": "Ann"}})
+
+
+def test_sizes_and_durations(spark):
+    rows = [("Bool", "true", 1), ("Double", "1.5", 8), ("String", '"é"', 6), ("DateTime", '"2020-01-01T00:00:00Z"', 24), ("Json", "[1,2]", 9), ("Int", "3", 4)]
+    got = spark.createDataFrame(rows, "k string, j string, n int").select("n", values.attribute_size(F.col("k"), F.col("j")).alias("m"))
+    assert all(r["n"] == r["m"] for r in got.collect())
+    took = spark.createDataFrame([(0.25,), (2.5,)], "s double").select(values.format_duration(F.col("s")).alias("t"))
+    assert [r["t"] for r in took.collect()] == ["250.00ms", "2.50s"]
