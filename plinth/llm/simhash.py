@@ -103,7 +103,7 @@ def forest(nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
         reached, rest = [rest[0]], rest[1:]
         while reached and len(rest):
             at = reached.pop()
-            near = np.bitwise_count(rest ^ at) <= radius
+            near = np.bitwise_count((rest ^ at).view(np.uint64)) <= radius  # of a signed number it counts the absolute value's bits
             if near.any():
                 found = rest[near]
                 edges += [(int(at), int(x)) for x in found]

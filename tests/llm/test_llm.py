@@ -182,6 +182,22 @@ def test_covering_and_heavy_buckets(spark):
     assert all(c in {x for _, x in results[0]} for c in [min(fps)])
 
 
+def test_distance_with_the_sign_bit(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(-(1 << 63), (1 << 63) - 1, 61)
+    fps = [(int(f) + (1 << 64)) % (1 << 64) for f in base]
+    fps += [f ^ (1 << 63) ^ (1 << j) for j, f in enumerate(fps)] + [f ^ (7 << 61) for f in fps]
+    prints = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "doc_id long, fp long")
+    parent = list(range(len(fps)))
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 2:
+                low, high = sorted((parent[a], parent[b]))
+                parent = [low if x == high else x for x in parent]
+    assert len(set(parent)) == 122
+    assert dict(simhash.components(prints, 2).select("doc_id", "component_id").collect()) == dict(enumerate(parent))
+
+
 def test_similar_forest_brute():
     rng = np.random.default_rng(5)
     sets = []
