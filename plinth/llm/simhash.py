@@ -36,6 +36,9 @@ WORDS, SIMILAR = 5, 0.8
 #: Members of all sets of a component that one task compares; the tasks that a large component is dealt over.
 HEAVY_MARKS, SALTS = 8_000_000, 32
 CHUNK = 1 << 16
+#: MinHash bands and the minima of a band.  A pair whose sets have a similarity of 0.8
+#: shares no band with a probability of (1 - 0.8^5)^40 = 1.3e-7, a more similar pair with less.
+BANDS, ROWS = 40, 5
 
 
 def shingles(words: list[bytes], size: int) -> Iterator[bytes]:
@@ -86,6 +89,67 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return common.map_arrow(common.id_text(docs, id_col, text_col), run, schema)
 
 
+_FACTORS = np.random.default_rng(11).integers(0, 1 << 64, (3, BANDS * ROWS), dtype=np.uint64)
+
+
+def bands(words: list[bytes], size: int = WORDS) -> np.ndarray:
+    """A hash of each band of the minima over the text's ``size``-word shingles; none without words."""
+    held = {xxhash.xxh64_intdigest(s, SEED) for s in shingles(words, size)}
+    if not held:
+        return np.empty(0, dtype=np.int64)
+    marks = np.fromiter(held, dtype=np.uint64, count=len(held))
+    factor, added, mixed = _FACTORS[0] | np.uint64(1), _FACTORS[1], _FACTORS[2] | np.uint64(1)
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for i in range(0, len(marks), 1 << 10):
+        part = marks[i : i + (1 << 10), None] * factor
+        part += added
+        np.minimum(least, part.min(axis=0), out=least)
+    least ^= least >> np.uint64(32)
+    return (least * mixed).reshape(BANDS, ROWS).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def banded(docs: DataFrame, id_col: str, text_col: str, size: int | None, words: int) -> DataFrame:
+    """``fingerprints``, with the hashes of the text's bands."""
+    common.prepare(docs.sparkSession)
+    schema = T.StructType([common.id_field(docs, id_col), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+
+    def run(batch: pa.RecordBatch) -> dict:
+        made, held = [], []
+        for text in common.utf8(batch.column("text")):
+            w = text.lower().split()
+            made.append(fingerprint(w, size) if size else fingerprint(sorted(set(w)), 1))
+            held.append(bands(w, words))
+        return {"doc_id": batch.column("doc_id"), "fp": pa.array(np.array(made, dtype=np.uint64).view(np.int64)), "bands": pa.array(held, type=pa.list_(pa.int64()))}
+
+    return common.map_arrow(common.id_text(docs, id_col, text_col), run, schema)
+
+
+def band_links(rows: DataFrame) -> DataFrame:
+    """Edges a, b from the least fingerprint of each band's hash to the others (``rows``: fp, bands).
+
+    A hash's rows are read in order and not held, however many they are.
+    """
+    parts = common.parts_for(rows.sparkSession)
+    keyed = rows.select(F.posexplode("bands").alias("t", "h"), "fp").select(F.xxhash64("t", "h").alias("bucket"), "fp")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    arrow = common.to_arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, first = None, 0
+        for batch in batches:
+            k, f = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "fp"))
+            if not len(k):
+                continue
+            new = np.concatenate(([last is None or k[0] != last], k[1:] != k[:-1]))
+            starts = np.concatenate(([first], f[new]))[np.cumsum(new)]
+            last, first = k[-1], starts[-1]
+            other = starts != f
+            if other.any():
+                yield pa.RecordBatch.from_arrays([pa.array(starts[other]), pa.array(f[other])], schema=arrow)
+
+    return keyed.repartition(parts, "bucket").sortWithinPartitions("bucket", "fp").mapInArrow(run, schema).distinct()
+
+
 def masks(radius: int, bits: int = BITS) -> list[int]:
     """One mask for each non-zero vector of ``radius`` + 1 bits, as signed longs."""
     vectors = list(range(1, 1 << (radius + 1)))
@@ -184,13 +248,16 @@ def links(nodes: DataFrame, radius: int = RADIUS, heavy: int = HEAVY) -> DataFra
     return found.unionByName(more).distinct()
 
 
-def components(prints: DataFrame, radius: int = RADIUS, heavy: int = HEAVY) -> DataFrame:
+def components(prints: DataFrame, radius: int = RADIUS, heavy: int = HEAVY, more: DataFrame | None = None) -> DataFrame:
     """``prints``: doc_id, fp.  Returns each row with component_id, the smallest doc_id that links reach.
 
+    ``more`` has edges a, b between fingerprints besides those within the radius.
+
     Null ids never are a component's id unless it has no other.
     """
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = graph.components(links(nodes.select("fp"), radius, heavy)).withColumnRenamed("node", "fp")
+    edges = links(nodes.select("fp"), radius, heavy)
+    linked = graph.components(edges if more is None else edges.unionByName(more)).withColumnRenamed("node", "fp")
     roots = nodes.join(linked, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     moved = linked.join(roots, "root").select("fp", "component_id")
     of = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
@@ -330,7 +397,8 @@ def similar_links(sets: DataFrame, least: float = SIMILAR, heavy: int = HEAVY_MA
 def keep_one(docs: DataFrame, size: int | None, radius: int, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = SIMILAR) -> DataFrame:
     """One row of each group of near copies, with all its columns: one of the smallest id.
 
-    The fingerprints' components choose candidates.  Within a component, texts are
+    Candidates are the components that fingerprints within the radius and equal
+    MinHash bands of the ``words``-word shingles connect.  Within a component, texts are
     linked where their sets of ``words``-word shingles have a Jaccard similarity of
     ``least`` or more, and a group is what such links connect.  A group whose rows
     all lack an id keeps one of them.
@@ -339,10 +407,11 @@ def keep_one(docs: DataFrame, size: int | None, radius: int, id_col: str = "doc_
     id_, key_, bucket_, n_ = (common.fresh(docs, n) for n in ("_id", "_key", "_bucket", "_n"))
     key = F.coalesce(F.xxhash64(docs[text_col], F.lit(1)), F.lit(0))
     row = F.struct(docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id"), key.alias("key"))
-    prints = fingerprints(docs.select(row.alias("row"), docs[text_col].alias("text")), "row", "text", size).checkpoint()
+    made = banded(docs.select(row.alias("row"), docs[text_col].alias("text")), "row", "text", size, words).checkpoint()
+    prints = made.select("doc_id", "fp")
     # Equal texts are one node, before anything is joined by fingerprint.
-    one = prints.groupBy(F.col("doc_id.key").alias("node"), "fp").agg(F.min("doc_id").alias("doc_id")).checkpoint()
-    found = components(one.select("doc_id", "fp"), radius)
+    one = made.groupBy(F.col("doc_id.key").alias("node"), "fp").agg(F.min("doc_id").alias("doc_id"), F.min("bands").alias("bands")).checkpoint()
+    found = components(one.select("doc_id", "fp"), radius, more=band_links(one.select("fp", "bands")))
     texts = found.select(F.xxhash64("component_id").alias("bucket"), F.col("doc_id.key").alias("node"), F.col("doc_id").alias("row")).checkpoint()
     # A large component's texts are dealt over ``SALTS`` tasks.
     several = texts.groupBy("bucket").count().where("count > 1").select("bucket", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))

@@ -248,6 +248,48 @@ def test_near_dedup(spark, monkeypatch, heavy):
     assert simhash.keep_one(docs.limit(0), None, 6).count() == 0
 
 
+def planted_rows(documents):
+    """Texts with near copies of contiguous edits: 5 % and 10 % of the end replaced by another text's or by new words, appends, short texts."""
+    rng = np.random.default_rng(8)
+    texts = [t.split() for _, t in documents if t and len(t.split()) >= 40][:120]
+    out = []
+    for i, w in enumerate(texts):
+        other, new = texts[(i + 60) % len(texts)], [f"n{i}x{j}" for j in range(len(w))]
+        n, m = len(w) // 20, len(w) // 10
+        short = [f"s{i}x{int(x)}" for x in rng.integers(0, 10**6, 16 + i % 5)]
+        out += [w, w[:-n] + other[-n:], w[:-m] + other[-m:], w[:-n] + new[:n], w[:-m] + new[:m], w + new[: len(w) // 5], short, short[:-1] + [f"e{i}"], short + [f"e{i}", f"f{i}"]]
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+def test_near_dedup_of_contiguous_edits(spark, documents):
+    rows = planted_rows(documents)
+    sets = []
+    for _, t in rows:
+        w = words(t)
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    having, parent = {}, list(range(len(rows)))
+    for i, s in enumerate(sets):
+        for x in s:
+            having.setdefault(x, []).append(i)
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    pairs = 0
+    for i, s in enumerate(sets):
+        for j in {j for x in s for j in having[x] if j < i}:
+            both = len(s & sets[j])
+            if both >= 0.8 * (len(s) + len(sets[j]) - both) - 1e-9:
+                low, high = sorted((root(i), root(j)))
+                parent[high] = low
+                pairs += 1
+    assert pairs > 500
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), None, 6)
+    assert sorted(r["doc_id"] for r in got.collect()) == [i for i in range(len(rows)) if root(i) == i]
+
+
 def test_sketch():
     a = sketch.digests(b"one two three four\nfive six seven\n" * 30)
     b = sketch.digests(b"one two three four\nfive six seven\n" * 20 + b"other words here\n" * 9)
