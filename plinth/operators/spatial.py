@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from plinth.errors import BadBox
 from plinth.functions import boxes
 
+#: Grids of the box join, each four times as coarse as the one before.
+GRIDS = 24
+
 
 def parse_bbox(text: str) -> tuple[float, float, float, float]:
     """Four comma-separated numbers, minima before maxima."""
@@ -124,19 +127,43 @@ def tiles(features: DataFrame, node: int = 16) -> DataFrame:
 
 
 def join_boxes(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
-    """Pairs of overlapping boxes: an equi-join on grid cells, each pair kept in one cell only.
+    """Pairs of overlapping boxes: equi-joins on grid cells, each pair kept in one cell only.
 
     Both sides need xmin to ymax; the right side's columns get the prefix ``r_``.
+    A box has the finest grid, of cells of ``size`` times a power of four, whose
+    cells are as large as the box; it covers four cells at most there.  A pair
+    meets in the coarser grid of the two, so wide boxes cost no more cells.
     """
+    grids = F.sequence(F.lit(0), F.lit(GRIDS - 1))
+
+    def graded(df: DataFrame) -> DataFrame:
+        width = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+        fits = F.filter(grids, lambda g: width <= F.lit(float(size)) * F.pow(F.lit(4.0), g))
+        return df.withColumn("own", F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(GRIDS - 1)))
 
     def celled(df: DataFrame) -> DataFrame:
-        across = F.sequence(F.floor(F.col("xmin") / size), F.floor(F.col("xmax") / size))
-        down = F.sequence(F.floor(F.col("ymin") / size), F.floor(F.col("ymax") / size))
+        cell = F.lit(float(size)) * F.pow(F.lit(4.0), F.col("grid"))
+        across = F.sequence(F.floor(F.col("xmin") / cell), F.floor(F.col("xmax") / cell))
+        down = F.sequence(F.floor(F.col("ymin") / cell), F.floor(F.col("ymax") / cell))
         return df.withColumn("cx", F.explode(across)).withColumn("cy", F.explode(down))
 
-    r = celled(right)
-    r = r.select(*(F.col(c).alias(f"r_{c}") for c in right.columns), "cx", "cy")
-    pairs = celled(left).join(r, ["cx", "cy"])
+    def used(df: DataFrame) -> list[int]:
+        return [r["own"] for r in df.select("own").where(F.col("own").isNotNull()).distinct().collect()]
+
+    def coarser(df: DataFrame, others: list[int], equal: bool) -> DataFrame:
+        """The cells of each box in the grids of the other side that are coarser than its own, or ``equal``."""
+        there = F.array(*map(F.lit, sorted(others))).cast("array<int>")
+        return celled(df.withColumn("grid", F.explode(F.filter(there, lambda g: (g >= F.col("own")) if equal else (g > F.col("own"))))))
+
+    def prefixed(df: DataFrame) -> DataFrame:
+        return df.select(*(F.col(c).alias(f"r_{c}") for c in right.columns), "grid", "cx", "cy")
+
+    a, b = graded(left), graded(right)
+    own_a, own_b = celled(a.withColumn("grid", F.col("own"))), celled(b.withColumn("grid", F.col("own")))
+    on = ["grid", "cx", "cy"]
+    kept = [*left.columns, *(f"r_{c}" for c in right.columns), *on]
+    pairs = own_a.join(prefixed(coarser(b, used(a), True)), on).select(kept).unionByName(coarser(a, used(b), False).join(prefixed(own_b), on).select(kept))
     meet = (F.col("xmax") >= F.col("r_xmin")) & (F.col("xmin") <= F.col("r_xmax")) & (F.col("ymax") >= F.col("r_ymin")) & (F.col("ymin") <= F.col("r_ymax"))
-    first = (F.col("cx") == F.floor(F.greatest("xmin", "r_xmin") / size)) & (F.col("cy") == F.floor(F.greatest("ymin", "r_ymin") / size))
-    return pairs.where(meet & first).drop("cx", "cy")
+    cell = F.lit(float(size)) * F.pow(F.lit(4.0), F.col("grid"))
+    first = (F.col("cx") == F.floor(F.greatest("xmin", "r_xmin") / cell)) & (F.col("cy") == F.floor(F.greatest("ymin", "r_ymin") / cell))
+    return pairs.where(meet & first).drop(*on)

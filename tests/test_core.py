@@ -1,6 +1,7 @@
 import json
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,17 @@ def test_sizes_and_durations(spark):
     assert all(r["n"] == r["m"] for r in got.collect())
     took = spark.createDataFrame([(0.25,), (2.5,)], "s double").select(values.format_duration(F.col("s")).alias("t"))
     assert [r["t"] for r in took.collect()] == ["250.00ms", "2.50s"]
+
+
+def test_join_boxes_of_any_width(spark):
+    rng = np.random.default_rng(6)
+
+    def some(n):
+        low = rng.integers(-1000, 1000, (n, 2))
+        return [(i, *map(float, (x, y, x + w, y + h))) for i, ((x, y), w, h) in enumerate(zip(low.tolist(), *(10.0 ** rng.uniform(0, 4, (2, n))).round()))] + [(n, -1e9, 0.0, 1e9, 1.0)]
+
+    a, b = some(150), some(150)
+    schema = "id long, xmin double, ymin double, xmax double, ymax double"
+    got = spatial.join_boxes(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), 50.0).select("id", "r_id").collect()
+    want = [(p[0], q[0]) for p in a for q in b if p[3] >= q[1] and p[1] <= q[3] and p[4] >= q[2] and p[2] <= q[4]]
+    assert sorted(map(tuple, got)) == sorted(want)
