@@ -7,16 +7,18 @@ what the operators' word definitions ask for.
 
 from __future__ import annotations
 
+import json
 import tempfile
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch; a batch of long texts stays small.
-BATCH_ROWS = 1000
+#: Rows and bytes of a batch that are worked on at once, whatever the session's own batches hold.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 #: Bytes that separate words, for words of ASCII letters, digits and all non-ASCII characters.
 #: Upper-case ASCII letters become lower-case ones, everything else in ASCII a space.
@@ -30,25 +32,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession) -> None:
-    """Keep Arrow batches small, so that very long texts fit a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
-    shared_dir(spark)
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``, or, on one machine, one of our own where it is unset.
+
+    The application's own checkpoints in it are deleted when it ends.
+    """
     context = spark.sparkContext
     where = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
-        where = getattr(context, "_plinth_shared", None) or tempfile.mkdtemp(prefix="plinth-")
-        context._plinth_shared = where
+        where = getattr(context, "_plinth_shared", None)
+        if where is None and not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        where = context._plinth_shared = where or tempfile.mkdtemp(prefix="plinth-")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(where)
+    if not getattr(context, "_plinth_own", False):
+        context._plinth_own = _until_exit(spark, context._jsc.sc().getCheckpointDir().get())
     return where
 
 
+def _until_exit(spark: SparkSession, where: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.mkdirs(path) and files.deleteOnExit(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the application ends."""
+    where = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _until_exit(spark, where)
+    return where
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written to a scratch folder."""
+    where = scratch(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of bounded size; a slice of one row may be larger."""
+    for batch in batches:
+        rows = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's texts as UTF-8 bytes; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -70,7 +100,7 @@ def map_arrow(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = setup() if setup else None
-        for batch in batches:
+        for batch in pieces(batches):
             made = function(batch, state) if setup else function(batch)
             if isinstance(made, dict):
                 made = pa.RecordBatch.from_arrays(
@@ -116,10 +146,19 @@ def split_points(ids: DataFrame, column: str, parts: int) -> list[int]:
 
 
 def range_of(column, points: list[int]):
-    """The number of the range that a value falls into: how many of ``points`` are at most the value."""
+    """The number of the range that a value falls into: how many of the ascending ``points`` are at most the value.
+
+    The points are two literals, blocks and the blocks' first points, so that a
+    value is compared with about twice the square root of their number.
+    """
     if not points:
         return F.lit(0)
-    return F.size(F.filter(F.array(*map(F.lit, points)), lambda p: p <= column))
+    step = max(1, round(len(points) ** 0.5))
+    blocks = [points[i : i + step] for i in range(0, len(points), step)]
+    at_most = lambda ps: F.size(F.filter(ps, lambda p: p <= column))
+    k = at_most(F.from_json(F.lit(json.dumps([b[0] for b in blocks])), "array<bigint>"))
+    inner = at_most(F.get(F.from_json(F.lit(json.dumps(blocks)), "array<array<bigint>>"), k - 1))
+    return F.when(k == 0, F.lit(0)).otherwise((k - 1) * step + inner)
 
 
 def parts_for(spark: SparkSession) -> int:

@@ -4,30 +4,32 @@ A word that was seen in training counts by its log frequency in each language.
 A word that was not falls back to its character n-grams: the longest length of
 which it has known n-grams decides, down to single characters.
 
-Training takes at most about ``TRAIN_DOCS`` labelled documents, chosen by the
-hash of their ids, and keeps the most frequent words and n-grams; both bounds
-are parameters.  Prediction reads every text whole.
+Training takes about ``train_docs`` labelled documents (``TRAIN_DOCS`` unless
+told otherwise), chosen by the hash of their ids, and keeps all their words and
+n-grams.  Words are counted in the texts; n-grams follow from the distinct words
+and their counts.  Prediction reads every text whole: a text is a list of row
+numbers in the table of words, and one gather and sum gives its log likelihoods.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plinth.llm import common
 
-TRAIN_DOCS = 20_000
-MAX_WORDS, MAX_GRAMS, LONGEST = 60_000, 60_000, 4
-#: Entries of a task's tables before they are given out or begun anew.
-HELD = 200_000
+#: The bound of the training sample, and the longest n-gram.
+TRAIN_DOCS, LONGEST = 20_000, 4
+#: Entries of a task's counts before they are given out and begun anew; characters of unseen words that a worker keeps the rows of.
+HELD, HELD_CHARS = 200_000, 16_000_000
 #: From this many words on, more words don't make the score more certain.
 SURE_WORDS = 20
 #: The pipeline rejects what scores less.
@@ -36,9 +38,9 @@ UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_in(text: str) -> Counter:
-    """Lower-cased runs of letters, with how often they occur."""
-    return Counter(w for w in WORD.findall(text.lower()) if w.isalpha() or any(map(str.isalpha, w)))
+def words_in(text: str) -> list[str]:
+    """Lower-cased runs of letters (and of number signs that aren't digits), in order."""
+    return WORD.findall(text.lower())
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -48,128 +50,188 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    def __init__(self, rows: list[tuple[int, str, dict[str, int]]], languages: list[str]):
-        """``rows``: length of the n-gram (0: a word), the word or n-gram, and its counts by language."""
-        self.languages = sorted(languages)
-        totals: dict[int, np.ndarray] = defaultdict(lambda: np.zeros(len(self.languages)))
-        kinds: Counter = Counter()
-        for n, _, counts in rows:
-            totals[n] += [counts.get(x, 0) for x in self.languages]
-            kinds[n] += 1
-        self.tables: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-        for n, token, counts in rows:
-            c = np.array([counts.get(x, 0) for x in self.languages])
-            self.tables[n][token] = np.log((c + 0.5) / (totals[n] + 0.5 * kinds[n]))
-
-    def word(self, word: str) -> np.ndarray | None:
-        """Log frequencies by language, from the word or else from its longest known n-grams."""
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
-        for n in range(LONGEST, 0, -1):
-            found = [v for g in grams_of(word, n) if (v := self.tables[n].get(g)) is not None]
-            if found:
-                return sum(found) / len(found)
-        return None
+    """Log frequencies by language of words (length 0) and n-grams.
+
+    A word's row has its log frequencies, then its share of known n-grams at the
+    length that decides (1 for a known word), then 1 if it has a letter.
+    """
 
-    def predict(self, text: str | None, cache: dict) -> tuple[str, float]:
+    def __init__(self, languages: list[str], counts: dict[int, tuple[list[str], np.ndarray]]):
+        """``counts``: for each length, the tokens and their counts, a row a token and a column a language."""
+        self.languages = languages
+        self.tokens = {n: tokens for n, (tokens, _) in counts.items()}
+        self.logs = {n: np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * len(c))) for n, (_, c) in counts.items() if len(c)}
+        self.index: dict[str, int] | None = None
+
+    def __getstate__(self) -> dict:
+        return {"languages": self.languages, "tokens": self.tokens, "logs": self.logs, "index": None}
+
+    def ready(self) -> None:
+        """Build the tables; the rows of unseen words are kept from text to text, up to ``HELD_CHARS``."""
+        if self.index is None:
+            self.grams = {n: {t: i for i, t in enumerate(self.tokens[n])} for n in self.logs if n}
+            known = self.logs.get(0, np.zeros((0, len(self.languages))))
+            self.base = len(known)
+            self.table = np.ones((self.base + 1024, len(self.languages) + 2))
+            self.table[: self.base, :-2] = known
+            self.index = dict(zip(self.tokens.get(0, ()), range(self.base)))
+            self.added, self.held = [], 0
+        elif self.held > HELD_CHARS:
+            for w in self.added:
+                del self.index[w]
+            self.added, self.held = [], 0
+
+    def unseen(self, word: str) -> np.ndarray:
+        """The row of a word that training didn't see: from its longest known n-grams, all 0 without any."""
+        row = np.zeros(len(self.languages) + 2)
+        row[-1] = any(map(str.isalpha, word))
+        for n in range(LONGEST, 0, -1) if row[-1] else ():
+            grams, at = grams_of(word, n), self.grams.get(n, {})
+            found = [i for g in grams if (i := at.get(g)) is not None]
+            if found:
+                row[:-2], row[-2] = self.logs[n][found].mean(axis=0), len(found) / len(grams)
+                break
+        return row
+
+    def row(self, word: str) -> int:
+        i = self.index.get(word)
+        if i is None:
+            i = self.index[word] = self.base + len(self.added)
+            self.added.append(word)
+            self.held += len(word) + 50
+            if i >= len(self.table):
+                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+            self.table[i] = self.unseen(word)
+        return i
+
+    def predict(self, text: str | None) -> tuple[str, float]:
         words = words_in(text or "")
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        total, n = np.zeros(len(self.languages)), 0
-        for word, k in words.items():
-            v = cache.get(word, cache)
-            if v is cache:
-                if len(cache) >= HELD:
-                    cache.clear()
-                v = cache[word] = self.word(word)
-            if v is not None:
-                total += k * v
-                n += k
+        self.ready()
+        rows = list(map(self.index.get, words))
+        if None in rows:
+            rows = [self.row(w) if i is None else i for i, w in zip(rows, words)]
+        total = self.table[rows].sum(axis=0)
+        n, explained, logs = total[-1], total[-2], total[:-2]
+        if n == 0:
+            return UNKNOWN, 0.0
         if n > SURE_WORDS:
-            total *= SURE_WORDS / n
-        p = np.exp(total - total.max())
+            logs = logs * (SURE_WORDS / n)
+        p = np.exp(logs - logs.max())
         best = int(p.argmax())
-        return self.languages[best], float(p[best] / p.sum())
+        return self.languages[best], float(p[best] / p.sum() * explained / n)
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
-    """Fit on labelled documents that are not held out; rows without id, text or label are not used."""
-    id_, text, lang = docs[id_col], docs[text_col], docs[lang_col]
-    ready = id_.isNotNull() & text.isNotNull() & lang.isNotNull() & ~held_out(id_)
-    labelled = docs.where(ready).select(id_.alias("id"), lang.cast("string").alias("lang"), text.cast("string").alias("text"))
-    n = labelled.select("lang").count()
-    if n > train_docs:
-        labelled = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * train_docs / n))
-    schema = T.StructType([T.StructField("lang", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("token", T.StringType()), T.StructField("k", T.LongType())])
-    arrow = common.to_arrow(schema)
+_COUNTS = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("token", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("k", T.LongType())])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _counted(df: DataFrame, add) -> DataFrame:
+    """Counts of what ``add`` puts from each batch into a Counter by (n, token, lang)."""
+    arrow = common.to_arrow(_COUNTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
 
         def made() -> pa.RecordBatch:
-            columns = zip(*((lang, n, token, k) for (lang, n, token), k in counts.items())) if counts else [[]] * 4
+            columns = zip(*((*key, k) for key, k in counts.items())) if counts else [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                for w, k in words_in(text).items():
-                    counts[lang, 0, w] += k
-                    for n in range(1, LONGEST + 1):
-                        for g in grams_of(w, n):
-                            counts[lang, n, g] += k
+        for batch in common.pieces(batches):
+            for _ in add(batch, counts):
                 if len(counts) >= HELD:
                     yield made()
                     counts.clear()
         yield made()
 
-    counts = labelled.select("lang", "text").mapInArrow(count, schema).groupBy("n", "token", "lang").agg(F.sum("k").alias("k"))
-    by_token = counts.groupBy("n", "token").agg(F.sum("k").alias("total"), F.collect_list(F.struct("lang", "k")).alias("by"))
+    return df.mapInArrow(run, _COUNTS).groupBy("n", "token", "lang").agg(F.sum("k").alias("k"))
+
+
+def _words(batch: pa.RecordBatch, counts: Counter):
+    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+        for w, k in Counter(words_in(text)).items():
+            if w.isalpha() or any(map(str.isalpha, w)):
+                counts[0, w, lang] += k
+        yield
+
+
+def _grams(batch: pa.RecordBatch, counts: Counter):
+    for w, lang, k in zip(*(batch.column(c).to_pylist() for c in ("token", "lang", "k"))):
+        for n in range(1, LONGEST + 1):
+            for g in grams_of(w, n):
+                counts[n, g, lang] += k
+        yield
+
+
+def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> DataFrame:
+    """n (0: a word), token, lang and count over the training documents; rows without id, text or label are not used."""
+    id_, text, lang = docs[id_col], docs[text_col], docs[lang_col]
+    ready = id_.isNotNull() & text.isNotNull() & lang.isNotNull() & ~held_out(id_)
+    labelled = docs.where(ready).select(id_.alias("id"), lang.cast("string").alias("lang"), text.cast("string").alias("text"))
+    n = labelled.select("lang").count()
+    if n > train_docs:
+        labelled = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * train_docs / n))
     common.shared_dir(docs.sparkSession)
-    by_token = by_token.checkpoint()
-    rows = []
-    for kind, most in ((F.col("n") == 0, MAX_WORDS), (F.col("n") > 0, MAX_GRAMS)):
-        top = by_token.where(kind).orderBy(F.desc("total"), "n", "token").limit(most)
-        rows += [(r["n"], r["token"], {x["lang"]: x["k"] for x in r["by"]}) for r in top.collect()]
-    return Model(rows, sorted({x for _, _, by in rows for x in by}))
+    words = _counted(labelled.select("lang", "text"), _words).checkpoint()
+    return words.unionByName(_counted(words.select("token", "lang", "k"), _grams))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS) -> Model:
+    """Fit on labelled documents that are not held out; the driver gets the counts of that bounded sample."""
+    rows = token_counts(docs, id_col, text_col, lang_col, train_docs).toArrow()
+    lang = pc.dictionary_encode(rows.column("lang")).combine_chunks()
+    names = lang.dictionary.to_pylist()
+    languages = sorted(names)
+    place = np.array([languages.index(x) for x in names], dtype=np.int64)
+    at = place[lang.indices.to_numpy()] if names else np.empty(0, np.int64)
+    lengths, k = rows.column("n").to_numpy(), rows.column("k").to_numpy()
+    counts = {}
+    for n in range(LONGEST + 1):
+        own = np.flatnonzero(lengths == n)
+        token = pc.dictionary_encode(rows.column("token").take(pa.array(own))).combine_chunks()
+        made = np.zeros((len(token.dictionary), len(languages)))
+        np.add.at(made, (token.indices.to_numpy(), at[own]), k[own])
+        counts[n] = (token.dictionary.to_pylist(), made)
+    return Model(languages, counts)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: id, held_out, lang_pred and score.
 
-    Texts that are null, empty or without a letter are ``und`` with score 0, as
-    is everything if nothing was learned.  The prediction sees the text alone;
-    ties between languages go to the first by name.  Repeated rows are each
-    judged.  A null id is not held out.
+    The score is the language's share of the likelihood, less for texts whose
+    words the training explains less: a known word counts whole, an unseen one
+    by the share of its n-grams that are known.  Texts that are null, empty or
+    without a letter are ``und`` with score 0, as is everything if nothing was
+    learned; a text of unknown letters only scores 0.  The prediction sees the
+    text alone; ties between languages go to the first by name.  Repeated rows
+    are each judged.  A null id is not held out.
     """
     spark = docs.sparkSession
-    common.prepare(spark)
     sent = spark.sparkContext.broadcast(model)
     schema = T.StructType([common.id_field(docs, id_col), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    def run(batch: pa.RecordBatch, cache: dict) -> dict:
-        got = [sent.value.predict(t, cache) for t in batch.column("text").to_pylist()]
+    def run(batch: pa.RecordBatch) -> dict:
+        got = [sent.value.predict(t) for t in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
 
     df = docs.select(docs[id_col].alias("doc_id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].cast("string").alias("text"))
-    return common.map_arrow(df, run, schema, setup=dict)
+    return common.map_arrow(df, run, schema)
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: float = KEEP) -> DataFrame:
     """The rows of ``docs`` whose text has a language with a score of ``least`` or more, with all their columns."""
     spark = docs.sparkSession
-    common.prepare(spark)
     sent = spark.sparkContext.broadcast(model)
 
-    def run(batch: pa.RecordBatch, cache: dict) -> pa.RecordBatch:
-        got = [sent.value.predict(t, cache) for t in batch.column(text_col).to_pylist()]
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [sent.value.predict(t) for t in batch.column(text_col).to_pylist()]
         return batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in got], type=pa.bool_()))
 
-    return common.map_arrow(docs, run, docs.schema, setup=dict)
+    return common.map_arrow(docs, run, docs.schema)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
