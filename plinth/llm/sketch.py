@@ -1,20 +1,25 @@
-"""Document fingerprints: invertible Bloom lookup sketches of a text's paragraph cells.
-
-A paragraph is cut into cells of a few words, at words that their own hash
-marks, so that an edit changes only the cells around it and texts of one
-paragraph can be compared too.  A cell's digest, with the number of equal cells
-before it, goes into three cells of the sketch (count, sum of digests, sum of
-checks; sums are exclusive-or).  One sketch less another has only what differs;
-peeling it recovers the digests on either side, and where that gets stuck both
-sides are sketched anew in a larger size.
+"""Document fingerprints: invertible Bloom lookup sketches of a text's paragraphs.
+
+A paragraph (a line with words) has a digest; with the number of equal paragraphs
+before it, that goes into three cells of the sketch (count, digests, checks; the
+last two are exclusive-or sums).  One sketch less another has only what differs;
+peeling it recovers the digests of the paragraphs on either side that the other
+lacks, and where that gets stuck both sides are sketched anew in a larger size.
+After ``RETRIES`` sizes the sorted digests are compared instead, so that a
+collision can't keep it going.
+
+Only the changed paragraphs are looked into further: they are cut into cells of a
+few words, at words that their own hash marks, and the cells that both sides have
+count as alike.  Sketches of a batch of texts are built, subtracted and peeled
+together.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,114 +30,169 @@ from pyspark.sql import types as T
 
 from plinth.llm import common
 
-#: Sketch cells of a fingerprint; growth of a retry; words of a paragraph cell on average.
-BASE_CELLS, GROWTH, CELL_WORDS = 24, 4, 8
+#: Sketch cells of a fingerprint; growth and number of retries; words of a changed paragraph's cell on average.
+BASE_CELLS, GROWTH, RETRIES, CELL_WORDS = 24, 4, 5, 8
 HASHES = 3
-_MASK = (1 << 64) - 1
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
-_WORD = re.compile(rb"[^\x20\x09\x0b-\x0d]+")
-
-
-def digests(text: bytes) -> np.ndarray:
-    """Digests of the text's cells; equal cells have different ones, by their number."""
-    digest, hashes, ends = xxhash.xxh64_intdigest, [], []
-    for paragraph in text.split(b"\n"):
-        words = paragraph.split()
-        if words:
-            hashes += [digest(w) for w in words]
-            ends.append(len(hashes) - 1)
-    if not hashes:
-        return np.empty(0, dtype=np.uint64)
-    h = np.array(hashes, dtype=np.uint64)
-    last = h % np.uint64(CELL_WORDS) == 0
-    last[ends] = True
-    starts = np.concatenate(([0], np.flatnonzero(last)[:-1] + 1))
-    at = np.arange(len(h)) - np.repeat(starts, np.diff(np.concatenate((starts, [len(h)]))))
-    cells = np.add.reduceat(_mixed(h + at.astype(np.uint64) * np.uint64(_MIX[1])), starts)
-    cells.sort()
-    new = np.concatenate(([True], cells[1:] != cells[:-1]))
-    number = np.arange(len(cells)) - np.flatnonzero(new)[np.cumsum(new) - 1]
-    return _mixed(cells + number.astype(np.uint64) * np.uint64(_MIX[2]))
+#: Rounds of peeling; each takes all digests that stand alone in a cell.
+ROUNDS = 64
+#: Texts, and characters of texts, that are worked on together.
+TOGETHER, TOGETHER_CHARS = 256, 1 << 20
+_MIX = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)))
+_NONE = np.empty(0, dtype=np.uint64)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(_MIX[0])
-    return h ^ (h >> np.uint64(30))
+@dataclass
+class Parts:
+    """Of a text: digests of its paragraphs (different for equal ones), digests of its cells, and the paragraph of each cell."""
 
+    paragraphs: np.ndarray
+    cells: np.ndarray
+    owner: np.ndarray
 
-def checks(keys: np.ndarray) -> np.ndarray:
-    return (keys * np.uint64(_MIX[3])) >> np.uint64(32)
-
-
-def places(keys: np.ndarray, cells: int) -> np.ndarray:
-    """The sketch cells of each digest, one in each third."""
-    part = np.uint64(cells // HASHES)
-    return np.stack([((keys * np.uint64(_MIX[j])) >> np.uint64(20)) % part + np.uint64(j) * part for j in range(HASHES)]).astype(np.int64)
-
-
-class Sketch:
-    def __init__(self, keys: np.ndarray, cells: int = BASE_CELLS):
-        self.cells = cells
-        self.count, self.key, self.check = np.zeros(cells, np.int64), np.zeros(cells, np.uint64), np.zeros(cells, np.uint64)
-        if len(keys):
-            at, check = places(keys, cells), checks(keys)
-            for row in at:
-                self.count += np.bincount(row, minlength=cells)
-                np.bitwise_xor.at(self.key, row, keys)
-                np.bitwise_xor.at(self.check, row, check)
-
-    def minus(self, other: Sketch) -> Sketch:
-        out = Sketch(np.empty(0, np.uint64), self.cells)
-        out.count, out.key, out.check = self.count - other.count, self.key ^ other.key, self.check ^ other.check
-        return out
-
-    def peel(self) -> tuple[list[int], list[int]] | None:
-        """Digests that only the first, only the second had; None if it gets stuck."""
-        count, key, check = self.count.tolist(), self.key.tolist(), self.check.tolist()
-        part, mine, theirs = self.cells // HASHES, [], []
-        todo = [i for i, c in enumerate(count) if c in (1, -1)]
-        while todo:
-            i = todo.pop()
-            sign, k = count[i], key[i]
-            if sign not in (1, -1):
-                continue
-            c = ((k * _MIX[3]) & _MASK) >> 32
-            if c != check[i]:
-                continue
-            (mine if sign == 1 else theirs).append(k)
-            for j in range(HASHES):
-                p = (((k * _MIX[j]) & _MASK) >> 20) % part + j * part
-                count[p] -= sign
-                key[p] ^= k
-                check[p] ^= c
-                if count[p] in (1, -1):
-                    todo.append(p)
-        return None if any(count) or any(key) else (mine, theirs)
-
-    def text(self) -> str:
-        raw = self.count.astype("<i4").tobytes() + self.key.astype("<u8").tobytes() + self.check.astype("<u4").tobytes()
-        return base64.b64encode(raw).decode()
-
-
-def difference(a: np.ndarray, b: np.ndarray, cells: int = BASE_CELLS) -> tuple[list[int], list[int]]:
-    """Digests that only ``a``, only ``b`` has, by sketches of ``cells`` cells and larger ones on failure."""
-    while True:
-        found = Sketch(a, cells).minus(Sketch(b, cells)).peel()
-        if found is not None:
-            return found
-        cells *= GROWTH
 
-
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """1 less the share of digests that differ; 1 for two texts without cells."""
-    if not len(a) + len(b):
-        return 1.0
-    mine, theirs = difference(a, b)
-    return 1.0 - (len(mine) + len(theirs)) / (len(a) + len(b))
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MIX[0]
+    return h ^ (h >> np.uint64(30))
 
 
-def fingerprint(keys: np.ndarray) -> str:
-    return Sketch(keys).text()
+def _runs(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Digests of the runs of words that begin at ``starts``."""
+    place = np.arange(len(h)) - np.repeat(starts, np.diff(np.append(starts, len(h))))
+    return _mixed(np.add.reduceat(_mixed(h + place.astype(np.uint64) * _MIX[1]), starts))
+
+
+def numbered(keys: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Equal keys of a text (number ``of``) made different by how many equal ones come before."""
+    order = np.lexsort((keys, of))
+    new = np.append(True, (np.diff(keys[order]) != 0) | (np.diff(of[order]) != 0))
+    number = np.empty(len(keys), dtype=np.int64)
+    number[order] = np.arange(len(keys)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    return _mixed(keys + number.astype(np.uint64) * _MIX[2])
+
+
+def parts_of(texts: list[bytes]) -> list[Parts]:
+    """The parts of each text."""
+    words: list[bytes] = []
+    begins, counts = [], []
+    for text in texts:
+        before = len(begins)
+        for paragraph in text.split(b"\n"):
+            if own := paragraph.split():
+                begins.append(len(words))
+                words += own
+        counts.append(len(begins) - before)
+    if not words:
+        return [Parts(_NONE, _NONE, np.empty(0, np.int64)) for _ in texts]
+    h, begins = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), dtype=">u8").astype(np.uint64), np.array(begins)
+    fresh = np.zeros(len(h), dtype=bool)
+    fresh[begins] = True
+    starts = np.flatnonzero(fresh | np.append(True, h[:-1] % np.uint64(CELL_WORDS) == 0))
+    paragraphs = numbered(_runs(h, begins), np.repeat(np.arange(len(texts)), counts))
+    cells, owner = _runs(h, starts), np.cumsum(fresh[starts]) - 1
+    ends = np.append(0, np.cumsum(counts))
+    cuts = np.searchsorted(owner, ends).tolist()
+    ends = ends.tolist()
+    return [Parts(paragraphs[a:b], cells[c:d], owner[c:d] - a) for a, b, c, d in zip(ends, ends[1:], cuts, cuts[1:])]
+
+
+class Sketches:
+    """Sketches of ``n`` texts, of ``cells`` cells each."""
+
+    def __init__(self, n: int, cells: int = BASE_CELLS):
+        self.n, self.cells = n, cells
+        self.count, self.key, self.check = np.zeros(n * cells, np.int64), np.zeros(n * cells, np.uint64), np.zeros(n * cells, np.uint64)
+
+    def put(self, of: np.ndarray, keys: np.ndarray, sign: np.ndarray | int) -> None:
+        """Add (or with a sign of -1 take away) the digests ``keys`` of the texts numbered ``of``."""
+        check, part = (keys * _MIX[3]) >> np.uint64(32), np.uint64(self.cells // HASHES)
+        for j in range(HASHES):
+            at = of * self.cells + (((keys * _MIX[j]) >> np.uint64(20)) % part).astype(np.int64) + j * (self.cells // HASHES)
+            np.add.at(self.count, at, sign)
+            np.bitwise_xor.at(self.key, at, keys)
+            np.bitwise_xor.at(self.check, at, check)
+
+    def peel(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Text, digest and sign of what is recovered, and for each text whether that is all there was."""
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for _ in range(ROUNDS):
+            at = np.flatnonzero((np.abs(self.count) == 1) & ((self.key * _MIX[3]) >> np.uint64(32) == self.check))
+            if not len(at):
+                break
+            of, keys, sign = at // self.cells, self.key[at], self.count[at]
+            order = np.lexsort((keys, of))
+            once = order[np.append(True, (np.diff(of[order]) != 0) | (np.diff(keys[order]) != 0))]
+            of, keys, sign = of[once], keys[once], sign[once]
+            self.put(of, keys, -sign)
+            found.append((of, keys, sign))
+        whole = ~((self.count != 0) | (self.key != 0)).reshape(self.n, self.cells).any(axis=1)
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [np.empty(0, np.int64), _NONE, np.empty(0, np.int64)]
+        return (*columns, whole)
+
+    def texts(self) -> list[str]:
+        columns = [c.reshape(self.n, self.cells).astype(kind) for c, kind in ((self.count, "<i4"), (self.key, "<u8"), (self.check, "<u4"))]
+        return [base64.b64encode(b"".join(c[i].tobytes() for c in columns)).decode() for i in range(self.n)]
+
+
+def sketched(keys: list[np.ndarray], cells: int = BASE_CELLS) -> Sketches:
+    made = Sketches(len(keys), cells)
+    if keys:
+        made.put(np.repeat(np.arange(len(keys)), [len(k) for k in keys]), np.concatenate(keys), 1)
+    return made
+
+
+def differences(a: list[np.ndarray], b: list[np.ndarray], cells: int = BASE_CELLS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each pair, the digests that only the first and that only the second has, both sorted."""
+    out: list[tuple[np.ndarray, np.ndarray]] = [(_NONE, _NONE)] * len(a)
+    todo = np.arange(len(a))
+    for _ in range(RETRIES):
+        if not len(todo):
+            return out
+        made = Sketches(len(todo), cells)
+        for side, sign in ((a, 1), (b, -1)):
+            made.put(np.repeat(np.arange(len(todo)), [len(side[i]) for i in todo]), np.concatenate([side[i] for i in todo]), sign)
+        of, keys, sign, whole = made.peel()
+        order = np.lexsort((keys, sign, of))
+        of, keys, sign = of[order], keys[order], sign[order]
+        ends = np.searchsorted(of, np.arange(len(todo) + 1))
+        for k in np.flatnonzero(whole).tolist():
+            own, s = keys[ends[k] : ends[k + 1]], sign[ends[k] : ends[k + 1]]
+            out[todo[k]] = (own[s == 1], own[s == -1])
+        todo = todo[~whole]
+        cells *= GROWTH
+    for i in todo.tolist():
+        out[i] = (np.setdiff1d(a[i], b[i]), np.setdiff1d(b[i], a[i]))
+    return out
+
+
+def _changed(parts: Parts, digests: np.ndarray) -> np.ndarray:
+    """Cells of the paragraphs with these (sorted) digests."""
+    if not len(digests):
+        return _NONE
+    at = np.minimum(np.searchsorted(digests, parts.paragraphs), len(digests) - 1)
+    return parts.cells[(digests[at] == parts.paragraphs)[parts.owner]]
+
+
+def likeness(a: list[Parts], b: list[Parts]) -> list[float]:
+    """For each pair, the share of cells that the other has too; 1 for two texts without words."""
+    sides: tuple[list, list] = ([], [])
+    for p, q, (mine, theirs) in zip(a, b, differences([p.paragraphs for p in a], [q.paragraphs for q in b])):
+        sides[0].append(_changed(p, mine))
+        sides[1].append(_changed(q, theirs))
+    n = len(a)
+    lengths = [np.array([len(x) for x in side], dtype=np.int64) for side in sides]
+    of = np.concatenate([np.repeat(np.arange(n), k) for k in lengths])
+    keys, own = np.concatenate(sides[0] + sides[1]) if n else _NONE, np.arange(len(of)) < lengths[0].sum()
+    order = np.lexsort((keys, of))
+    of, keys, own = of[order], keys[order], own[order]
+    starts = np.flatnonzero(np.append(True, (np.diff(of) != 0) | (np.diff(keys) != 0))) if len(of) else np.empty(0, np.int64)
+    mine = np.add.reduceat(own.astype(np.int64), starts) if len(of) else starts
+    theirs = np.diff(np.append(starts, len(of))) - mine
+    both = np.bincount(of[starts], np.minimum(mine, theirs), minlength=n)
+    out = []
+    for i in range(n):
+        total = len(a[i].cells) + len(b[i].cells)
+        out.append(1.0 - (lengths[0][i] + lengths[1][i] - 2 * both[i]) / total if total else 1.0)
+    return out
 
 
 def edited(text: str, after: str) -> str:
@@ -141,6 +201,18 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - n] + after[:n]
 
 
+def together(texts: list[str]) -> Iterator[slice]:
+    """Slices of neighbouring texts, each of a bounded size or one text."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        if i > begin and (i - begin == TOGETHER or size + len(text) > TOGETHER_CHARS):
+            yield slice(begin, i)
+            begin, size = i, 0
+        size += len(text)
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
 _OUT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
     T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()),
@@ -181,28 +253,31 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     texts have the fingerprint of nothing and are wholly like each other.  Other
     columns are not read.
     """
-    common.prepare(docs.sparkSession)
     arrow = common.to_arrow(_OUT)
 
-    def row(doc: int, text: str, own: np.ndarray, after: str, next_own: np.ndarray) -> tuple:
-        changed = edited(text, after)
-        raw = changed.encode()
-        theirs = own if changed == text else digests(raw)
-        return (
-            None if doc == -(1 << 63) else doc, len(text), hashlib.sha256(raw).hexdigest(), fingerprint(own), fingerprint(theirs),
-            likeness(own, theirs), likeness(own, next_own),
+    def rows(own: list[tuple[int, str, Parts]], after: list[tuple[int, str, Parts]]) -> pa.RecordBatch:
+        raw = [edited(t, u).encode() for (_, t, _), (_, u, _) in zip(own, after)]
+        mine, theirs = [p for _, _, p in own], parts_of(raw)
+        columns = (
+            [None if doc == -(1 << 63) else doc for doc, _, _ in own], [len(t) for _, t, _ in own], [hashlib.sha256(r).hexdigest() for r in raw],
+            sketched([p.paragraphs for p in mine]).texts(), sketched([p.paragraphs for p in theirs]).texts(),
+            likeness(mine, theirs), likeness(mine, [p for _, _, p in after]),
         )
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            rows = []
-            for place, ghost, doc, text in zip(*(batch.column(c).to_pylist() for c in ("range", "ghost", "doc", "text"))):
-                own = digests(text.encode())
-                if held and held[0] == place and not held[1]:
-                    rows.append(row(*held[2:], text, own))
-                held = (place, ghost, doc, text, own)
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)], schema=arrow)
+        held: tuple | None = None  # range, ghost, document, text and parts of the row before
+        for batch in common.pieces(batches):
+            columns = [batch.column(c).to_pylist() for c in ("range", "ghost", "doc", "text")]
+            for some in together(columns[3]):
+                own, after = [], []
+                for place, ghost, doc, text, parts in zip(*(c[some] for c in columns), parts_of([t.encode() for t in columns[3][some]])):
+                    if held and held[0] == place and not held[1]:
+                        own.append(held[2:])
+                        after.append((doc, text, parts))
+                    held = (place, ghost, doc, text, parts)
+                if own:
+                    yield rows(own, after)
 
     return with_next(docs, id_col, text_col).mapInArrow(run, _OUT)
 
