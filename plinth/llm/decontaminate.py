@@ -8,16 +8,20 @@ skip the whole pattern length, a block that no pattern has or that lies further
 left in every pattern lets it skip by the shift table, and only a block that
 ends a pattern leads to that block's bucket, where whole windows are compared.
 
-The benchmark is a stated query set.  Its size is measured first; it is sent to
-the executors in blocks of at most ``block_words`` words, and the documents are
-scanned once for each block, so that nothing of unbounded size is broadcast.
+The benchmark is a stated query set.  Its words are counted first; it is searched
+for in blocks of about ``block_words`` words, one after another.  A block is sent
+to the executors, what it finds is written to the shared folder, and the block is
+given up before the next one is sent; then the blocks' finds are joined.  A
+benchmark of one block needs neither the folder nor the join.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +29,8 @@ from pyspark.sql import types as T
 from plinth.llm import common
 
 WINDOW = 10
-BLOCK_WORDS = 2_000_000
+#: Words of a block.  The tables of a worker that searches for it take about 0.6 KB a word.
+BLOCK_WORDS = 250_000
 
 
 class WuManber:
@@ -63,15 +68,33 @@ class WuManber:
 
 def patterns_of(rows: list[tuple[str | None, bytes]], window: int) -> dict[int, dict[tuple, set]]:
     """Windows by length, each with the ids of the items that have it."""
-    found: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
+    found: dict[int, dict[tuple, set]] = defaultdict(dict)
+    alone: dict[str | None, frozenset] = {}
     for item, text in rows:
-        words = common.words_of(text)
+        words, own = common.words_of(text), alone.setdefault(item, frozenset((item,)))
         m = min(window, len(words))
         for i in range(len(words) - m + 1 if m else 0):
-            found[m][tuple(words[i : i + m])].add(item)
+            p = tuple(words[i : i + m])
+            before = found[m].get(p, own)
+            found[m][p] = before if item in before else before | own
     return found
 
 
+class Block:
+    """Some of the benchmark's texts; a worker builds their searchers once."""
+
+    def __init__(self, rows: list[tuple[str | None, bytes]], window: int):
+        self.rows, self.window, self.made = rows, window, None
+
+    def __getstate__(self) -> dict:
+        return {"rows": self.rows, "window": self.window, "made": None}
+
+    def searchers(self) -> list[WuManber]:
+        if self.made is None:
+            self.made = [WuManber(p, m) for m, p in patterns_of(self.rows, self.window).items()]
+        return self.made
+
+
 def scan(searchers: list[WuManber], words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
     """Merged hit ranges (start, end) of words, and the items with an occurring window."""
     spans, items = [], set()
@@ -92,17 +115,42 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def benchmark_blocks(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int):
-    """The benchmark's rows in blocks of bounded size, one after another on the driver."""
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> tuple[int, Iterator[Broadcast]]:
+    """How many blocks the benchmark has, and the blocks, each given up when the next one is asked for.
+
+    A text of more than a tenth of a block's words is cut; its pieces share
+    ``window`` - 1 words, so that each window is in one of them.
+    """
+    spark = benchmark.sparkSession
+    most = max(2 * window, block_words // 10)
+    schema = T.StructType([T.StructField("item", T.StringType()), T.StructField("text", T.BinaryType()), T.StructField("n", T.LongType())])
+
+    def cut(batch: pa.RecordBatch) -> dict:
+        out: dict = {"item": [], "text": [], "n": []}
+        for item, text in zip(batch.column("item").to_pylist(), common.utf8(batch.column("text"))):
+            words = common.words_of(text)
+            for i in range(0, max(1, len(words) - window + 1), most - window + 1) if words else ():
+                own = words[i : i + most]
+                for name, x in zip(out, (item, b" ".join(own), len(own))):
+                    out[name].append(x)
+        return out
+
     b = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("text"))
-    b = b.where(F.col("text").isNotNull())
-    # A text of n characters has at most (n + 1) / 2 words.
-    chars = b.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    n = max(1, -(-int(chars) // (2 * block_words)))
-    b = b.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(n)))
-    for k in range(n):
-        rows = [(r[0], r[1].encode()) for r in b.where(F.col("block") == k).select("item", "text").collect()]
-        yield patterns_of(rows, window)
+    pieces = common.saved(common.map_arrow(b.where(F.col("text").isNotNull()), cut, schema), "benchmark")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    n = 1 if total <= block_words else -(-5 * total // (4 * block_words))
+    numbered = pieces.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+
+    def blocks() -> Iterator[Broadcast]:
+        for k in range(n):
+            rows = [(r[0], bytes(r[1])) for r in numbered.where(F.col("block") == k).select("item", "text").collect()]
+            sent = spark.sparkContext.broadcast(Block(rows, window))
+            del rows
+            yield sent
+            if k < n - 1:
+                sent.destroy()
+
+    return n, blocks()
 
 
 def find(
@@ -122,39 +170,48 @@ def find(
     null or empty texts have no windows.  An empty table on either side gives
     rows without hits, or no rows.  Other columns of ``docs`` are not read.
     """
-    spark = docs.sparkSession
-    common.prepare(spark)
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     found = [T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))]
-    text = T.StructField("text", T.StringType())
-    df, own = common.id_text(docs, id_col, text_col), [common.id_field(docs, id_col)]
-    blocks = benchmark_blocks(spark, benchmark, item_col, item_text_col, window, block_words)
-    held = next(blocks)
-    while held is not None:
-        after = next(blocks, None)
-        keep = [text] if after is not None else []
-        df = common.map_arrow(df, _scanner(spark, held), T.StructType(own + keep + found))
-        held = after
-    return df
-
-
-def _scanner(spark: SparkSession, patterns: dict):
-    sent = spark.sparkContext.broadcast({m: dict(p) for m, p in patterns.items()})
-    state: list = []
-
+    own = [common.id_field(docs, id_col)]
+    df = common.id_text(docs, id_col, text_col)
+    n, blocks = benchmark_blocks(benchmark, item_col, item_text_col, window, block_words)
+    if n == 1:
+        return common.map_arrow(df, _scanner(next(blocks)), T.StructType(own + found))
+    # Rows of the same id and text have the same finds.
+    key = [F.col("doc_id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), "text").alias("g")]
+    marks = [T.StructField("h", T.LongType()), T.StructField("g", T.LongType())]
+    keyed, parts = df.select(*key, "text"), []
+    for sent in blocks:
+        hits = common.map_arrow(keyed, _scanner(sent), T.StructType(own + marks + found)).where(F.size("spans") > 0)
+        parts.append(common.saved(hits.select("doc_id", "h", "g", "spans", "items"), "hits"))
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.unionByName(part)
+    names = [common.fresh(df, x) for x in ("_id", "_h", "_g")]
+    joined = hits.groupBy(*(F.col(c).alias(x) for c, x in zip(("doc_id", "h", "g"), names))).agg(F.collect_set(F.struct("spans", "items")).alias("hits"))
+    on = F.lit(True)
+    for k, x in zip(key, names):
+        on = on & k.eqNullSafe(F.col(x))
+    none = F.array().cast("array<struct<spans:array<struct<start:bigint,end:bigint>>,items:array<string>>>")
+    rows = df.join(joined, on, "left").select("doc_id", "text", F.coalesce("hits", none).alias("hits"))
+
+    def union(batch: pa.RecordBatch) -> dict:
+        hits = batch.column("hits").to_pylist()
+        return {
+            "doc_id": batch.column("doc_id"), "n_words": [len(common.words_of(t)) for t in common.utf8(batch.column("text"))],
+            "spans": [[{"start": a, "end": b} for a, b in merged([(s["start"], s["end"]) for x in h for s in x["spans"]])] for h in hits],
+            "items": [sorted({i for x in h for i in x["items"]}) for h in hits],
+        }
+
+    return common.map_arrow(rows, union, T.StructType(own + found))
+
+
+def _scanner(sent: Broadcast):
     def run(batch: pa.RecordBatch) -> dict:
-        if not state:
-            state.append([WuManber(p, m) for m, p in sent.value.items()])
-        texts = common.utf8(batch.column("text"))
-        before = batch.schema.names
-        out: dict = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "n_words": [], "spans": [], "items": []}
-        old = [batch.column(c).to_pylist() for c in ("spans", "items")] if "spans" in before else None
-        for i, text in enumerate(texts):
+        out: dict = {c: batch.column(c) for c in batch.schema.names if c != "text"} | {"n_words": [], "spans": [], "items": []}
+        for text in common.utf8(batch.column("text")):
             words = common.words_of(text)
-            spans, items = scan(state[0], words)
-            if old:
-                spans = merged(spans + [(s["start"], s["end"]) for s in old[0][i]])
-                items = items | set(old[1][i])
+            spans, items = scan(sent.value.searchers(), words)
             out["n_words"].append(len(words))
             out["spans"].append([{"start": a, "end": b} for a, b in spans])
             out["items"].append(sorted(x for x in items if x is not None))
@@ -176,30 +233,25 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs, with all their columns.
 
     Rows with null or empty texts stay.
     """
-    spark = docs.sparkSession
-    common.prepare(spark)
-    df = docs
-    for patterns in benchmark_blocks(spark, benchmark, "item_id", "text", WINDOW, BLOCK_WORDS):
-        df = common.map_arrow(df, _filter(spark, patterns, text_col), docs.schema)
-    return df
-
+    n, blocks = benchmark_blocks(benchmark, "item_id", "text", WINDOW, block_words)
+    for k, sent in enumerate(blocks):
+        docs = common.map_arrow(docs, _filter(sent, text_col), docs.schema)
+        if k < n - 1:
+            docs = common.saved(docs, "clean")
+    return docs
 
-def _filter(spark: SparkSession, patterns: dict, text_col: str):
-    sent = spark.sparkContext.broadcast({m: dict(p) for m, p in patterns.items()})
-    state: list = []
 
+def _filter(sent: Broadcast, text_col: str):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not state:
-            state.append([WuManber(p, m) for m, p in sent.value.items()])
         keep = []
         for text in common.utf8(batch.column(text_col)):
             words = common.words_of(text)
-            keep.append(not any(next(s.search(words), None) for s in state[0]))
+            keep.append(not any(next(s.search(words), None) for s in sent.value.searchers()))
         return batch.filter(pa.array(keep, type=pa.bool_()))
 
     return run
