@@ -64,14 +64,14 @@ class Automaton:
             last = 0
             for w in words:
                 last = self._extend(last, w)
-        #: For each state, the first end of its words in each template that has them.
-        self.ends: list[dict[int, int]] = [{} for _ in self.link]
+        #: For each state, the ends of its words in each template that has them, ascending.
+        self.ends: list[dict[int, list[int]]] = [{} for _ in self.link]
         for t, words in enumerate(texts):
             v = 0
             for j, w in enumerate(words):
                 v = u = self.next[v][w]
-                while u > 0 and t not in self.ends[u]:
-                    self.ends[u][t] = j
+                while u > 0:
+                    self.ends[u].setdefault(t, []).append(j)
                     u = self.link[u]
 
     def _add(self, length: int, link: int, edges: dict[bytes, int]) -> int:
@@ -169,17 +169,20 @@ class Scanner:
                 done.append((a, b, t, share))
 
         for v, n, end in seeds:
-            for t, last in self.sam.ends[v].items():
-                a, tb = end - n, last + 1
-                ta = tb - n
+            a = end - n
+            for t, ends in self.sam.ends[v].items():
                 if t in open_:
+                    # The seed's first place in the template that goes on from where the chain has come to.
                     s = open_[t]
-                    over = max(0, s[2] - ta, s[1] - a)
-                    if tb > s[2] and over < n and a - s[1] <= MAX_GAP and ta - s[2] <= MAX_GAP:
-                        s[1], s[2], s[3] = end, tb, s[3] + n - over
-                        continue
-                    close(t)
-                open_[t] = [a, end, tb, n]
+                    for tb in (last + 1 for last in ends):
+                        over = max(0, s[2] - tb + n, s[1] - a)
+                        if tb > s[2] and over < n and a - s[1] <= MAX_GAP and tb - n - s[2] <= MAX_GAP:
+                            s[1], s[2], s[3] = end, tb, s[3] + n - over
+                            break
+                    else:
+                        close(t)
+                if t not in open_:
+                    open_[t] = [a, end, ends[0] + 1, n]
         for t in list(open_):
             close(t)
         return sorted(done)
@@ -192,7 +195,6 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     largest share of a template that is covered; a base phrase is covered whole.
     Repeated rows are each scanned; other columns of ``docs`` are not read.
     """
-    common.prepare(docs.sparkSession)
     schema = T.StructType(
         [common.id_field(docs, id_col)]
         + [T.StructField(n, T.LongType()) for n in ("n_words", "n_base", "first_word", "last_word")]
