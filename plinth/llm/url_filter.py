@@ -1,13 +1,15 @@
 """URL filters: gradient-boosted trees on lexical features, behind host and path rules.
 
-URLs that a rule decides are the labelled ones.  The trees are fitted on at most
-``TRAIN_ROWS`` of them (those with the smallest hashes, so the same ones however
-the table is partitioned) and judge the URLs that no rule decides.
+Where no labelled URLs are given, those that a rule decides are the labelled ones.
+The trees are fitted on about ``TRAIN_ROWS`` of them (those whose hash lies under a
+bound that follows from their number, so the same ones however the table is
+partitioned) and judge the URLs that no rule decides.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -30,6 +32,8 @@ RULES = {
 #: The bound of the training sample.
 TRAIN_ROWS = 20_000
 TREES, DEPTH, BINS, RATE, SMOOTH, MIN_ROWS = 40, 3, 32, 0.2, 1.0, 5
+#: Parts of the training sample; a part's suffix statistics come from the others.
+FOLDS = 5
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -91,14 +95,14 @@ def features(url: str | None, stats: dict[str, float], prior: float) -> list[flo
     ]
 
 
-def suffix_statistics(urls: list[str], blocked: list[int]) -> tuple[dict[str, float], float]:
+def suffix_statistics(urls: list[str], blocked: list[int], weight: list[int]) -> tuple[dict[str, float], float]:
     """Share of blocked URLs under each host suffix, drawn towards the share among all."""
-    prior = (sum(blocked) + 1) / (len(blocked) + 2)
+    prior = (sum(b * w for b, w in zip(blocked, weight)) + 1) / (sum(weight) + 2)
     seen, bad = Counter(), Counter()
-    for url, b in zip(urls, blocked):
+    for url, b, w in zip(urls, blocked, weight):
         for s in suffixes(parse(url)[0]):
-            seen[s] += 1
-            bad[s] += b
+            seen[s] += w
+            bad[s] += b * w
     return {s: (bad[s] + 10 * prior) / (seen[s] + 10) for s in seen}, prior
 
 
@@ -136,15 +140,15 @@ def _value(tree, x: np.ndarray) -> np.ndarray:
 class Trees:
     """Boosted trees for the log-odds of being blocked."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray):
         self.cuts = [np.unique(np.quantile(c, np.arange(1, BINS) / BINS)) for c in x.T] if len(x) else []
-        self.start, self.trees = math.log((y.sum() + 1) / (len(y) - y.sum() + 1)), []
+        self.start, self.trees = math.log(((y * weight).sum() + 1) / ((weight - y * weight).sum() + 1)), []
         if len(x) == 0 or y.min() == y.max():
             return
         b, at, rows = self.binned(x), np.full(len(y), self.start), np.arange(len(y))
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-at))
-            tree = _grow(b, p - y, p * (1 - p), rows, DEPTH)
+            tree = _grow(b, weight * (p - y), weight * p * (1 - p), rows, DEPTH)
             self.trees.append(tree)
             at += RATE * _value(tree, b)
 
@@ -161,17 +165,27 @@ class Trees:
 
 
 class Model:
-    def __init__(self, urls: list[str], blocked: list[int]):
-        self.stats, self.prior = suffix_statistics(urls, blocked)
-        x = np.array([features(u, self.stats, self.prior) for u in urls]).reshape(len(urls), len(NAMES))
-        self.trees = Trees(x, np.array(blocked, dtype=float))
+    def __init__(self, urls: list[str], blocked: list[int], weight: list[int]):
+        """``weight``: how many rows each URL stands for."""
+        self.stats, self.prior = suffix_statistics(urls, blocked, weight)
+        # The trees learn from statistics of other URLs than their own, as they will judge others.
+        fold = [zlib.crc32(u.encode()) % FOLDS for u in urls]
+        rows: list = [None] * len(urls)
+        for k in range(FOLDS):
+            others = [i for i, f in enumerate(fold) if f != k]
+            stats, prior = suffix_statistics(*([c[i] for i in others] for c in (urls, blocked, weight)))
+            for i, f in enumerate(fold):
+                if f == k:
+                    rows[i] = features(urls[i], stats, prior)
+        x = np.array(rows).reshape(len(urls), len(NAMES))
+        self.trees = Trees(x, np.array(blocked, dtype=float), np.array(weight, dtype=float))
 
     def predict(self, urls: list[str | None]) -> np.ndarray:
         return self.trees.predict(np.array([features(u, self.stats, self.prior) for u in urls]).reshape(len(urls), len(NAMES)))
 
 
-def fit(pages: DataFrame, url_col: str, rules: dict[str, str], train_rows: int) -> Model:
-    """Fit on rule-labelled URLs, at most ``train_rows`` of them."""
+def rule_labels(pages: DataFrame, url_col: str = "url", rules: dict[str, str] = RULES) -> DataFrame:
+    """url and blocked (0 or 1) of the URLs that a rule decides."""
     held = Rules(rules)
     schema = T.StructType([T.StructField("url", T.StringType()), T.StructField("blocked", T.LongType())])
 
@@ -183,22 +197,35 @@ def fit(pages: DataFrame, url_col: str, rules: dict[str, str], train_rows: int)
                 out["blocked"].append(int(rules[rule] == "block"))
         return out
 
-    labelled = common.map_arrow(pages.select(pages[url_col].cast("string").alias("url")), label, schema)
-    rows = labelled.orderBy(F.xxhash64("url"), "url").limit(train_rows).collect()
-    return Model([r[0] for r in rows], [r[1] for r in rows])
+    return common.map_arrow(pages.select(pages[url_col].cast("string").alias("url")), label, schema)
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: dict[str, str] = RULES, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def fit(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
+    """Fit on about ``train_rows`` labelled URLs (url, blocked: 0 or 1); rows without a label are not used.
+
+    Only they come to the driver.  Equal URLs have equal hashes, so that a URL is
+    taken with all its copies or not at all; one row
+    stands for all copies of a URL with a label, with their number as its weight.
+    """
+    counted = labelled.where(F.col("blocked").isNotNull()).groupBy("url", "blocked").agg(F.count("*").alias("n"))
+    total = counted.count()
+    if total > train_rows:
+        counted = counted.where(F.pmod(F.xxhash64("url"), F.lit(1 << 30)) < int((1 << 30) * train_rows / total))
+    rows = sorted(tuple(r) for r in counted.select(F.coalesce("url", F.lit("")).alias("url"), "blocked", "n").collect())
+    return Model([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
+
+
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: dict[str, str] = RULES, train_rows: int = TRAIN_ROWS, labelled: DataFrame | None = None) -> DataFrame:
     """One row for each row of ``pages``: id, host, path, the rule that decides or null, verdict, and the trees' block score.
 
+    ``labelled`` has labelled URLs (url, blocked) to learn from instead of the rules'.
     Null URLs and those without ``://`` have empty host and path and no rule;
     the trees judge them by the features of the text that there is.  Without
     labelled URLs, or with one verdict among them, the trees give that share.
     Repeated rows are each judged; only the id and the URL are read.
     """
     spark = pages.sparkSession
-    common.prepare(spark)
-    model = spark.sparkContext.broadcast(fit(pages, url_col, rules, train_rows))
+    model = spark.sparkContext.broadcast(fit(rule_labels(pages, url_col, rules) if labelled is None else labelled, train_rows))
     text = T.StringType()
     schema = T.StructType(
         [T.StructField("page_id", pages.schema[id_col].dataType)]
