@@ -14,17 +14,16 @@ all executors share.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import types
-import uuid
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -144,10 +143,26 @@ class Pieces(dict):
         return ids
 
 
+#: The rules that ``Encoder`` cuts texts by.  Fixed values: normaliser and pre-tokeniser of ``word_bpe_49k.json``.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
+
+def known_rules(path: str) -> bool:
+    """Whether a tokenizer file cuts texts by the rules above and has no special tokens but those that begin with ``<|``."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    special = all(t["content"].startswith("<|") for t in rules.get("added_tokens") or ())
+    return special and rules.get("normalizer") == NORMALIZER and rules.get("pre_tokenizer") == PRE_TOKENIZER and rules.get("post_processor") is None
+
+
 class Encoder:
     """Ids by the tokenizers library, with the ids of frequent pieces kept.
 
-    The tokenizer drops white space and never joins characters across it, so a
+    A file of other rules than ``known_rules`` gets whole texts.  Else the tokenizer drops white space and never joins characters across it, so a
     text's ids are those of its words.  Texts of Latin-1 letters, digits, ASCII
     punctuation and white space are cut into pieces here by the tokenizer's own
     rule and each piece is encoded by its model.  In other texts that is done
@@ -163,6 +178,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
+        self.known = known_rules(path)
         self.pieces, self.words = Pieces(self.piece), Pieces(self.whole)
         # Printable bytes stand for themselves, the others for characters from 256 on.
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -183,6 +199,8 @@ class Encoder:
 
     def encode(self, text: bytes) -> np.ndarray:
         string = text.decode()
+        if not self.known:
+            return np.frombuffer(self.whole(string), dtype="<u4")
         if self.plain(string):
             return np.frombuffer(self.cut(string), dtype="<u4")
         words = (w.decode() for w in text.split())
@@ -207,8 +225,10 @@ _BLOCKS = T.StructType([
 def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """The documents' ids in blocks: shards are ranges of document ids, and each ascends within itself."""
     spark = docs.sparkSession
-    common.prepare(spark)
-    path = path or public_tokenizers.path(TOKENIZER)
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path(TOKENIZER)
     low = F.lit(-(1 << 63)).cast("long")
     df = docs.select(F.coalesce(docs[id_col].cast("long"), low).alias("doc"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     parts = common.parts_for(spark)
@@ -225,7 +245,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             row = (shard, block, first, n, docs, [len(x) for x in held], words.astype("<u8").tobytes(), offsets.astype("<u8").tobytes())
             return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, arrow)], schema=arrow)
 
-        for batch in batches:
+        for batch in common.pieces(batches):
             for own, doc, text in zip(batch.column("shard").to_pylist(), batch.column("doc").to_pylist(), common.utf8(batch.column("text"))):
                 ids = np.concatenate((encoder.encode(text), end))
                 if held and (own != shard or n + len(ids) > BLOCK_IDS):
@@ -307,8 +327,7 @@ def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     id come first.  An empty table gives no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
-    common.prepare(spark)
-    where = f"{common.shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    where = common.scratch(spark, "tokens")
     write(docs, where, id_col=id_col, text_col=text_col, path=path)
     return read_back(spark, where)
 
