@@ -30,6 +30,8 @@ WEIGHTS = {
 }
 #: Budget as a share of all tokens, passes over a leaf at most, and seed of the query.
 SHARE, MAX_EPOCHS, SEED = 0.5, 2, 17
+#: The pipeline keeps as many tokens as it has: what the weights ask less of is cut, what they ask more of is repeated.
+KEPT_SHARE = 1.0
 SLICES = 1024
 #: Leaves that the driver plans for; more is an error, not a cut.
 MAX_LEAVES = 2_000_000
@@ -50,9 +52,14 @@ def n_words(text: Column) -> Column:
 def fill(total: int, capacity: list[int], weight: list[float]) -> list[int]:
     """Share ``total`` by weight, none over its capacity; shortages go to the others by weight.
 
+    Weights are finite and not negative; those of weight 0 get what the others can't
+    take, in equal parts.  No capacities give no shares.
+
     Whole numbers whose sum is ``total``, or all that there is; what rounding
     leaves goes to the largest remainders, the first of equal ones.
     """
+    if not all(0 <= w < float("inf") for w in weight):
+        raise ValueError("weights must be finite and not negative")
     given = [0] * len(capacity)
     left = min(total, sum(capacity))
     open_ = [i for i, c in enumerate(capacity) if c > 0]
@@ -124,7 +131,8 @@ def select(
 
     Null levels are levels of their own, named ``(none)``.  Equal hashes are
     ordered by id, then by token count; rows that agree in both are alike, and
-    are taken in either order.  An empty table gives no rows.
+    are taken in either order.  A negative weight is an error.  An empty table
+    gives no rows.
     """
     spark = docs.sparkSession
     mix = common.fresh(docs, "mix")
@@ -189,20 +197,25 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(F.col(f"mix.level{i + 1}").alias(n) for i, n in enumerate(LEVELS)), "mix.n_tokens", "mix.epochs", "mix.cut", "mix.taken", "mix.budget")
 
 
-def keep_mixture(docs: DataFrame, weights: dict[tuple, float] = WEIGHTS, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """The documents of the mixture in one pass at most, with all their columns.
+def keep_mixture(docs: DataFrame, weights: dict[tuple, float] = WEIGHTS, share: float = KEPT_SHARE, seed: int = SEED, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The documents of the mixture, with all their columns: a row for each time that one is taken.
 
-    A document that the budget cuts keeps the words that are taken of it, and
-    ``n_chars`` follows.  Rows without words go.  Rows that share an id and a
-    text are taken alike.
+    A document that the budget cuts keeps the words that are taken of it in its last
+    row, and ``n_chars`` follows.  Rows without words go.  Rows that share an id and
+    a text are taken alike.  Null ids, texts, languages and sources are values of
+    their own; an empty table gives no rows.
     """
     key = common.fresh(docs, "text_hash")
     id_, key_, taken_, n_ = (common.fresh(docs, n) for n in ("_id", "_key", "_taken", "_n"))
     docs = docs.withColumn(key, F.xxhash64("text", F.length("text")))
     slim = docs.select("doc_id", key, "lang", "source", n_words(F.col("text")).alias("n"))
-    found = select(slim, (domain_of(F.col("source")), "lang", "source"), F.col("n"), weights, share, 1, seed)
+    found = select(slim, (domain_of(F.col("source")), "lang", "source"), F.col("n"), weights, share, max_epochs, seed)
     taken = found.groupBy(F.col("doc_id").alias(id_), F.col(key).alias(key_)).agg(F.max("mix.taken").alias(taken_), F.max("mix.n_tokens").alias(n_))
     joined = docs.join(taken, docs["doc_id"].eqNullSafe(F.col(id_)) & docs[key].eqNullSafe(F.col(key_)))
+    # The words taken each time: all of them in whole epochs, then what is left.
+    whole = F.array_repeat(F.col(n_), F.floor(F.col(taken_) / F.col(n_)).cast("int"))
+    rest = F.col(taken_) % F.col(n_)
+    joined = joined.withColumn(taken_, F.explode(F.when(rest > 0, F.array_append(whole, rest)).otherwise(whole)))
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(F.col(taken_) < F.col(n_), F.array_join(F.slice(words, F.lit(1), F.col(taken_).cast("int")), "")).otherwise(F.col("text"))
     cut = joined.withColumn("text", text)
