@@ -33,8 +33,8 @@ SHINGLE, RADIUS, SEED, BITS = 3, 2, 42, 64
 HEAVY = 50_000
 #: Near copies share this part of their shingles of so many words.
 WORDS, SIMILAR = 5, 0.8
-#: Members of all sets of a component that one task compares; the tasks that a large component is dealt over.
-HEAVY_MARKS, SALTS = 8_000_000, 32
+#: Members of all sets of a component that one task compares (which takes time as their square, at worst); the tasks that a large component is dealt over.
+HEAVY_MARKS, SALTS = 1_000_000, 32
 CHUNK = 1 << 16
 #: MinHash bands and the minima of a band.  A pair whose sets have a similarity of 0.8
 #: shares no band with a probability of (1 - 0.8^5)^40 = 1.3e-7, a more similar pair with less.
@@ -78,7 +78,6 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Without a ``size``, the features are the distinct words.
     """
-    common.prepare(docs.sparkSession)
     schema = T.StructType([common.id_field(docs, id_col), T.StructField("fp", T.LongType())])
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -110,7 +109,6 @@ def bands(words: list[bytes], size: int = WORDS) -> np.ndarray:
 
 def banded(docs: DataFrame, id_col: str, text_col: str, size: int | None, words: int) -> DataFrame:
     """``fingerprints``, with the hashes of the text's bands."""
-    common.prepare(docs.sparkSession)
     schema = T.StructType([common.id_field(docs, id_col), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -261,7 +259,8 @@ def components(prints: DataFrame, radius: int = RADIUS, heavy: int = HEAVY, more
     roots = nodes.join(linked, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     moved = linked.join(roots, "root").select("fp", "component_id")
     of = nodes.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return prints.join(of, "fp")
+    # Written out, both sides of the join are shuffled for it alone, and Spark splits the rows of a hot fingerprint.
+    return prints.join(common.saved(of, "components"), "fp")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, heavy: int = HEAVY) -> DataFrame:
@@ -279,7 +278,6 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
 def shingle_sets(docs: DataFrame, size: int, bucket: str = "bucket", node: str = "node", text_col: str = "text") -> DataFrame:
     """bucket, node and the sorted distinct 64-bit hashes of a text's ``size``-word shingles, for each row; null texts have none."""
-    common.prepare(docs.sparkSession)
     schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", T.LongType()), T.StructField("marks", T.ArrayType(T.LongType()))])
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -296,36 +294,45 @@ def shingle_sets(docs: DataFrame, size: int, bucket: str = "bucket", node: str =
 def similar_forest(nodes: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
     """Edges that connect what pairs of a Jaccard similarity of ``least`` or more connect, fewer than there are sets.
 
-    A set is compared with all sets that nothing has reached yet.  Two empty sets are alike.
+    A set is compared with all sets that nothing has reached yet, by the sets that have
+    its marks or, where those sets are fewer, by looking all their marks up.  Two
+    empty sets are alike.
     """
     edges: list[tuple[int, int]] = []
-    rest = np.arange(len(nodes))
-    sizes = np.array([len(s) for s in sets])
+    n = len(nodes)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    ends = np.append(0, np.cumsum(sizes))
     flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-    owner = np.repeat(rest, sizes)
+    # Postings: for each mark of each set, where the sets that have it begin and end in ``owner``.
+    order = np.argsort(flat, kind="stable")
+    owner, ranked = np.repeat(np.arange(n), sizes)[order], flat[order]
+    low, high = np.searchsorted(ranked, flat, side="left"), np.searchsorted(ranked, flat, side="right")
+    waiting, left, first = np.ones(n, dtype=bool), n, 0
     reached: list[int] = []
-    while len(rest):
-        if not reached:
-            at, rest = int(rest[0]), rest[1:]
-            kept = owner != at
-            flat, owner = flat[kept], owner[kept]
-        else:
+    while left:
+        if reached:
             at = reached.pop()
-        own = sets[at]
-        if len(own):
-            place = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            both = np.bincount(owner[own[place] == flat], minlength=len(nodes))[rest]
         else:
-            both = np.zeros(len(rest), dtype=np.int64)
-        either = len(own) + sizes[rest] - both
-        near = both >= least * either - 1e-9
-        if near.any():
-            found = rest[near]
+            while not waiting[first]:
+                first += 1
+            at, left = first, left - 1
+            waiting[at] = False
+        a, b = low[ends[at] : ends[at + 1]], high[ends[at] : ends[at + 1]]
+        rest, total = np.flatnonzero(waiting), int((b - a).sum())
+        if total <= sizes[rest].sum():
+            places = np.arange(total) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)
+            both = np.bincount(owner[places], minlength=n)
+        else:
+            other = np.concatenate([sets[i] for i in rest]) if len(rest) else flat[:0]
+            same = sets[at][np.minimum(np.searchsorted(sets[at], other), sizes[at] - 1)] == other
+            both = np.bincount(np.repeat(rest, sizes[rest])[same], minlength=n)
+        both = both[rest]
+        found = rest[both >= least * (sizes[at] + sizes[rest] - both) - 1e-9]
+        if len(found):
             edges += [(nodes[at], nodes[x]) for x in found.tolist()]
             reached += found.tolist()
-            rest = rest[~near]
-            kept = np.isin(owner, rest)
-            flat, owner = flat[kept], owner[kept]
+            waiting[found] = False
+            left -= len(found)
     return edges
 
 
@@ -346,7 +353,7 @@ def _verify(dealt: DataFrame, least: float, heavy: int | None) -> DataFrame:
             elif len(nodes) > 1:
                 edges.extend((False, a, b) for a, b in similar_forest(nodes, sets, least))
 
-        for batch in batches:
+        for batch in common.pieces(batches):
             marks = batch.column("marks")
             ends = np.cumsum(marks.value_lengths().to_numpy(zero_copy_only=False))
             flat = marks.flatten().to_numpy(zero_copy_only=False)
