@@ -6,16 +6,14 @@ the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from plinth.llm import common, decontaminate, language, mixing, simhash, tokens
 
-#: SimHash of a text's distinct words, linked at 6 differing bits of 64.  These find few of
+#: SimHash of a text's distinct words, linked at 3 differing bits of 64.  These find few of
 #: the near copies with a changed end or an appendix; ``keep_one`` adds MinHash bands of the
 #: five-word shingles, so that candidates don't depend on the kind of edit.
-NEAR_FEATURES, NEAR_RADIUS = None, 6
+NEAR_FEATURES, NEAR_RADIUS = None, 3
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +56,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = common.table(spark, sf_dir, "documents")
-    where = f"{common.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs.write.mode("overwrite").parquet(f"{where}/{name}")
-            docs = spark.read.parquet(f"{where}/{name}")
+            docs = common.saved(docs, name)
     return docs
