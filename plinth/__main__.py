@@ -1,13 +1,14 @@
 """The command line: ingest, export, info, obj, document, stats, cbor and bson.
 
-    python -m plinth ingest IN OUT [--kind sequence|document] [--bbox x0,y0,x1,y1]
+    python -m plinth ingest IN OUT [--kind sequence|folder|document] [--bbox x0,y0,x1,y1] [--index NAME ...]
     python -m plinth export|obj|document DATASET OUT
     python -m plinth info DATASET
     python -m plinth stats FOLDER [OUT] [--format csv|json] [--prefix NAME ...]
     python -m plinth cbor|bson IN OUT
 
-``cbor`` and ``bson`` read one JSON file and write one file, ``-`` being the
-standard streams.
+``cbor`` and ``bson`` read one JSON file and write one file.  There, as the source
+of ``ingest`` and as the target of ``export``, ``-`` is a standard stream.  The box
+keeps features of which a vertex lies in it.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import SparkSession
 
 from plinth.functions import encodings
 from plinth.operators import merge, spatial
-from plinth.sources import cityjson, collection, dataset
+from plinth.sources import collection, dataset, sequences
 
 
 def _convert(kind: str, source: str, target: str) -> None:
@@ -38,8 +39,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     parser.add_argument("command", choices=["ingest", "export", "info", "obj", "document", "stats", "cbor", "bson"])
     parser.add_argument("source")
     parser.add_argument("target", nargs="?")
-    parser.add_argument("--kind", default="sequence", choices=["sequence", "document"])
+    parser.add_argument("--kind", default="sequence", choices=["sequence", "folder", "document"])
     parser.add_argument("--bbox")
+    parser.add_argument("--index", action="append", default=[])
     parser.add_argument("--format", default="csv", choices=["csv", "json"])
     parser.add_argument("--prefix", action="append", default=[])
     given = parser.parse_args(args)
@@ -49,8 +51,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         return _convert(given.command, given.source, given.target)
     spark = spark or SparkSession.builder.appName("plinth").getOrCreate()
     if given.command == "ingest":
-        header, features = cityjson.read_cityjson(spark, given.source, given.kind)
-        dataset.write_dataset(features, header, given.target, spatial.parse_bbox(given.bbox) if given.bbox else None)
+        if given.source != "-":
+            header, features = sequences.read_models(spark, given.source, given.kind)
+        elif given.kind == "document":
+            header, features = sequences.parse_documents(spark.createDataFrame([("-", sys.stdin.read())], "file string, value string"))
+        else:
+            header, features = sequences.parse_lines(sequences.from_lines(spark, sys.stdin))
+        box = spatial.parse_bbox(given.bbox) if given.bbox else None
+        dataset.write_dataset(features, header, given.target, box, vertices=True, indices=tuple(given.index))
         return None
     if given.command == "stats":
         found = collection.report(spark, given.source, tuple(given.prefix))
@@ -64,6 +72,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
         data.info().show(truncate=False, vertical=True)
         for name, kind in data.schema():
             print(f"{name}: {kind}")
+    elif given.command == "export" and given.target == "-":
+        for row in sequences.sequence_lines(data.features, data.header).orderBy("seq").toLocalIterator():
+            print(row["value"])
     elif given.command == "export":
         data.export(given.target)
     elif given.command == "obj":

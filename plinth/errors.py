@@ -23,3 +23,7 @@ class BadBox(PlinthError):
 
 class BadInput(PlinthError):
     pass
+
+
+class WrongType(PlinthError):
+    pass

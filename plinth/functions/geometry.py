@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Levels of nesting.  Fixed values of the CityJSON format.
+from plinth.functions import arrays
+
+#: Levels of nesting.  Fixed values of the exchange format.
 DEPTH = {
     "MultiPoint": 1,
     "MultiLineString": 2,
@@ -37,23 +39,11 @@ def flatten(boundaries: Column, depth: int) -> Column:
     return F.struct(*own, level.cast("array<bigint>").alias("boundaries"))
 
 
-def regroup(flat: Column, counts: Column) -> Column:
-    """Cuts an array into parts of the given sizes."""
-    zero = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("out"))
-    cuts = F.aggregate(
-        counts,
-        zero,
-        lambda acc, n: F.struct((acc["at"] + n.cast("int")).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), n.cast("int").alias("n")))).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return F.transform(cuts, lambda c: F.slice(flat, c["at"], c["n"]))
-
-
 def rebuild(flat: Column, depth: int) -> Column:
     """The nested boundaries from a struct that ``flatten`` gives."""
     level = flat["boundaries"]
     for name in COUNTS[: depth - 1]:
-        level = regroup(level, flat[name])
+        level = arrays.regroup(level, flat[name])
     return level
 
 
@@ -67,9 +57,9 @@ def encode_semantics(values: Column, depth: int) -> Column:
 def decode_semantics(values: Column, flat: Column, depth: int) -> Column:
     """Surface ordinals nested as the type's shells and solids are."""
     if depth >= 4:
-        values = regroup(values, flat["shells"])
+        values = arrays.regroup(values, flat["shells"])
     if depth >= 5:
-        values = regroup(values, flat["solids"])
+        values = arrays.regroup(values, flat["solids"])
     return values
 
 

@@ -12,7 +12,7 @@ SPARK_TYPES = {
     "DateTime": "timestamp", "Binary": "binary",
 }
 
-#: The city object types of CityJSON.
+#: The types of city objects.
 OBJECT_TYPES = (
     "Bridge", "BridgePart", "BridgeInstallation", "BridgeConstructiveElement", "BridgeRoom", "BridgeFurniture", "Building", "BuildingPart",
     "BuildingInstallation", "BuildingConstructiveElement", "BuildingFurniture", "BuildingStorey", "BuildingRoom", "BuildingUnit",
@@ -21,7 +21,7 @@ OBJECT_TYPES = (
     "TunnelConstructiveElement", "TunnelHollowSpace", "TunnelFurniture", "WaterBody",
 )
 
-#: The semantic surface types of CityJSON.
+#: The types of semantic surfaces.
 SURFACE_TYPES = (
     "RoofSurface", "GroundSurface", "WallSurface", "ClosureSurface", "OuterCeilingSurface", "OuterFloorSurface", "Window", "Door",
     "InteriorWallSurface", "CeilingSurface", "FloorSurface", "WaterSurface", "WaterGroundSurface", "WaterClosureSurface",
@@ -63,6 +63,21 @@ def guess_type(json: Column) -> Column:
     )
 
 
+def variant_type(value: Column) -> Column:
+    """``guess_type`` of a variant, which still knows whether a whole number was written with a fraction."""
+    kind, json = F.schema_of_variant(value), F.to_json(value)
+    text = F.try_variant_get(value, "$", "string")
+    number = F.when(kind == "BIGINT", F.when(json.startswith("-"), "Long").otherwise("ULong")).when(json.rlike("^[0-9]{19,}$"), "ULong").otherwise("Double")
+    return (
+        F.when(value.isNull() | (kind == "VOID"), F.lit(None).cast("string"))
+        .when(kind == "BOOLEAN", "Bool")
+        .when(kind.rlike("^(?:BIGINT|DECIMAL|DOUBLE|FLOAT)"), number)
+        .when(kind.rlike("^(?:OBJECT|ARRAY)"), "Json")
+        .when(is_datetime(text), "DateTime")
+        .otherwise("String")
+    )
+
+
 def normalise_type(name: Column) -> Column:
     """Known and extension types as they are, others as GenericCityObject."""
     return F.when(name.isin(*OBJECT_TYPES) | name.startswith("+"), name).otherwise("GenericCityObject")

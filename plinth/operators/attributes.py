@@ -8,14 +8,17 @@ selection asks for one object that meets all.
 
 from __future__ import annotations
 
+import datetime
 import operator
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plinth.errors import EmptyQuery, UnknownColumn, UnknownOperator
+from plinth.errors import EmptyQuery, UnknownColumn, UnknownOperator, WrongType
 
 OPERATORS = {"=": operator.eq, "!=": operator.ne, ">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
 NAMES = {"Eq": "=", "Ne": "!=", "Gt": ">", "Lt": "<", "Ge": ">=", "Le": "<="}
@@ -58,6 +61,18 @@ class Condition:
         return None if widened is None else OPERATORS[widened](F.col(self.field), F.lit(self.value))
 
 
+def check_type(field: T.StructField, value: Any) -> None:
+    """A condition's value must be of its column's type; any number will do for a column of numbers."""
+    kind = field.dataType
+    fits = {
+        T.BooleanType: bool, T.StringType: str, T.BinaryType: (bytes, bytearray), T.TimestampType: (datetime.datetime, datetime.date),
+        T.TimestampNTZType: (datetime.datetime, datetime.date), T.DateType: datetime.date,
+    }
+    wanted = (int, float, Decimal) if isinstance(kind, T.NumericType) else fits.get(type(kind))
+    if wanted is None or not isinstance(value, wanted) or isinstance(value, bool) != (wanted is bool):
+        raise WrongType(f"{field.name} is {kind.simpleString()}, not {type(value).__name__}")
+
+
 class AttrQuery:
     """Conditions that must all hold."""
 
@@ -85,6 +100,7 @@ def select_ids(objects: DataFrame, query: AttrQuery | list, key: str, semantics:
     for c in query.conditions:
         if c.field not in objects.columns:
             raise UnknownColumn(c.field)
+        check_type(objects.schema[c.field], c.value)
     if semantics == "object":
         met = query.conditions[0].row()
         for c in query.conditions[1:]:
@@ -119,3 +135,8 @@ def select_range(objects: DataFrame, field: str, low: Any = None, high: Any = No
 def select(features: DataFrame, objects: DataFrame, query: AttrQuery | list, key: str, semantics: str = "feature") -> DataFrame:
     """The selected features, with all their columns, each once."""
     return features.join(select_ids(objects, query, key, semantics), key, "left_semi")
+
+
+def reject(features: DataFrame, objects: DataFrame, query: AttrQuery | list, key: str, semantics: str = "feature") -> DataFrame:
+    """The features that a query doesn't select, with all their columns."""
+    return features.join(select_ids(objects, query, key, semantics), key, "left_anti")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.functions import format as kinds
 from plinth.functions import geometry
-from plinth.operators import statistics
+from plinth.operators import ordering
+from plinth.sources import sequences
 
 
 def _by_depth(kind: Column, make) -> Column:
@@ -37,17 +39,26 @@ def reindex(g: Column, moved: Column) -> Column:
 
 
 def shared_vertices(features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The distinct vertices of each file with their index (by x, y, z), and the features with ``moved``: own index to the file's."""
+    """The distinct vertices of each file with their index (by x, y, z), and the features with ``moved``: own index to the file's.
+
+    Vertices are numbered over all files in ranges of the file's number and x, and a
+    file's first place is taken off again, so that no task numbers a whole file.
+    """
     points = features.select("file", "feature_seq", F.posexplode("vertices").alias("i", "v"))
-    order = Window.partitionBy("file").orderBy("v.x", "v.y", "v.z")
-    distinct = points.select("file", "v").distinct().withColumn("at", F.row_number().over(order) - 1)
-    found = points.join(distinct, ["file", "v"]).groupBy("file", "feature_seq").agg(F.array_sort(F.collect_list(F.struct("i", "at"))).alias("m"))
+    # A row for each file.
+    files = features.select("file").distinct().select("file", F.row_number().over(Window.orderBy("file")).cast("long").alias("_no"))
+    order = (F.shiftleft(F.col("_no"), 32) + F.col("v.x").cast("long")).alias("_order")
+    distinct = points.select("file", "v").distinct().join(files, "file").select("file", "v", order)
+    placed = ordering.with_place(distinct, "_order", "v.y", "v.z")
+    first = placed.groupBy("file").agg(F.min("place").alias("first"))
+    indexed = placed.join(first, "file").select("file", "v", (F.col("place") - F.col("first")).cast("int").alias("at"))
+    found = points.join(indexed, ["file", "v"]).groupBy("file", "feature_seq").agg(F.array_sort(F.collect_list(F.struct("i", "at"))).alias("m"))
     found = found.select("file", "feature_seq", F.transform("m", lambda x: x["at"]).alias("moved"))
-    return distinct, features.join(found, ["file", "feature_seq"], "left").withColumn("moved", F.coalesce("moved", F.array().cast("array<int>")))
+    return indexed, features.join(found, ["file", "feature_seq"], "left").withColumn("moved", F.coalesce("moved", F.array().cast("array<int>")))
 
 
 def merge_documents(features: DataFrame, header: DataFrame) -> DataFrame:
-    """file and value: the features of each file as one CityJSON document (JSON text).
+    """file and value: the features of each file as one document (JSON text).
 
     Equal vertices become one.  Objects that features share by id are kept from the
     feature that comes last.  A document is one row, so it must fit a task; files
@@ -66,7 +77,7 @@ def merge_documents(features: DataFrame, header: DataFrame) -> DataFrame:
     objects = rows.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("id", "o"))).alias("objects"))
     joined = header.join(objects, "file", "left").join(vertices, "file", "left")
     whole = F.struct(
-        F.lit("CityJSON").alias("type"), "version", "transform", "metadata", "extensions", "appearance", "geometry-templates",
+        F.lit(kinds.DOCUMENT).alias("type"), "version", "transform", "metadata", "extensions", "appearance", "geometry-templates",
         F.coalesce("objects", F.create_map().cast("map<string,variant>")).alias("CityObjects"), F.coalesce("vertices", F.array().cast("array<array<int>>")).alias("vertices"),
     )
     return joined.select("file", F.to_json(whole).alias("value"))
@@ -86,18 +97,16 @@ def surfaces(g: Column) -> Column:
     return _by_depth(F.try_variant_get(g, "$.type", "string"), level)
 
 
-def obj_lines(features: DataFrame, header: DataFrame, parts: int = 64) -> DataFrame:
-    """Lines of a Wavefront OBJ text for one file's features, in the order of at (feature), part and line.
+def obj_lines(features: DataFrame, header: DataFrame, parts: int | None = None) -> DataFrame:
+    """Lines of a Wavefront OBJ text for one file's features, in the order of at (feature), part, object_id and line.
 
     A feature's vertices come first, in real coordinates, then for each object its
     name and a face for each surface's outer ring; OBJ has no holes.
     """
-    sized = features.withColumn("n_vertices", F.size("vertices").cast("long"))
-    before = statistics.running_offsets(sized.select("feature_seq", "n_vertices"), "feature_seq", "n_vertices", parts=parts)
-    before = before.withColumnRenamed("start", "before")
-    t = F.broadcast(header.select("file", "transform"))
+    sized = features.select("feature_seq", F.size("vertices").cast("long").alias("n_vertices"))
+    before = ordering.with_running_sum(sized, "feature_seq", "n_vertices", name="before", parts=parts).drop("n_vertices")
     real = [F.col(f"v.{a}") * F.col("transform.scale")[i] + F.col("transform.translate")[i] for i, a in enumerate("xyz")]
-    points = features.join(t, "file").select(F.col("feature_seq").alias("at"), F.lit(0).alias("part"), "transform", F.posexplode("vertices").alias("line", "v"))
+    points = sequences.with_transform(features, header).select(F.col("feature_seq").alias("at"), F.lit(0).alias("part"), "transform", F.posexplode("vertices").alias("line", "v"))
     points = points.select("at", "part", F.lit("").alias("object_id"), F.col("line").cast("long").alias("line"), F.concat_ws(" ", F.lit("v"), *real).alias("value"))
     objects = features.join(before, "feature_seq").select("feature_seq", "before", F.explode("objects").alias("object_id", "o"))
     names = objects.select(F.col("feature_seq").alias("at"), F.lit(1).alias("part"), "object_id", F.lit(-1).cast("long").alias("line"), F.concat(F.lit("o "), "object_id").alias("value"))
@@ -109,8 +118,9 @@ def obj_lines(features: DataFrame, header: DataFrame, parts: int = 64) -> DataFr
 
 
 def write_obj(features: DataFrame, header: DataFrame, path: str) -> None:
-    """One OBJ text file."""
-    obj_lines(features, header).coalesce(1).sortWithinPartitions("at", "part", "object_id", "line").select("value").write.mode("overwrite").text(path)
+    """An OBJ text in part files, in the order of their names."""
+    order = ("at", "part", "object_id", "line")
+    obj_lines(features, header).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
 
 
 def surface_materials(objects: DataFrame, features: DataFrame) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.errors import BadBox
+from plinth.errors import BadBox, BadInput
 from plinth.functions import boxes
+from plinth.operators import ordering
 
+#: Points of ``nearest_many``.
+MOST_POINTS = 10_000
 #: Grids of the box join, each four times as coarse as the one before.
 GRIDS = 24
 
@@ -65,10 +68,13 @@ def nearest(features: DataFrame, x: float, y: float, *tie: Column | str) -> Data
 
 
 def nearest_many(features: DataFrame, points: DataFrame, *tie: Column | str) -> DataFrame:
-    """For each point (point_id, x, y) of a small stated set, the feature whose box centre is nearest.
+    """For each point (point_id, x, y) of a stated set, the feature whose box centre is nearest.
 
-    Each task keeps the best row of each point before anything is shuffled.
+    Each task keeps the best row of each point before anything is shuffled.  A set
+    of over ``MOST_POINTS`` points is an error: it would be sent to all tasks.
     """
+    if points.limit(MOST_POINTS + 1).count() > MOST_POINTS:
+        raise BadInput(f"more than {MOST_POINTS} points")
     d2 = boxes.centroid_distance_squared(F.col("x"), F.col("y"))
     kept = [c for c in features.columns]
     best = F.min_by(F.struct(*kept), F.struct(d2, *(tie or ("hilbert_seq",)))).alias("best")
@@ -91,26 +97,28 @@ def extent(rows: DataFrame, zero_if_empty: bool = True) -> DataFrame:
     return out.select(*(F.coalesce(c, F.lit(0)).alias(c) for c in out.columns)) if zero_if_empty else out
 
 
+def boxes_of(points: DataFrame, key: str) -> DataFrame:
+    """The quantised box of each key's points (x, y, z)."""
+    return points.groupBy(key).agg(*(f(a).alias(a + f.__name__) for f in (F.min, F.max) for a in "xyz"))
+
+
+def real_boxes(features: DataFrame, scale: tuple[float, ...], translate: tuple[float, ...]) -> DataFrame:
+    """The features with their boxes' corners in real-world coordinates."""
+    at = {f"{a}{m}": F.col(f"{a}{m}") * s + t for m in ("min", "max") for a, s, t in zip("xyz", scale, translate) if f"{a}{m}" in features.columns}
+    return features.withColumns(at)
+
+
 def with_hilbert(features: DataFrame) -> DataFrame:
     """Adds ``hilbert``; the extent is one row, joined to all."""
     e = features.agg(F.min("xmin").alias("e0"), F.min("ymin").alias("e1"), F.max("xmax").alias("e2"), F.max("ymax").alias("e3"))
     whole = {"xmin": F.col("e0"), "ymin": F.col("e1"), "xmax": F.col("e2"), "ymax": F.col("e3")}
-    return features.crossJoin(F.broadcast(e)).withColumn("hilbert", boxes.hilbert_box(whole)).drop("e0", "e1", "e2", "e3")
+    return features.join(F.broadcast(e)).withColumn("hilbert", boxes.hilbert_box(whole)).drop("e0", "e1", "e2", "e3")
 
 
 def with_sequence(features: DataFrame, key: str) -> DataFrame:
-    """Adds ``hilbert_seq``, the place in storage order: by descending Hilbert value, then key.
-
-    Rows are numbered within ranges of Hilbert values; the ranges' sizes, a row
-    for each, give the numbers to start from, so no task sorts all rows.
-    """
-    band = F.shiftright("hilbert", 20).cast("int")
-    banded = features.withColumn("band", band)
-    sizes = banded.groupBy("band").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(F.desc("band")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.select("band", before.alias("before"))
-    own = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("hilbert"), key))
-    return banded.withColumn("own", own).join(F.broadcast(starts), "band").withColumn("hilbert_seq", (F.col("before") + F.col("own")).cast("long")).drop("band", "own", "before")
+    """Adds ``hilbert_seq``, the place in storage order: by descending Hilbert value, then key."""
+    placed = ordering.with_place(features.withColumn("_down", -F.col("hilbert")), "_down", key, name="hilbert_seq")
+    return placed.withColumn("hilbert_seq", F.col("hilbert_seq") + 1).drop("_down")
 
 
 def cluster(features: DataFrame, key: str, parts: int | None = None) -> DataFrame:
@@ -123,7 +131,23 @@ def cluster(features: DataFrame, key: str, parts: int | None = None) -> DataFram
 def tiles(features: DataFrame, node: int = 16) -> DataFrame:
     """Boxes of each run of ``node`` features in storage order: one level of a tile pyramid."""
     tile = F.floor((F.col("hilbert_seq") - 1) / node).cast("long")
-    return features.groupBy(tile.alias("tile")).agg(*(f(c).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))), F.count("*").alias("n"))
+    return _rolled(features, tile, F.count("*"))
+
+
+def _rolled(rows: DataFrame, tile: Column, n: Column) -> DataFrame:
+    return rows.groupBy(tile.alias("tile")).agg(*(f(c).alias(c) for f, c in ((F.min, "xmin"), (F.min, "ymin"), (F.max, "xmax"), (F.max, "ymax"))), n.alias("n"))
+
+
+def pyramid(features: DataFrame, node: int = 16) -> DataFrame:
+    """level, tile, box and n (features) of all levels: 0 over the features, each further one over ``node`` tiles, up to one tile."""
+    level = tiles(features, node)
+    out = level.select(F.lit(0).alias("level"), "*")
+    left, k = -(-features.count() // node), 0
+    while left > 1:
+        k, left = k + 1, -(-left // node)
+        level = _rolled(level, F.floor(F.col("tile") / node).cast("long"), F.sum("n"))
+        out = out.unionByName(level.select(F.lit(k).alias("level"), "*"))
+    return out
 
 
 def join_boxes(left: DataFrame, right: DataFrame, size: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import values
+from plinth.operators import ordering
 
 
 def explode_attributes(rows: DataFrame, column: str, *keys: str) -> DataFrame:
@@ -15,14 +16,18 @@ def explode_attributes(rows: DataFrame, column: str, *keys: str) -> DataFrame:
 
 
 def infer_types(rows: DataFrame, column: str, order: str, merge: bool = True) -> DataFrame:
-    """Name and type of each attribute of a column of JSON objects.
+    """Name and type of each attribute of a column of JSON objects."""
+    entry = rows.select(order, F.explode(F.from_json(F.col(column), "map<string,variant>")).alias("name", "v"))
+    typed = entry.select(order, "name", values.variant_type(F.col("v")).alias("type")).where(F.col("type").isNotNull())
+    return merged_types(typed, order, merge)
+
+
+def merged_types(typed: DataFrame, order: str, merge: bool = True) -> DataFrame:
+    """name and type from a row for each value (name, type, ``order``).
 
     Types that disagree widen: whole numbers with fractions to Double, anything
     else to String.  Without ``merge``, the first value by ``order`` decides.
     """
-    raw = F.map_entries(F.from_json(F.to_json(F.from_json(F.col(column), "map<string,variant>")), "map<string,variant>"))
-    entry = rows.select(order, F.explode(raw).alias("e")).select(order, F.col("e.key").alias("name"), F.to_json("e.value").alias("v"))
-    typed = entry.select(order, "name", values.guess_type(F.col("v")).alias("type")).where(F.col("type").isNotNull())
     if not merge:
         return typed.groupBy("name").agg(F.min_by("type", order).alias("type"))
     kinds = typed.groupBy("name").agg(F.collect_set("type").alias("kinds"))
@@ -32,22 +37,46 @@ def infer_types(rows: DataFrame, column: str, order: str, merge: bool = True) ->
     return kinds.select("name", merged.alias("type"))
 
 
-def running_offsets(rows: DataFrame, order: str, size: str, keep: bool = False, parts: int = 64) -> DataFrame:
-    """The sum of ``size`` over the rows before, by ``order``: in ranges, then over the ranges' sums.
+def running_offsets(rows: DataFrame, order: str, size: str, keep: bool = False, parts: int | None = None) -> DataFrame:
+    """The sum of ``size`` over the rows before, by ``order``, which must be a number."""
+    return ordering.with_running_sum(rows, order, size, parts=parts).select(order, *([size] if keep else []), "start")
+
+
+def range_lengths(rows: DataFrame, order: str, size: str) -> DataFrame:
+    """order, start and length of each range; the last one is open, its length null."""
+    offsets = running_offsets(rows, order, size, keep=True)
+    last = rows.agg(F.max(order).alias("_last"))
+    return offsets.join(F.broadcast(last)).select(order, "start", F.when(F.col(order) < F.col("_last"), F.col(size)).alias("length"))
+
+
+def every_nth(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """Each ``n``-th row by ``order``, a number."""
+    return ordering.with_place(rows, order).where((F.col("place") + 1) % n == 0).drop("place")
+
+
+def dataset_sizes(rows: DataFrame, key: str, text: str, chars: str) -> DataFrame:
+    """By key: rows, bytes of their texts, mean bytes, and bytes for each character."""
+    size = F.octet_length(text).cast("long")
+    return rows.groupBy(key).agg(
+        F.count("*").alias("features"), F.sum(size).alias("bytes"), F.round(F.avg(size), 6).alias("mean_bytes"),
+        F.round(values.safe_ratio(F.sum(size), F.sum(chars)), 9).alias("ratio"),
+    )
 
-    The order column must be a number.
-    """
-    at = [i / parts for i in range(1, parts)]
-    points = sorted(set(rows.select(F.percentile_approx(order, at, F.lit(2000))).first()[0] or []))
-    band = F.size(F.filter(F.array(*map(F.lit, points)), lambda p: p <= F.col(order))) if points else F.lit(0)
-    banded = rows.withColumn("band", band)
-    sums = banded.groupBy("band").agg(F.sum(size).alias("n"))
-    whole = Window.orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.select("band", F.coalesce(F.sum("n").over(whole), F.lit(0)).alias("before"))
-    inner = Window.partitionBy("band").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    start = (F.col("before") + F.coalesce(F.sum(size).over(inner), F.lit(0))).cast("long")
-    out = banded.join(F.broadcast(before), "band").withColumn("start", start)
-    return out.select(order, *([size] if keep else []), "start")
+
+def best(rows: DataFrame, key: str, item: str, value: str) -> DataFrame:
+    """By key, the item of the least value; of equal ones, the least item."""
+    return rows.groupBy(key).agg(F.min_by(item, F.struct(value, item)).alias(item))
+
+
+def unique_counts(rows: DataFrame, *names: str) -> DataFrame:
+    """name and n: how many different values each column has."""
+    return rows.agg(*(F.countDistinct(c).alias(c) for c in names)).unpivot([], list(names), "name", "n")
+
+
+def payloads(rows: DataFrame, key: str, member: str) -> DataFrame:
+    """By key, its distinct members: how many, and a digest of them in ascending order."""
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(member)), lambda k: k.cast("string")), ",")
+    return rows.select(key, member).distinct().groupBy(key).agg(F.count("*").alias("n"), F.md5(listed).alias("payload"))
 
 
 def merge_runs(rows: DataFrame, key: str, at: str, gap: str) -> DataFrame:
@@ -61,6 +90,11 @@ def merge_runs(rows: DataFrame, key: str, at: str, gap: str) -> DataFrame:
 
 
 def summary(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """By key: mean, median, population deviation, least and most.
+
+    Rows are first counted by value, so that the exact median of a key needs the
+    counts of its distinct values rather than its rows.
+    """
     return rows.groupBy(key).agg(
         F.round(F.avg(value), 6).alias("mean"),
         F.round(F.median(value), 6).alias("median"),
@@ -77,7 +111,12 @@ def ratios(rows: DataFrame, key: str, kind: str, value: str, base) -> DataFrame:
     return means.select(key, kind, F.round("mean", 6).alias("mean"), F.round(values.safe_ratio(F.col("mean"), own), 6).alias("ratio"))
 
 
+def kind_counts(rows: DataFrame, column: str, names: dict[str, str], rest: str = "others") -> DataFrame:
+    """One row: how many rows there are of each kind (``names``: column name by kind), and of no such kind."""
+    t = F.col(column)
+    return rows.agg(*(F.count_if(t == kind).alias(name) for kind, name in names.items()), F.count_if(~t.isin(*names)).alias(rest))
+
+
 def geometry_counts(objects: DataFrame, type_col: str = "geometry_type") -> DataFrame:
     """Numbers of solids, multi-surfaces and other geometries."""
-    t = F.col(type_col)
-    return objects.agg(F.count_if(t == "Solid").alias("solids"), F.count_if(t == "MultiSurface").alias("multi_surfaces"), F.count_if(~t.isin("Solid", "MultiSurface")).alias("others"))
+    return kind_counts(objects, type_col, {"Solid": "solids", "MultiSurface": "multi_surfaces"})

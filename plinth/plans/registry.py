@@ -7,44 +7,29 @@ items, a vertex (part key, supplier key, quantity) and the transform a scale of
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions import boxes, geometry, values
-from plinth.operators import attributes, spatial, statistics
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from plinth.operators import attributes, merge, spatial, statistics
+from plinth.plans import city  # noqa: F401
+from plinth.plans.queries import ORACLES, QUERIES, query, read  # noqa: F401
+from plinth.sources import sequences
+from plinth.streaming import sequence
 
 SCALE, TX, TY = 1e-3, 85000.0, 446000.0
 FEATURES_SQL = """SELECT l_orderkey AS key, min(l_partkey) AS xmin, min(l_suppkey) AS ymin, min(CAST(l_quantity AS INT)) AS zmin,
  max(l_partkey) AS xmax, max(l_suppkey) AS ymax, max(CAST(l_quantity AS INT)) AS zmax FROM lineitem GROUP BY l_orderkey"""
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each order: key and quantised box."""
     items = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"), F.col("l_quantity").cast("int").alias("z"))
-    return items.groupBy("key").agg(*(f(a).alias(a + f.__name__) for f in (F.min, F.max) for a in "xyz"))
+    return spatial.boxes_of(items, "key")
 
 
 def flat(df: DataFrame) -> DataFrame:
-    return df.select("key", *boxes.BOX)
+    return df.select("key", "xmin", "ymin", "xmax", "ymax")
 
 
 def ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,8 +73,7 @@ def feature_bbox(spark, sf_dir):
 @query(f"""SELECT key, xmin * CAST('1e-3' AS DOUBLE) + 85000.0 AS xmin, ymin * CAST('1e-3' AS DOUBLE) + 446000.0 AS ymin,
  xmax * CAST('1e-3' AS DOUBLE) + 85000.0 AS xmax, ymax * CAST('1e-3' AS DOUBLE) + 446000.0 AS ymax FROM ({FEATURES_SQL})""")
 def feature_bbox_real(spark, sf_dir):
-    at = lambda c, t: (F.col(c) * SCALE + t).alias(c)
-    return features(spark, sf_dir).select("key", at("xmin", TX), at("ymin", TY), at("xmax", TX), at("ymax", TY))
+    return flat(spatial.real_boxes(features(spark, sf_dir), (SCALE, SCALE, 1.0), (TX, TY, 0.0)))
 
 
 @query(f"SELECT min(xmin) AS xmin, min(ymin) AS ymin, min(zmin) AS zmin, max(xmax) AS xmax, max(ymax) AS ymax, max(zmax) AS zmax FROM ({FEATURES_SQL})")
@@ -203,25 +187,27 @@ _A, _B = "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity >= 45", "SEL
 @query(f"{_A} INTERSECT {_B}")
 def condition_intersect(spark, sf_dir):
     items = read(spark, sf_dir, "lineitem")
-    return items.where("l_quantity >= 45").select("l_orderkey").intersect(items.where("l_returnflag = 'R'").select("l_orderkey"))
+    found = [attributes.select_ids(items, [c], "l_orderkey", "object") for c in (("l_quantity", ">=", 45.0), ("l_returnflag", "=", "R"))]
+    return found[0].intersect(found[1])
 
 
 @query(f"{_A} EXCEPT {_B}")
 def condition_except(spark, sf_dir):
     items = read(spark, sf_dir, "lineitem")
-    return items.where("l_quantity >= 45").select("l_orderkey").subtract(items.where("l_returnflag = 'R'").select("l_orderkey"))
+    found = [attributes.select_ids(items, [c], "l_orderkey", "object") for c in (("l_quantity", ">=", 45.0), ("l_returnflag", "=", "R"))]
+    return found[0].subtract(found[1])
 
 
 @query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity = 50)")
 def semi_lookup(spark, sf_dir):
-    hits = read(spark, sf_dir, "lineitem").where("l_quantity = 50")
-    return read(spark, sf_dir, "orders").join(hits, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
+    items = read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return attributes.select(read(spark, sf_dir, "orders"), items, [("l_quantity", "=", 50.0)], "o_orderkey").select("o_orderkey")
 
 
 @query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity = 50)")
 def anti_lookup(spark, sf_dir):
-    hits = read(spark, sf_dir, "lineitem").where("l_quantity = 50")
-    return read(spark, sf_dir, "orders").join(hits, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    items = read(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
+    return attributes.reject(read(spark, sf_dir, "orders"), items, [("l_quantity", "=", 50.0)], "o_orderkey").select("o_orderkey")
 
 
 @query("SELECT l_orderkey, l_linenumber, p_name, p_size FROM lineitem JOIN part ON l_partkey = p_partkey")
@@ -238,16 +224,12 @@ def hierarchy_children(spark, sf_dir):
 
 @query("SELECT l_quantity, count(*) AS n, md5(string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_orderkey)) AS payload FROM (SELECT DISTINCT l_quantity, l_orderkey FROM lineitem) GROUP BY l_quantity")
 def key_payload(spark, sf_dir):
-    distinct = read(spark, sf_dir, "lineitem").select("l_quantity", "l_orderkey").distinct()
-    listed = F.array_join(F.transform(F.sort_array(F.collect_list("l_orderkey")), lambda k: k.cast("string")), ",")
-    return distinct.groupBy("l_quantity").agg(F.count("*").alias("n"), F.md5(listed).alias("payload"))
+    return statistics.payloads(read(spark, sf_dir, "lineitem"), "l_quantity", "l_orderkey")
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) AS n FROM lineitem" for c in ("l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")))
 def unique_keys(spark, sf_dir):
-    names = ("l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
-    counts = read(spark, sf_dir, "lineitem").agg(*(F.countDistinct(c).alias(c) for c in names))
-    return counts.unpivot([], list(names), "name", "n")
+    return statistics.unique_counts(read(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
 @query("""SELECT k AS name, any_value(CASE t WHEN 'UBIGINT' THEN 'ULong' WHEN 'BIGINT' THEN 'Long' WHEN 'DOUBLE' THEN 'Double' WHEN 'VARCHAR' THEN 'String' WHEN 'BOOLEAN' THEN 'Bool' ELSE 'Json' END) AS type
@@ -263,8 +245,8 @@ def attr_explode(spark, sf_dir):
 
 @query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
 def attr_typed_projection(spark, sf_dir):
-    parsed = F.try_parse_json("props")
-    return read(spark, sf_dir, "events").select("event_id", F.try_variant_get(parsed, "$.k", "bigint").alias("k"))
+    objects = read(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("attributes"))
+    return sequences.project(objects, spark.createDataFrame([("k", "Long")], "name string, type string")).select("event_id", "k")
 
 
 @query("SELECT event_id, event_type, value FROM events")
@@ -280,10 +262,7 @@ def byte_offsets(spark, sf_dir):
 
 @query("SELECT doc_id, start, lead(start) OVER (ORDER BY doc_id) - start AS length FROM (SELECT doc_id, CAST(coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM documents)")
 def range_lengths(spark, sf_dir):
-    offsets = statistics.running_offsets(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", keep=True)
-    last = offsets.agg(F.max("doc_id").alias("last"))
-    joined = offsets.crossJoin(F.broadcast(last))
-    return joined.select("doc_id", "start", F.when(F.col("doc_id") < F.col("last"), F.col("n_chars")).alias("length"))
+    return statistics.range_lengths(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars")
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w > INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
@@ -295,25 +274,18 @@ def coalesce_ranges(spark, sf_dir):
 
 @query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) WHERE n % 1000 = 0")
 def sample_every_nth(spark, sf_dir):
-    numbered = statistics.running_offsets(read(spark, sf_dir, "orders").select("o_orderkey", F.lit(1).cast("long").alias("one")), "o_orderkey", "one")
-    return numbered.where((F.col("start") + 1) % 1000 == 0).select("o_orderkey")
+    return statistics.every_nth(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 1000)
 
 
 @query("SELECT count(*) FILTER (event_type = 'click') AS clicks, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type NOT IN ('click', 'view')) AS others FROM events")
 def type_counts(spark, sf_dir):
-    kind = F.col("event_type")
-    return read(spark, sf_dir, "events").agg(F.count_if(kind == "click").alias("clicks"), F.count_if(kind == "view").alias("views"), F.count_if(~kind.isin("click", "view")).alias("others"))
+    return statistics.kind_counts(read(spark, sf_dir, "events"), "event_type", {"click": "clicks", "view": "views"})
 
 
 @query("""SELECT source, count(*) AS features, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, round(avg(octet_length(encode(text))), 6) AS mean_bytes,
  round(CASE WHEN sum(n_chars) > 0 THEN sum(octet_length(encode(text))) / CAST(sum(n_chars) AS DOUBLE) ELSE 0 END, 9) AS ratio FROM documents GROUP BY source""")
 def dataset_stats(spark, sf_dir):
-    size = F.octet_length("text").cast("long")
-    docs = read(spark, sf_dir, "documents")
-    return docs.groupBy("source").agg(
-        F.count("*").alias("features"), F.sum(size).alias("bytes"), F.round(F.avg(size), 6).alias("mean_bytes"),
-        F.round(values.safe_ratio(F.sum(size), F.sum("n_chars")), 9).alias("ratio"),
-    )
+    return statistics.dataset_sizes(read(spark, sf_dir, "documents"), "source", "text", "n_chars")
 
 
 @query("""SELECT event_type, round(avg(value), 6) AS mean, round(median(value), 6) AS median, round(stddev_pop(value), 6) AS sd, min(value) AS least, max(value) AS most FROM events GROUP BY event_type""")
@@ -323,7 +295,7 @@ def bench_stats(spark, sf_dir):
 
 @query("SELECT event_type, arg_min(event_id, (value, event_id)) AS event_id FROM events GROUP BY event_type")
 def fastest_by_group(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.min_by("event_id", F.struct("value", "event_id")).alias("event_id"))
+    return statistics.best(read(spark, sf_dir, "events"), "event_type", "event_id", "value")
 
 
 @query("""WITH m AS (SELECT l_returnflag, l_linestatus, avg(l_quantity) AS mean FROM lineitem GROUP BY ALL),
@@ -358,8 +330,11 @@ def rebuild_boundaries(spark, sf_dir):
 
 @query("SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey) AS vertex FROM lineitem")
 def vertex_dedup(spark, sf_dir):
-    rank = F.dense_rank().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey")).cast("long")
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey").distinct().withColumn("vertex", rank)
+    """Each order as a file of its own: its distinct vertices, numbered."""
+    vertex = F.struct(F.col("l_partkey").alias("x"), F.col("l_suppkey").alias("y"), F.lit(0).alias("z"))
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("file")).agg(F.collect_list(vertex).alias("vertices"))
+    distinct, _ = merge.shared_vertices(rows.withColumn("feature_seq", F.lit(0)))
+    return distinct.select(F.col("file").alias("l_orderkey"), F.col("v.x").alias("l_partkey"), F.col("v.y").alias("l_suppkey"), (F.col("at") + 1).cast("long").alias("vertex"))
 
 
 @query(f"{HILBERT} SELECT (hilbert_seq - 1) // 16 AS tile, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, count(*) AS n FROM ord GROUP BY ALL")
@@ -379,10 +354,65 @@ def crs_parse(spark, sf_dir):
     return found.select("page_id", "authority", F.col("crs.code").alias("code"))
 
 
-@query(f"""WITH f AS (SELECT * FROM ({FEATURES_SQL}) WHERE xmax - xmin <= 60 AND ymax - ymin <= 60), c AS (SELECT s_suppkey, s_suppkey * 20 AS x0, s_suppkey AS y0 FROM supplier)
+@query(f"""WITH f AS ({FEATURES_SQL}), c AS (SELECT s_suppkey, s_suppkey * 20 AS x0, s_suppkey AS y0 FROM supplier)
  SELECT key, s_suppkey FROM f JOIN c ON xmax >= x0 AND xmin <= x0 + 15 AND ymax >= y0 AND ymin <= y0 + 5""")
 def spatial_join(spark, sf_dir):
-    small = flat(features(spark, sf_dir)).where((boxes.width() <= 60) & (boxes.height() <= 60))
     k = F.col("s_suppkey")
     other = read(spark, sf_dir, "supplier").select("s_suppkey", (k * 20).alias("xmin"), k.alias("ymin"), (k * 20 + 15).alias("xmax"), (k + 5).alias("ymax"))
-    return spatial.join_boxes(small, other, 50.0).select("key", F.col("r_s_suppkey").alias("s_suppkey"))
+    return spatial.join_boxes(flat(features(spark, sf_dir)), other, 50.0).select("key", F.col("r_s_suppkey").alias("s_suppkey"))
+
+
+@query(f"""{HILBERT}, t AS (SELECT l.level, (hilbert_seq - 1) // CAST(pow(16, l.level + 1) AS BIGINT) AS tile, xmin, ymin, xmax, ymax FROM ord, (SELECT unnest(range(0, 12)) AS level) AS l
+ WHERE l.level = 0 OR (SELECT count(*) FROM ord) > pow(16, l.level)) SELECT CAST(level AS INT) AS level, tile, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, count(*) AS n FROM t GROUP BY ALL""")
+def tile_levels(spark, sf_dir):
+    return spatial.pyramid(ordered(spark, sf_dir))
+
+
+@query(f"""SELECT key, CAST(greatest(xmin - 700, 0, 700 - xmax) AS DOUBLE) * greatest(xmin - 700, 0, 700 - xmax) + CAST(greatest(ymin - 50, 0, 50 - ymax) AS DOUBLE) * greatest(ymin - 50, 0, 50 - ymax) AS d2 FROM ({FEATURES_SQL})""")
+def box_distance(spark, sf_dir):
+    return flat(features(spark, sf_dir)).select("key", boxes.min_distance_squared(700.0, 50.0).alias("d2"))
+
+
+_TYPES = [*values.OBJECT_TYPES, "+Noise", "Hedge", "building"]
+
+
+@query(f"""SELECT p_partkey, CASE WHEN list_contains({list(values.OBJECT_TYPES)!r}, t) OR starts_with(t, '+') THEN t ELSE 'GenericCityObject' END AS type
+ FROM (SELECT p_partkey, ({_TYPES!r})[1 + p_partkey % {len(_TYPES)}] AS t FROM part)""")
+def object_types(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, _TYPES)), (1 + F.col("p_partkey") % len(_TYPES)).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", values.normalise_type(name).alias("type"))
+
+
+@query("""SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS by, count(*) AS n FROM events GROUP BY ALL""")
+def windowed_counts(spark, sf_dir):
+    found = sequence.windowed_counts(read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), "ts", "event_type", "1 hour")
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "by", "n")
+
+
+def _nested_text(depth: int) -> str:
+    """SQL of the JSON text of boundaries of a depth, from an item's part, supplier and line number."""
+    text = "'[' || l_partkey || ',' || l_suppkey || ']'"
+    for d in range(1, depth):
+        text = f"'[' || {text} || ',{'[' * d}' || l_linenumber || '{']' * d}]'"
+    return text
+
+
+def _nested(depth: int) -> Column:
+    level = F.array("l_partkey", "l_suppkey")
+    for d in range(1, depth):
+        inner = F.col("l_linenumber").cast("long")
+        for _ in range(d):
+            inner = F.array(inner)
+        level = F.array(level, inner)
+    return level
+
+
+@query(" UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, {d} AS depth, {_nested_text(d)} AS nested, CAST({d + 1} AS BIGINT) AS n FROM lineitem" for d in range(1, 6)))
+def boundary_depths(spark, sf_dir):
+    """Boundaries of each depth to flat arrays and back."""
+    items, out = read(spark, sf_dir, "lineitem"), None
+    for d in range(1, 6):
+        flat_ = items.select("l_orderkey", "l_linenumber", geometry.flatten(_nested(d), d).alias("f"))
+        found = flat_.select("l_orderkey", "l_linenumber", F.lit(d).alias("depth"), F.to_json(geometry.rebuild(F.col("f"), d)).alias("nested"), F.size("f.boundaries").cast("long").alias("n"))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -1,11 +1,12 @@
-"""Features from a folder of CityJSON text sequences that grows."""
+"""Features from a folder of text sequences that grows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plinth.sources import cityjson
+from plinth.functions import format as kinds
+from plinth.sources import sequences
 
 
 def stream_features(spark: SparkSession, path: str, max_files: int = 100, suffix: str = "*.jsonl") -> DataFrame:
@@ -15,14 +16,14 @@ def stream_features(spark: SparkSession, path: str, max_files: int = 100, suffix
     """
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).option("pathGlobFilter", suffix).load(path)
     rows = lines.where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.xxhash64("value").alias("line_no"), "value")
-    return cityjson.parse_features(rows.where(F.try_variant_get(F.parse_json("value"), "$.type", "string") == "CityJSONFeature"))
+    return sequences.parse_features(rows.where(F.try_variant_get(F.parse_json("value"), "$.type", "string") == kinds.FEATURE))
 
 
 def stream_headers(spark: SparkSession, path: str, suffix: str = "*.jsonl") -> DataFrame:
     """The headers in the folder now, to be joined as a static side."""
     lines = spark.read.option("pathGlobFilter", suffix).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    head = lines.where(F.get_json_object("value", "$.type") == "CityJSON")
-    return head.select("file", F.from_json("value", cityjson.HEADER).alias("h")).select("file", "h.*")
+    head = lines.where(F.get_json_object("value", "$.type") == kinds.DOCUMENT)
+    return head.select("file", F.from_json("value", sequences.HEADER).alias("h")).select("file", "h.*")
 
 
 def windowed_counts(events: DataFrame, time: str, by: Column | str, size: str = "10 minutes", late: str = "1 hour") -> DataFrame:

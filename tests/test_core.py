@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from plinth.errors import BadBox, EmptyQuery, UnknownColumn, UnknownOperator
 from plinth.functions import boxes, geometry, values
+from plinth.functions import format as kinds
 from plinth.operators import attributes, spatial
 from plinth.plans import registry
-from plinth.sources import cityjson
+from plinth.sources import sequences
 
 SF = "/root/testdata/sf0.001"
 BOXES = "key long, xmin double, ymin double, xmax double, ymax double"
@@ -111,21 +112,21 @@ def test_parse_bbox():
 
 
 def test_sequence(spark, tmp_path):
-    head = {"type": "CityJSON", "version": "2.0", "transform": {"scale": [0.5, 0.5, 1], "translate": [10, 20, 0]}, "CityObjects": {}, "vertices": []}
-    one = {"type": "CityJSONFeature", "id": "a", "vertices": [[0, 0, 0], [2, 4, 6]], "CityObjects": {"a": {"type": "Building", "attributes": {"h": 3.5, "n": 2, "when": "2010-10-13T12:43:04Z"}}}}
-    two = {"type": "CityJSONFeature", "id": "b", "vertices": [], "CityObjects": {"b": {"type": "Road", "attributes": {"n": None}}}}
+    head = {"type": kinds.DOCUMENT, "version": "2.0", "transform": {"scale": [0.5, 0.5, 1], "translate": [10, 20, 0]}, "CityObjects": {}, "vertices": []}
+    one = {"type": kinds.FEATURE, "id": "a", "vertices": [[0, 0, 0], [2, 4, 6]], "CityObjects": {"a": {"type": "Building", "attributes": {"h": 3.5, "n": 2, "when": "2010-10-13T12:43:04Z"}}}}
+    two = {"type": kinds.FEATURE, "id": "b", "vertices": [], "CityObjects": {"b": {"type": "Road", "attributes": {"n": None}}}}
     path = tmp_path / "x.jsonl"
     path.write_text("\n".join(map(json.dumps, (head, one, two))))
-    header, features = cityjson.read_cityjson(spark, str(path))
+    header, features = sequences.read_models(spark, str(path))
     assert header.count() == 1 and features.count() == 2
-    found = {r["feature_id"]: r for r in cityjson.with_box(features, header).collect()}
+    found = {r["feature_id"]: r for r in sequences.with_box(features, header).collect()}
     assert (found["a"]["xmin"], found["a"]["ymax"], found["b"]["xmin"]) == (10.0, 22.0, None)
-    objects = cityjson.city_objects(features)
-    assert {r["name"]: r["type"] for r in cityjson.infer_schema(objects).collect()} == {"h": "Double", "n": "ULong", "when": "DateTime"}
-    typed = cityjson.project(objects)
+    objects = sequences.city_objects(features)
+    assert {r["name"]: r["type"] for r in sequences.infer_schema(objects).collect()} == {"h": "Double", "n": "ULong", "when": "DateTime"}
+    typed = sequences.project(objects)
     assert attributes.select_ids(typed, [("h", ">", 2.0), ("n", "=", 2)], "feature_id").count() == 1
-    cityjson.write_sequence(features, header, str(tmp_path / "out"))
-    _, again = cityjson.read_cityjson(spark, str(tmp_path / "out"))
+    sequences.write_sequence(features, header, str(tmp_path / "out"))
+    _, again = sequences.read_models(spark, str(tmp_path / "out"))
     assert sorted(r["feature_id"] for r in again.collect()) == ["a", "b"]
 
 

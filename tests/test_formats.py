@@ -9,23 +9,24 @@ from pyspark.sql import functions as F
 from plinth import __main__ as cli
 from plinth.errors import BadInput
 from plinth.functions import encodings
+from plinth.functions import format as kinds
 from plinth.operators import merge, spatial
-from plinth.sources import cityjson, collection, dataset, encoded
+from plinth.sources import collection, dataset, encoded, sequences
 from plinth.streaming import sequence
 
-HEAD = {"type": "CityJSON", "version": "2.0", "transform": {"scale": [0.5, 0.5, 1.0], "translate": [10.0, 20.0, 0.0]}, "CityObjects": {}, "vertices": []}
+HEAD = {"type": kinds.DOCUMENT, "version": "2.0", "transform": {"scale": [0.5, 0.5, 1.0], "translate": [10.0, 20.0, 0.0]}, "CityObjects": {}, "vertices": []}
 ONE = {
-    "type": "CityJSONFeature", "id": "a", "vertices": [[0, 0, 0], [2, 0, 0], [2, 4, 6]],
+    "type": kinds.FEATURE, "id": "a", "vertices": [[0, 0, 0], [2, 0, 0], [2, 4, 6]],
     "appearance": {"materials": [{"name": "roof"}, {"name": "wall"}], "textures": [{"image": "x.png"}], "vertices-texture": [[0.0, 0.0], [1.0, 0.0], [1.0, 1.0]]},
     "CityObjects": {"a": {"type": "Building", "attributes": {"h": 3.5, "n": 2}, "geometry": [{
         "type": "MultiSurface", "lod": "2", "boundaries": [[[0, 1, 2]], [[2, 1, 0]]],
         "material": {"day": {"values": [1, None]}}, "texture": {"day": {"values": [[[0, 0, 1, 2]], [[None]]]}}}]}},
 }
 TWO = {
-    "type": "CityJSONFeature", "id": "b", "vertices": [[20, 20, 0], [2, 4, 6], [22, 20, 0], [20, 22, 0]],
+    "type": kinds.FEATURE, "id": "b", "vertices": [[20, 20, 0], [2, 4, 6], [22, 20, 0], [20, 22, 0]],
     "CityObjects": {"b": {"type": "Road", "attributes": {"n": 7}, "geometry": [{"type": "Solid", "lod": "1", "boundaries": [[[[0, 1, 2]], [[3, 2, 1]]]]}]}},
 }
-THREE = {"type": "CityJSONFeature", "id": "c", "vertices": [], "CityObjects": {"c": {"type": "LandUse"}}}
+THREE = {"type": kinds.FEATURE, "id": "c", "vertices": [], "CityObjects": {"c": {"type": "LandUse"}}}
 
 
 @pytest.fixture(scope="module")
@@ -86,7 +87,7 @@ def test_dataset(spark, city, tmp_path, capsys):
     cli.main(["info", at], spark)
     assert "bigint" in capsys.readouterr().out
     cli.main(["export", at, str(tmp_path / "out")], spark)
-    _, again = cityjson.read_cityjson(spark, str(tmp_path / "out"))
+    _, again = sequences.read_models(spark, str(tmp_path / "out"))
     assert ids(again) == ["a", "b", "c"]
     cli.main(["ingest", city, str(tmp_path / "e"), "--bbox", "10,20,10.5,20.5"], spark)
     assert ids(dataset.Dataset.open(spark, str(tmp_path / "e")).all()) == ["a"]
@@ -123,9 +124,9 @@ def corners(document, boundaries):
 
 
 def test_merge(spark, city):
-    header, features = cityjson.read_cityjson(spark, city)
+    header, features = sequences.read_models(spark, city)
     got = json.loads(merge.merge_documents(features, header).first()["value"])
-    assert sorted(got["CityObjects"]) == ["a", "b", "c"] and got["type"] == "CityJSON"
+    assert sorted(got["CityObjects"]) == ["a", "b", "c"] and got["type"] == kinds.DOCUMENT
     assert len(got["vertices"]) == 6 == len({tuple(v) for v in got["vertices"]})
     for f in (ONE, TWO):
         old, new = f["CityObjects"][f["id"]], got["CityObjects"][f["id"]]
@@ -136,7 +137,7 @@ def test_merge(spark, city):
 
 
 def test_obj(spark, city, tmp_path):
-    header, features = cityjson.read_cityjson(spark, city)
+    header, features = sequences.read_models(spark, city)
     merge.write_obj(features, header, str(tmp_path / "obj"))
     lines = open(glob.glob(str(tmp_path / "obj/part*"))[0]).read().splitlines()
     assert [x for x in lines if x[0] == "o"] == ["o a", "o b", "o c"]
@@ -145,8 +146,8 @@ def test_obj(spark, city, tmp_path):
 
 
 def test_appearance(spark, city):
-    _, features = cityjson.read_cityjson(spark, city)
-    objects = cityjson.city_objects(features)
+    _, features = sequences.read_models(spark, city)
+    objects = sequences.city_objects(features)
     found = merge.surface_materials(objects, features).select("object_id", "surface", F.try_variant_get("material", "$.name", "string").alias("m")).collect()
     assert [tuple(r) for r in found] == [("a", 0, "wall")]
     rings = merge.surface_textures(objects, features).select("ring_no", F.to_json("texture").alias("t"), "texture_vertices").collect()
@@ -155,7 +156,7 @@ def test_appearance(spark, city):
 
 def test_stream(spark, city, tmp_path):
     folder = city.rsplit("/", 1)[0]
-    features = cityjson.with_box(sequence.stream_features(spark, folder), sequence.stream_headers(spark, folder))
+    features = sequences.with_box(sequence.stream_features(spark, folder), sequence.stream_headers(spark, folder))
     running = features.select("feature_id", "xmin").writeStream.format("memory").queryName("seen").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert running.awaitTermination(60)
     assert sorted(tuple(r) for r in spark.table("seen").collect() if r["xmin"] is not None) == [("a", 10.0), ("b", 11.0)]
