@@ -7,9 +7,6 @@ what the operators' word definitions ask for.
 
 from __future__ import annotations
 
-import json
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -17,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plinth.operators.ordering import range_of, split_points  # noqa: F401
+from plinth.sources.folders import scratch, shared_dir  # noqa: F401
+
 #: Rows and bytes of a batch that are worked on at once, whatever the session's own batches hold.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
@@ -32,38 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or, on one machine, one of our own where it is unset.
-
-    The application's own checkpoints in it are deleted when it ends.
-    """
-    context = spark.sparkContext
-    where = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        where = getattr(context, "_plinth_shared", None)
-        if where is None and not context.master.startswith("local[") and context.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = context._plinth_shared = where or tempfile.mkdtemp(prefix="plinth-")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(where)
-    if not getattr(context, "_plinth_own", False):
-        context._plinth_own = _until_exit(spark, context._jsc.sc().getCheckpointDir().get())
-    return where
-
-
-def _until_exit(spark: SparkSession, where: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return files.mkdirs(path) and files.deleteOnExit(path)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one, deleted when the application ends."""
-    where = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _until_exit(spark, where)
-    return where
-
-
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written to a scratch folder."""
     where = scratch(df.sparkSession, name)
@@ -136,30 +104,5 @@ def id_field(docs: DataFrame, id_col: str = "doc_id") -> T.StructField:
     return T.StructField("doc_id", docs.schema[id_col].dataType)
 
 
-def split_points(ids: DataFrame, column: str, parts: int) -> list[int]:
-    """Values that cut a numeric column into ranges of similar row counts: at most ``parts`` - 1 of them."""
-    if parts < 2:
-        return []
-    at = [i / parts for i in range(1, parts)]
-    got = ids.select(F.percentile_approx(column, at, F.lit(20 * parts))).first()[0]
-    return sorted(set(got or []))
-
-
-def range_of(column, points: list[int]):
-    """The number of the range that a value falls into: how many of the ascending ``points`` are at most the value.
-
-    The points are two literals, blocks and the blocks' first points, so that a
-    value is compared with about twice the square root of their number.
-    """
-    if not points:
-        return F.lit(0)
-    step = max(1, round(len(points) ** 0.5))
-    blocks = [points[i : i + step] for i in range(0, len(points), step)]
-    at_most = lambda ps: F.size(F.filter(ps, lambda p: p <= column))
-    k = at_most(F.from_json(F.lit(json.dumps([b[0] for b in blocks])), "array<bigint>"))
-    inner = at_most(F.get(F.from_json(F.lit(json.dumps(blocks)), "array<array<bigint>>"), k - 1))
-    return F.when(k == 0, F.lit(0)).otherwise((k - 1) * step + inner)
-
-
 def parts_for(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
