@@ -168,12 +168,14 @@ def stored_export(spark, sf_dir):
 def merged_document(spark, sf_dir):
     """The merged document's vertices and objects, and the sum of x over all its vertex references."""
     header, features = city(spark, sf_dir)
-    doc = merge.merge_documents(features, header).select(F.from_json("value", "vertices array<array<int>>, CityObjects map<string, struct<geometry: array<variant>>>").alias("d"))
+    where = folders.scratch(spark, "merged")
+    merge.merge_documents(features, header).write.mode("overwrite").parquet(where)
+    doc = spark.read.parquet(where).select(F.from_json("value", "vertices array<array<int>>, CityObjects map<string, struct<geometry: array<variant>>>").alias("d"))
     counts = doc.select(F.size("d.vertices").cast("long").alias("vertices"), F.size("d.CityObjects").cast("long").alias("objects"))
     used = doc.select(F.explode(F.map_values("d.CityObjects")).alias("o")).select(F.explode("o.geometry").alias("g"))
     numbers = F.regexp_extract_all(F.to_json(F.try_variant_get("g", "$.boundaries", "variant")), F.lit("[0-9]+"), F.lit(0))
     points = doc.select(F.posexplode("d.vertices").alias("i", "v")).select("i", F.col("v")[0].cast("long").alias("x"))
-    return counts.join(used.select(F.explode(numbers).cast("int").alias("i")).join(points, "i").agg(F.sum("x").alias("x_sum")))
+    return counts.join(used.select(F.explode(numbers.cast("array<int>")).alias("i")).join(points, "i").agg(F.sum("x").alias("x_sum")))
 
 
 @query(f"""WITH {ITEMS}, b AS (SELECT k, CAST(coalesce(sum(c) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM (SELECT DISTINCT k, c FROM it))
