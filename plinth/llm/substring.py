@@ -13,7 +13,11 @@ Exact copies of whole documents are found first by their texts' hashes and need
 neither anchors nor windows.
 
 Anchors and windows are sorted by their hashes on disk and streamed; a hash that
-occurs in any number of places needs no more memory than another.
+occurs in any number of places needs no more memory than another.  Nor does it
+make one task read all its places: a task first looks through some ``LOCAL`` rows
+at a time, where every place of an anchor that occurs again, and every place of a
+window but the first, is decided already.  Those go on under a key of their
+document, and one row for each hash goes on under the hash.
 """
 
 from __future__ import annotations
@@ -33,10 +37,12 @@ from plinth.llm import common
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 HIGH = np.uint64(0xFFFFFFFF00000000)
+#: Rows that a task looks through before they are shuffled, and the mark of a row that this decides.
+LOCAL, DECIDED = 1 << 20, 1 << 31
 #: Stands for a null id, which comes before all others.
 NULL_ID = -(1 << 63)
 
-_ANCHORS = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("pos", T.IntegerType())])
+_ANCHORS = T.StructType([T.StructField("h", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("pos", T.LongType())])
 _PLACES = T.StructType([T.StructField("doc", T.LongType()), T.StructField("pos", T.IntegerType())])
 _WINDOWS = T.StructType([T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), T.StructField("doc", T.LongType())])
 
@@ -76,20 +82,55 @@ def copies(docs: DataFrame) -> DataFrame:
     first = hashed.groupBy("h", "g").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     # An id with several texts is left to the windows.
     single = hashed.groupBy("doc").agg(F.min("h").alias("h"), F.min("g").alias("g"), F.max("h").alias("h2"), F.max("g").alias("g2")).where("h = h2 AND g = g2")
-    return single.join(first, ["h", "g"]).where(F.col("doc") > F.col("first")).select("doc")
+    # Written out, it is joined by a shuffle of either side, and Spark splits the rows of a hot text.
+    return single.join(common.saved(first, "copies"), ["h", "g"]).where(F.col("doc") > F.col("first")).select("doc")
+
+
+def _locally(docs: DataFrame, made, decide, schema: T.StructType) -> DataFrame:
+    """The columns that ``made`` makes of each batch, through ``decide`` in lots of about ``LOCAL`` rows."""
+    arrow = common.to_arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot: list[list[np.ndarray]] = []
+
+        def out() -> pa.RecordBatch:
+            columns = decide(*(np.concatenate(c) for c in zip(*lot)))
+            return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+        for batch in common.pieces(batches):
+            lot.append(made(batch))
+            if sum(len(x[0]) for x in lot) >= LOCAL:
+                yield out()
+                lot = []
+        if lot:
+            yield out()
+
+    return docs.mapInArrow(run, schema)
+
+
+def _own_key(doc: np.ndarray) -> np.ndarray:
+    return mixed(mixed(doc.view(np.uint64))).view(np.int64)
 
 
 def anchors(docs: DataFrame) -> DataFrame:
+    """Anchors' hashes and places; the place of one that is known to occur again has the mark ``DECIDED``."""
     cover = np.isin(np.arange(PERIOD), COVER)
 
-    def run(batch: pa.RecordBatch) -> dict:
+    def made(batch: pa.RecordBatch) -> list[np.ndarray]:
         w = Words(common.utf8(batch.column("text")))
         size = w.sizes[w.text]
         at = np.flatnonzero(cover[w.pos % PERIOD] & (w.pos <= size - ANCHOR) & (size >= WINDOW))
-        docs = batch.column("doc").to_numpy()
-        return {"h": pa.array(w.runs(at, ANCHOR, 1).view(np.int64)), "doc": pa.array(docs[w.text[at]]), "pos": pa.array(w.pos[at].astype(np.int32))}
+        return [w.runs(at, ANCHOR, 1).view(np.int64), batch.column("doc").to_numpy()[w.text[at]], w.pos[at]]
+
+    def decide(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        again, several = np.zeros((2, len(h)), dtype=bool)
+        again[order[1:]] = same
+        several[order[:-1]] = same
+        return np.where(again, _own_key(doc), h), doc, pos | np.where(several | again, DECIDED, 0)
 
-    return common.map_arrow(docs, run, _ANCHORS)
+    return _locally(docs, made, decide, _ANCHORS)
 
 
 def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
@@ -100,24 +141,29 @@ def repeated(rows: DataFrame) -> DataFrame:
     """Places of the anchors whose hash occurs more than once."""
     arrow = common.to_arrow(_PLACES)
 
+    def places(doc: np.ndarray, pos: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc[keep]), pa.array((pos[keep] & ~DECIDED).astype(np.int32))], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the last row so far, and whether its hash was there before it
         for batch in batches:
             h, doc, pos = _columns(batch, ("h", "doc", "pos"))
             before = False
             if held:
-                h, doc, pos = (np.concatenate(([x], y)) for x, y in zip(held[0], (h, doc, pos)))
+                h, doc, pos = (np.concatenate((x, y)) for x, y in zip(held[0], (h, doc, pos)))
                 before = held[1]
             if not len(h):
                 continue
             same = h[1:] == h[:-1]
-            several = np.concatenate(([before], same))
-            held = ((h[-1], doc[-1], pos[-1]), bool(several[-1]))
+            several = np.append(before, same)
+            held = ((h[-1:], doc[-1:], pos[-1:]), bool(several[-1]))
             several[:-1] |= same
-            keep = several[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[:-1][keep], type=pa.int64()), pa.array(pos[:-1][keep], type=pa.int32())], schema=arrow)
-        if held and held[1]:
-            yield pa.RecordBatch.from_arrays([pa.array([held[0][1]], type=pa.int64()), pa.array([held[0][2]], type=pa.int32())], schema=arrow)
+            keep = several | (pos >= DECIDED)
+            keep[-1] = False
+            yield places(doc, pos, keep)
+        if held:
+            (_, doc, pos), before = held
+            yield places(doc, pos, before | (pos >= DECIDED))
 
     parts = common.parts_for(rows.sparkSession)
     return rows.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(run, _PLACES)
@@ -126,10 +172,11 @@ def repeated(rows: DataFrame) -> DataFrame:
 def windows(places: DataFrame) -> DataFrame:
     """Hashes and places of all windows that hold an anchor of ``places`` (doc, text, at: anchor positions).
 
-    ``g`` has 32 more bits of hash above the window's position.
+    ``g`` has 32 more bits of hash, then the window's position, with the mark
+    ``DECIDED`` if it is known to start earlier elsewhere.
     """
 
-    def run(batch: pa.RecordBatch) -> dict:
+    def made(batch: pa.RecordBatch) -> list[np.ndarray]:
         w = Words(common.utf8(batch.column("text")))
         lists = batch.column("at")
         at = lists.flatten().to_numpy(zero_copy_only=False)
@@ -139,13 +186,26 @@ def windows(places: DataFrame) -> DataFrame:
         np.add.at(marks, np.maximum(flat - (WINDOW - ANCHOR), w.starts[of]), 1)
         np.add.at(marks, flat + 1, -1)
         here = np.flatnonzero((np.cumsum(marks)[:-1] > 0) & (w.pos <= w.sizes[w.text] - WINDOW))
-        docs = batch.column("doc").to_numpy()
-        return {
-            "h": pa.array(w.runs(here, WINDOW, 2).view(np.int64)), "doc": pa.array(docs[w.text[here]]),
-            "g": pa.array((w.runs(here, WINDOW, 3) & HIGH | w.pos[here].astype(np.uint64)).view(np.int64)),
-        }
+        g = (w.runs(here, WINDOW, 3) & HIGH | w.pos[here].astype(np.uint64)).view(np.int64)
+        return [w.runs(here, WINDOW, 2).view(np.int64), g, batch.column("doc").to_numpy()[w.text[here]]]
+
+    def decide(h: np.ndarray, g: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((g & 0xFFFFFFFF, doc, h))
+        _, lead = _leads(h[order], g[order] >> 32)
+        first, place = np.empty((2, len(h)), dtype=np.int64)
+        first[order], place[order] = order[lead], np.arange(len(h)) - lead
+        other = (doc != doc[first]) | (g != g[first])
+        once = other | (place == 0)  # rows of the same id may say the same place twice
+        h, g = np.where(other, _own_key(doc), h), np.where(other, g & 0xFFFFFFFF | DECIDED, g)
+        return h[once], g[once], doc[once]
 
-    return common.map_arrow(places, run, _WINDOWS)
+    return _locally(places, made, decide, _WINDOWS)
+
+
+def _leads(h: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each row begins a group of equal hashes, and the first row of its group."""
+    new = np.append(True, (h[1:] != h[:-1]) | (high[1:] != high[:-1]))[: len(h)]
+    return new, np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
 def later(rows: DataFrame) -> DataFrame:
@@ -160,13 +220,14 @@ def later(rows: DataFrame) -> DataFrame:
                 continue
             if first:
                 h, g, doc = (np.concatenate(([x], y)) for x, y in zip(first, (h, g, doc)))
-            pos, high = g & 0xFFFFFFFF, g >> 32
-            new = np.concatenate(([True], (h[1:] != h[:-1]) | (high[1:] != high[:-1])))
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            drop = (doc != doc[lead]) | (pos != pos[lead])
+            pos = g & 0xFFFFFFFF
+            _, lead = _leads(h, g >> 32)
+            drop = (doc != doc[lead]) | (pos != pos[lead]) | (pos >= DECIDED)
+            if first:
+                drop[0] = False
             k = lead[-1]
             first = (h[k], g[k], doc[k])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[drop], type=pa.int64()), pa.array(pos[drop], type=pa.int32())], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[drop], type=pa.int64()), pa.array((pos[drop] & ~DECIDED).astype(np.int32))], schema=arrow)
 
     parts = common.parts_for(rows.sparkSession)
     return rows.repartition(parts, "h").sortWithinPartitions("h", F.shiftright("g", 32), "doc", "g").mapInArrow(run, _PLACES)
@@ -187,7 +248,6 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest
     what is removed is removed from all of them.  Other columns are not read.
     """
     spark = docs.sparkSession
-    common.prepare(spark)
     parts = common.parts_for(spark)
     read = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     dealt = read.repartition(parts, "doc")
