@@ -92,8 +92,7 @@ def merge_runs(rows: DataFrame, key: str, at: str, gap: str) -> DataFrame:
 def summary(rows: DataFrame, key: str, value: str) -> DataFrame:
     """By key: mean, median, population deviation, least and most.
 
-    Rows are first counted by value, so that the exact median of a key needs the
-    counts of its distinct values rather than its rows.
+    The median is exact: a key's distinct values, with their counts, must fit a task.
     """
     return rows.groupBy(key).agg(
         F.round(F.avg(value), 6).alias("mean"),
