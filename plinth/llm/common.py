@@ -7,6 +7,8 @@ what the operators' word definitions ask for.
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -57,16 +59,26 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_TABLE).split()
 
 
+def kept() -> dict:
+    """What this Python process keeps from task to task; it lasts while the tasks of one operator follow each other."""
+    return sys.modules.setdefault("_plinth_kept", types.ModuleType("_plinth_kept")).__dict__.setdefault("kept", {})
+
+
 def map_arrow(
     df: DataFrame,
     function: Callable[[pa.RecordBatch], pa.RecordBatch | dict],
     schema: T.StructType,
     setup: Callable[[], object] | None = None,
 ) -> DataFrame:
-    """Apply ``function`` to each batch; ``setup`` runs once a task and its result is the second argument."""
+    """Apply ``function`` to each batch; ``setup`` runs once a task and its result is the second argument.
+
+    What a worker kept from another operator's tasks is given up, so that a worker
+    that goes from stage to stage doesn't hold the tables of all of them.
+    """
     arrow = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept().clear()
         state = setup() if setup else None
         for batch in pieces(batches):
             made = function(batch, state) if setup else function(batch)

@@ -29,7 +29,7 @@ from plinth.llm import common
 #: The bound of the training sample, and the longest n-gram.
 TRAIN_DOCS, LONGEST = 20_000, 4
 #: Entries of a task's counts before they are given out and begun anew; characters of unseen words that a worker keeps the rows of.
-HELD, HELD_CHARS = 200_000, 16_000_000
+HELD, HELD_CHARS = 200_000, 4_000_000
 #: From this many words on, more words don't make the score more certain.
 SURE_WORDS = 20
 #: The pipeline rejects what scores less.
@@ -100,7 +100,9 @@ class Model:
             self.added.append(word)
             self.held += len(word) + 50
             if i >= len(self.table):
-                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+                # Only the part of unseen words doubles; the known ones are many.
+                more = np.zeros((max(1024, len(self.added)), self.table.shape[1]))
+                self.table = np.concatenate((self.table, more))
             self.table[i] = self.unseen(word)
         return i
 
@@ -135,6 +137,7 @@ def _counted(df: DataFrame, add) -> DataFrame:
     arrow = common.to_arrow(_COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.kept().clear()
         counts: Counter = Counter()
 
         def made() -> pa.RecordBatch:

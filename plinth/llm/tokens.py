@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import json
 import re
-import sys
-import types
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -209,7 +207,7 @@ class Encoder:
 
 def encoder_of(path: str) -> Encoder:
     """The encoder of this Python process, kept with its cache for the tasks to come."""
-    kept = sys.modules.setdefault("_plinth_encoders", types.ModuleType("_plinth_encoders")).__dict__
+    kept = common.kept()
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]
