@@ -2,10 +2,3 @@
 
 Nothing else in the library imports this subpackage.
 """
-
-import sys
-
-from pyspark import cloudpickle
-
-# Executors get these modules with the functions that use them, installed there or not.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

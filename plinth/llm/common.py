@@ -93,6 +93,49 @@ def map_arrow(
     return df.mapInArrow(run, schema)
 
 
+def whole_runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows that are sorted by ``keys``, cut anew so that rows of equal keys are in one batch.
+
+    It holds a batch and one run of equal keys, whose size the caller must have bounded.
+    """
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns, begin = [batch.column(k) for k in keys], batch.num_rows
+        key = lambda i: [c[i].as_py() for c in columns]  # noqa: B023, E731
+        if held and key(0) != last:
+            yield _joined(held)
+            held = []
+        last = key(begin - 1)
+        while begin and key(begin - 1) == last:
+            begin -= 1
+        if begin:
+            yield _joined([*held, batch.slice(0, begin)])
+            held = []
+        held.append(batch.slice(begin))
+    if held:
+        yield _joined(held)
+
+
+def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def map_runs(df: DataFrame, keys: list[str], function: Callable[[pa.RecordBatch], dict], schema: T.StructType, order: tuple[str, ...] = ()) -> DataFrame:
+    """Shuffle by ``keys``, sort by them and ``order``, and apply ``function`` to batches in which no run of equal keys is cut."""
+    arrow = to_arrow(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept().clear()
+        for batch in whole_runs(batches, keys):
+            made = function(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+
+
 def to_arrow(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
