@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and the SQL of those that SQL can express."""
 
-from plinth.llm import decontaminate, language, license, mixing, neighbours, pii, simhash, sketch, spelling, substring, tokens, url_filter
+from plinth.llm import decontaminate, language, license, mixing, neighbours, pii, prefix_trie, simhash, sketch, spelling, substring, tokens, url_filter
 
 QUERIES = {
     "op1_source_mixing": mixing.op1,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_substring_dedup": substring.op8,
     "op9_document_fingerprint": sketch.op9,
     "op10_language_id": language.op10,
+    "op11_conversation_trie": prefix_trie.op11,
     "op12_nearest_neighbours": neighbours.op12,
     "op13_spelling_variants": spelling.op13,
 }
