@@ -77,7 +77,9 @@ def sequences(turns: DataFrame) -> DataFrame:
     return listed.select("conv_id", F.col("t.id").alias("ids"), F.col("t.words").alias("words"))
 
 
-_DISTINCT = "ids array<bigint>, words array<int>, n bigint, least bigint, ends string"
+_DISTINCT = T.StructType([
+    T.StructField("ids", T.ArrayType(T.LongType())), T.StructField("words", T.ArrayType(T.IntegerType())), T.StructField("n", T.LongType()), T.StructField("least", T.LongType()), T.StructField("ends", T.StringType()),
+])
 
 
 def distinct_sequences(convs: DataFrame) -> DataFrame:
@@ -89,8 +91,7 @@ def distinct_sequences(convs: DataFrame) -> DataFrame:
     piece = F.floor(F.col("conv_id") / CHUNK).alias("piece")
     listed = convs.groupBy("ids", "words", piece).agg(F.sort_array(F.collect_list("conv_id")).alias("members"))
     pieces = listed.select("ids", "words", "piece", F.size("members").alias("k"), F.array_min("members").alias("least"), F.array_join(F.col("members").cast("array<string>"), ",").alias("text"))
-    schema = T._parse_datatype_string(_DISTINCT)
-    arrow = common.to_arrow(schema)
+    arrow = common.to_arrow(_DISTINCT)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.kept().clear()
@@ -110,7 +111,7 @@ def distinct_sequences(convs: DataFrame) -> DataFrame:
         if before is not None:
             yield pa.RecordBatch.from_arrays([pa.array([c], type=f.type) for c, f in zip([*before[:4], before[4].hexdigest()], arrow)], schema=arrow)
 
-    return pieces.repartition("ids").sortWithinPartitions("ids", "piece").mapInArrow(digests, schema)
+    return pieces.repartition("ids").sortWithinPartitions("ids", "piece").mapInArrow(digests, _DISTINCT)
 
 
 def local_trie(rows: list[tuple[list[int], list[int], int, int, str]], top: int) -> list[list]:
@@ -151,9 +152,10 @@ def local_trie(rows: list[tuple[list[int], list[int], int, int, str]], top: int)
     return nodes
 
 
-_NODE = "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string"
 _PATH = "array<struct<conv:bigint,depth:int>>"
-_LOCAL = T._parse_datatype_string(f"{_NODE}, path {_PATH}")
+_NUMBERS = ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens")
+_STEP = T.StructType([T.StructField("conv", T.LongType()), T.StructField("depth", T.IntegerType())])
+_LOCAL = T.StructType([*(T.StructField(c, T.LongType()) for c in _NUMBERS), T.StructField("ends_sha256", T.StringType()), T.StructField("path", T.ArrayType(_STEP))])
 
 
 def _finish(batch: pa.RecordBatch) -> dict:

@@ -77,7 +77,8 @@ def _halves(rows: DataFrame) -> DataFrame:
     both = F.array(to(a + half, b, less), to(a, b + half, F.least(less, a + half)))
     rows = rows.select("word", "n", "kind", "m", F.explode(both).alias("s")).select("word", "n", "kind", "m", "s.a", "s.b", "s.less")
     ends = F.concat(F.substring(F.col("word"), F.lit(1), F.col("a")), F.lit("/"), F.substring(F.col("word"), F.length("word") - F.col("b") + 1, F.col("b")))
-    return rows.withColumn("block", F.concat_ws("/", *_STATE, ends))
+    # A block's name only brings words together; what it names is compared again.
+    return rows.withColumn("block", F.concat_ws("/", *_STATE, F.when(F.length(ends) > 40, F.md5(ends.cast("binary"))).otherwise(ends)))
 
 
 def _begin(words: DataFrame) -> DataFrame:
@@ -147,7 +148,8 @@ def links(words: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
     Each round counts the blocks, scans those that are small or can't be subdivided
     and subdivides the others; there are about as many rounds as the longest
-    crowded word's length has binary digits.
+    crowded word's length has binary digits, and a crowded word comes to at most
+    about as many blocks as it has characters.
     """
     rows, found = _begin(words), None
     while True:
