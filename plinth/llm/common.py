@@ -64,6 +64,17 @@ def kept() -> dict:
     return sys.modules.setdefault("_plinth_kept", types.ModuleType("_plinth_kept")).__dict__.setdefault("kept", {})
 
 
+def built(sent, build: Callable):
+    """What ``build`` makes of a broadcast of plain values: made once in a worker and kept with the broadcast.
+
+    Objects of the package's own classes can't be broadcast themselves, as workers needn't have the package.
+    """
+    made = getattr(sent, "_plinth_built", None)
+    if made is None:
+        made = sent._plinth_built = build(sent.value)
+    return made
+
+
 def map_arrow(
     df: DataFrame,
     function: Callable[[pa.RecordBatch], pa.RecordBatch | dict],

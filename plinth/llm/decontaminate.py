@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plinth.llm import common
+from plinth.operators import ordering
 
 WINDOW = 10
 #: Words of a block.  The tables of a worker that searches for it take about 0.6 KB a word.
@@ -80,19 +81,9 @@ def patterns_of(rows: list[tuple[str | None, bytes]], window: int) -> dict[int,
     return found
 
 
-class Block:
-    """Some of the benchmark's texts; a worker builds their searchers once."""
-
-    def __init__(self, rows: list[tuple[str | None, bytes]], window: int):
-        self.rows, self.window, self.made = rows, window, None
-
-    def __getstate__(self) -> dict:
-        return {"rows": self.rows, "window": self.window, "made": None}
-
-    def searchers(self) -> list[WuManber]:
-        if self.made is None:
-            self.made = [WuManber(p, m) for m, p in patterns_of(self.rows, self.window).items()]
-        return self.made
+def searchers_of(block: tuple[list[tuple[str | None, bytes]], int]) -> list[WuManber]:
+    """The searchers of a block: some of the benchmark's texts, and the window."""
+    return [WuManber(p, m) for m, p in patterns_of(*block).items()]
 
 
 def scan(searchers: list[WuManber], words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
@@ -119,7 +110,9 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window:
     """How many blocks the benchmark has, and the blocks, each given up when the next one is asked for.
 
     A text of more than a tenth of a block's words is cut; its pieces share
-    ``window`` - 1 words, so that each window is in one of them.
+    ``window`` - 1 words, so that each window is in one of them.  Equal pieces of an
+    item count once.  Pieces are dealt in their order by running size, so that a block
+    has ``block_words`` words at most and one piece more.
     """
     spark = benchmark.sparkSession
     most = max(2 * window, block_words // 10)
@@ -136,15 +129,18 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, window:
         return out
 
     b = benchmark.select(benchmark[item_col].cast("string").alias("item"), benchmark[text_col].cast("string").alias("text"))
-    pieces = common.saved(common.map_arrow(b.where(F.col("text").isNotNull()), cut, schema), "benchmark")
+    pieces = common.saved(common.map_arrow(b.where(F.col("text").isNotNull()), cut, schema).dropDuplicates(["item", "text"]), "benchmark")
     total = pieces.agg(F.sum("n")).first()[0] or 0
-    n = 1 if total <= block_words else -(-5 * total // (4 * block_words))
-    numbered = pieces.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
+    n = -(-total // block_words) or 1
+    numbered = pieces.withColumn("block", F.lit(0))
+    if n > 1:
+        placed = ordering.with_running_sum(pieces.withColumn("place", F.xxhash64("item", "text")), "place", "n", "item", "text", name="before")
+        numbered = common.saved(placed.select("item", "text", F.floor(F.col("before") / block_words).alias("block")), "blocks")
 
     def blocks() -> Iterator[Broadcast]:
         for k in range(n):
             rows = [(r[0], bytes(r[1])) for r in numbered.where(F.col("block") == k).select("item", "text").collect()]
-            sent = spark.sparkContext.broadcast(Block(rows, window))
+            sent = spark.sparkContext.broadcast((rows, window))
             del rows
             yield sent
             if k < n - 1:
@@ -208,10 +204,11 @@ def find(
 
 def _scanner(sent: Broadcast):
     def run(batch: pa.RecordBatch) -> dict:
+        searchers = common.built(sent, searchers_of)
         out: dict = {c: batch.column(c) for c in batch.schema.names if c != "text"} | {"n_words": [], "spans": [], "items": []}
         for text in common.utf8(batch.column("text")):
             words = common.words_of(text)
-            spans, items = scan(sent.value.searchers(), words)
+            spans, items = scan(searchers, words)
             out["n_words"].append(len(words))
             out["spans"].append([{"start": a, "end": b} for a, b in spans])
             out["items"].append(sorted(x for x in items if x is not None))
@@ -248,10 +245,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_w
 
 def _filter(sent: Broadcast, text_col: str):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = []
+        keep, searchers = [], common.built(sent, searchers_of)
         for text in common.utf8(batch.column(text_col)):
             words = common.words_of(text)
-            keep.append(not any(next(s.search(words), None) for s in sent.value.searchers()))
+            keep.append(not any(next(s.search(words), None) for s in searchers))
         return batch.filter(pa.array(keep, type=pa.bool_()))
 
     return run

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,8 +29,8 @@ from plinth.llm import common
 
 #: The bound of the training sample, and the longest n-gram.
 TRAIN_DOCS, LONGEST = 20_000, 4
-#: Entries of a task's counts before they are given out and begun anew; characters of unseen words that a worker keeps the rows of.
-HELD, HELD_CHARS = 200_000, 4_000_000
+#: Entries of a task's counts before they are given out and begun anew; characters of words that a worker keeps the rows of.
+HELD, HELD_CHARS = 200_000, 8_000_000
 #: From this many words on, more words don't make the score more certain.
 SURE_WORDS = 20
 #: The pipeline rejects what scores less.
@@ -49,71 +50,94 @@ def grams_of(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
+def keys_of(tokens: list[str]) -> np.ndarray:
+    """64-bit hashes that stand for tokens in a model."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(t) for t in tokens), dtype=np.uint64, count=len(tokens))
+
+
 class Model:
     """Log frequencies by language of words (length 0) and n-grams.
 
-    A word's row has its log frequencies, then its share of known n-grams at the
-    length that decides (1 for a known word), then 1 if it has a letter.
+    The tables are sorted arrays of the tokens' hashes and of their log frequencies, some 8
+    bytes and 8 for each language a token; a word that training didn't see is taken for
+    one that it saw with a probability of its words over 2^64.  A worker keeps the rows
+    of the words that it met lately.  A word's row has its log frequencies, then its
+    share of known n-grams at the length that decides (1 for a known word), then 1 if it
+    has a letter.
     """
 
-    def __init__(self, languages: list[str], counts: dict[int, tuple[list[str], np.ndarray]]):
+    def __init__(self, languages: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray]]):
+        self.languages, self.tables = languages, tables
+        self.forget()
+
+    @classmethod
+    def fitted(cls, languages: list[str], counts: dict[int, tuple[list[str], np.ndarray]]) -> Model:
         """``counts``: for each length, the tokens and their counts, a row a token and a column a language."""
-        self.languages = languages
-        self.tokens = {n: tokens for n, (tokens, _) in counts.items()}
-        self.logs = {n: np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * len(c))) for n, (_, c) in counts.items() if len(c)}
-        self.index: dict[str, int] | None = None
-
-    def __getstate__(self) -> dict:
-        return {"languages": self.languages, "tokens": self.tokens, "logs": self.logs, "index": None}
-
-    def ready(self) -> None:
-        """Build the tables; the rows of unseen words are kept from text to text, up to ``HELD_CHARS``."""
-        if self.index is None:
-            self.grams = {n: {t: i for i, t in enumerate(self.tokens[n])} for n in self.logs if n}
-            known = self.logs.get(0, np.zeros((0, len(self.languages))))
-            self.base = len(known)
-            self.table = np.ones((self.base + 1024, len(self.languages) + 2))
-            self.table[: self.base, :-2] = known
-            self.index = dict(zip(self.tokens.get(0, ()), range(self.base)))
-            self.added, self.held = [], 0
-        elif self.held > HELD_CHARS:
-            for w in self.added:
-                del self.index[w]
-            self.added, self.held = [], 0
+        tables = {}
+        for n, (tokens, c) in counts.items():
+            if len(c):
+                keys = keys_of(tokens)
+                order = np.argsort(keys)
+                tables[n] = keys[order], np.log((c + 0.5) / (c.sum(axis=0) + 0.5 * len(c)))[order]
+        return cls(languages, tables)
+
+    def parts(self) -> tuple:
+        """What a model is made of again."""
+        return self.languages, self.tables
+
+    def forget(self) -> None:
+        self.index: dict[str, int] = {}
+        self.table, self.held = np.zeros((1024, len(self.languages) + 2)), 0
+
+    def known(self, n: int, tokens: list[str]) -> np.ndarray:
+        """The log frequencies of those of the tokens that training saw, a row for each."""
+        if n not in self.tables:
+            return np.zeros((0, len(self.languages)))
+        keys, logs = self.tables[n]
+        wanted = keys_of(tokens)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return logs[at[keys[at] == wanted]]
 
     def unseen(self, word: str) -> np.ndarray:
         """The row of a word that training didn't see: from its longest known n-grams, all 0 without any."""
         row = np.zeros(len(self.languages) + 2)
         row[-1] = any(map(str.isalpha, word))
         for n in range(LONGEST, 0, -1) if row[-1] else ():
-            grams, at = grams_of(word, n), self.grams.get(n, {})
-            found = [i for g in grams if (i := at.get(g)) is not None]
-            if found:
-                row[:-2], row[-2] = self.logs[n][found].mean(axis=0), len(found) / len(grams)
+            grams = grams_of(word, n)
+            found = self.known(n, grams)
+            if len(found):
+                row[:-2], row[-2] = found.mean(axis=0), len(found) / len(grams)
                 break
         return row
 
-    def row(self, word: str) -> int:
-        i = self.index.get(word)
-        if i is None:
-            i = self.index[word] = self.base + len(self.added)
-            self.added.append(word)
-            self.held += len(word) + 50
-            if i >= len(self.table):
-                # Only the part of unseen words doubles; the known ones are many.
-                more = np.zeros((max(1024, len(self.added)), self.table.shape[1]))
-                self.table = np.concatenate((self.table, more))
-            self.table[i] = self.unseen(word)
-        return i
+    def add(self, words: list[str]) -> None:
+        """Puts words that aren't there yet into the table."""
+        words, before = list(dict.fromkeys(words)), len(self.index)
+        self.index.update(zip(words, range(before, before + len(words))))
+        self.held += sum(map(len, words)) + 50 * len(words)
+        if len(self.index) > len(self.table):
+            self.table = np.concatenate((self.table, np.zeros((max(len(self.table), len(words)), self.table.shape[1]))))
+        place = np.arange(before, before + len(words))
+        if 0 in self.tables:
+            keys, logs = self.tables[0]
+            wanted = keys_of(words)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            seen = keys[at] == wanted
+            self.table[place[seen], :-2], self.table[place[seen], -2:] = logs[at[seen]], 1
+            place = place[~seen]
+        for i in place.tolist():
+            self.table[i] = self.unseen(words[i - before])
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_in(text or "")
         if not words or not self.languages:
             return UNKNOWN, 0.0
-        self.ready()
+        if self.held > HELD_CHARS:
+            self.forget()
         rows = list(map(self.index.get, words))
         if None in rows:
-            rows = [self.row(w) if i is None else i for i, w in zip(rows, words)]
+            self.add([w for i, w in zip(rows, words) if i is None])
+            rows = list(map(self.index.__getitem__, words))
         total = self.table[rows].sum(axis=0)
         n, explained, logs = total[-1], total[-2], total[:-2]
         if n == 0:
@@ -199,7 +223,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         made = np.zeros((len(token.dictionary), len(languages)))
         np.add.at(made, (token.indices.to_numpy(), at[own]), k[own])
         counts[n] = (token.dictionary.to_pylist(), made)
-    return Model(languages, counts)
+    return Model.fitted(languages, counts)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,11 +238,12 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     are each judged.  A null id is not held out.
     """
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(model.parts())
     schema = T.StructType([common.id_field(docs, id_col), T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batch: pa.RecordBatch) -> dict:
-        got = [sent.value.predict(t) for t in batch.column("text").to_pylist()]
+        own = common.built(sent, lambda parts: Model(*parts))
+        got = [own.predict(t) for t in batch.column("text").to_pylist()]
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": [g[0] for g in got], "score": [g[1] for g in got]}
 
     df = docs.select(docs[id_col].alias("doc_id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].cast("string").alias("text"))
@@ -228,10 +253,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: float = KEEP) -> DataFrame:
     """The rows of ``docs`` whose text has a language with a score of ``least`` or more, with all their columns."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)
+    sent = spark.sparkContext.broadcast(model.parts())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = [sent.value.predict(t) for t in batch.column(text_col).to_pylist()]
+        own = common.built(sent, lambda parts: Model(*parts))
+        got = [own.predict(t) for t in batch.column(text_col).to_pylist()]
         return batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in got], type=pa.bool_()))
 
     return common.map_arrow(docs, run, docs.schema)

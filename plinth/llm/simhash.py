@@ -278,7 +278,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
 
 def shingle_sets(docs: DataFrame, size: int, bucket: str = "bucket", node: str = "node", text_col: str = "text") -> DataFrame:
     """bucket, node and the sorted distinct 64-bit hashes of a text's ``size``-word shingles, for each row; null texts have none."""
-    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", T.LongType()), T.StructField("marks", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("node", docs.schema[node].dataType), T.StructField("marks", T.ArrayType(T.LongType()))])
 
     def run(batch: pa.RecordBatch) -> dict:
         made = []
@@ -339,19 +339,21 @@ def similar_forest(nodes: list[int], sets: list[np.ndarray], least: float) -> li
 def _verify(dealt: DataFrame, least: float, heavy: int | None) -> DataFrame:
     """Links within the buckets of ``dealt`` (bucket, node, marks; sorted by bucket in each partition).
 
-    A bucket whose sets have over ``heavy`` members in all is named as a heavy row (a: the bucket, b: how many) instead.
+    A bucket whose sets have over ``heavy`` members in all is named, with their number, in a row without a link instead.
     """
-    arrow = common.to_arrow(_LINKS)
+    kind = dealt.schema["node"].dataType
+    schema = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("n", T.LongType()), T.StructField("a", kind), T.StructField("b", kind)])
+    arrow = common.to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges: list[tuple[bool, int, int]] = []
+        edges: list[tuple] = []
         current, nodes, sets, total = None, [], [], 0
 
         def end() -> None:
             if heavy is not None and total > heavy:
-                edges.append((True, current, total))
+                edges.append((current, total, None, None))
             elif len(nodes) > 1:
-                edges.extend((False, a, b) for a, b in similar_forest(nodes, sets, least))
+                edges.extend((None, None, a, b) for a, b in similar_forest(nodes, sets, least))
 
         for batch in common.pieces(batches):
             marks = batch.column("marks")
@@ -378,7 +380,7 @@ def _verify(dealt: DataFrame, least: float, heavy: int | None) -> DataFrame:
         if edges:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(zip(*edges), arrow)], schema=arrow)
 
-    return dealt.mapInArrow(run, _LINKS)
+    return dealt.mapInArrow(run, schema)
 
 
 def similar_links(sets: DataFrame, least: float = SIMILAR, heavy: int = HEAVY_MARKS) -> DataFrame:
@@ -390,8 +392,8 @@ def similar_links(sets: DataFrame, least: float = SIMILAR, heavy: int = HEAVY_MA
     parts = common.parts_for(spark)
     sets = sets.checkpoint()
     out = _verify(sets.repartition(parts, "bucket").sortWithinPartitions("bucket"), least, heavy).checkpoint()
-    found = out.where(~F.col("heavy")).select("a", "b")
-    over = out.where("heavy").select(F.col("a").alias("bucket"), F.ceil(2 * F.col("b") / heavy).cast("long").alias("n"))
+    found = out.where("bucket IS NULL").select("a", "b")
+    over = out.where("bucket IS NOT NULL").select("bucket", F.ceil(2 * F.col("n") / heavy).cast("long").alias("n"))
     if over.isEmpty():
         return found.distinct()
     dealt = sets.join(over, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "n"))
@@ -408,11 +410,13 @@ def keep_one(docs: DataFrame, size: int | None, radius: int, id_col: str = "doc_
     MinHash bands of the ``words``-word shingles connect.  Within a component, texts are
     linked where their sets of ``words``-word shingles have a Jaccard similarity of
     ``least`` or more, and a group is what such links connect.  A group whose rows
-    all lack an id keeps one of them.
+    all lack an id keeps one of them.  A text is known by 128 bits of hash.  Null texts
+    are one group and empty ones another, like any other equal texts; columns may have
+    any names.
     """
     common.shared_dir(docs.sparkSession)
     id_, key_, bucket_, n_ = (common.fresh(docs, n) for n in ("_id", "_key", "_bucket", "_n"))
-    key = F.coalesce(F.xxhash64(docs[text_col], F.lit(1)), F.lit(0))
+    key = F.coalesce(F.unhex(F.md5(docs[text_col].cast("binary"))), F.lit(b""))
     row = F.struct(docs[id_col].isNull().alias("no_id"), docs[id_col].alias("id"), key.alias("key"))
     made = banded(docs.select(row.alias("row"), docs[text_col].alias("text")), "row", "text", size, words).checkpoint()
     prints = made.select("doc_id", "fp")

@@ -224,8 +224,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     labelled URLs, or with one verdict among them, the trees give that share.
     Repeated rows are each judged; only the id and the URL are read.
     """
-    spark = pages.sparkSession
-    model = spark.sparkContext.broadcast(fit(rule_labels(pages, url_col, rules) if labelled is None else labelled, train_rows))
+    model = fit(rule_labels(pages, url_col, rules) if labelled is None else labelled, train_rows)
     text = T.StringType()
     schema = T.StructType(
         [T.StructField("page_id", pages.schema[id_col].dataType)]
@@ -237,7 +236,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
         urls = batch.column("url").to_pylist()
         parts = [parse(u) for u in urls]
         found = [held.match(*p) for p in parts]
-        scores = model.value.predict(urls).tolist()
+        scores = model.predict(urls).tolist()
         verdicts = [rules[r] if r else "block" if s >= 0.5 else "allow" for r, s in zip(found, scores)]
         return {"page_id": batch.column("page_id"), "host": [h for h, _ in parts], "path": [p for _, p in parts], "rule": found, "verdict": verdicts, "score": scores}
 
