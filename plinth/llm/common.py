@@ -7,6 +7,8 @@ what the operators' word definitions ask for.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -64,6 +66,17 @@ def kept() -> dict:
     return sys.modules.setdefault("_plinth_kept", types.ModuleType("_plinth_kept")).__dict__.setdefault("kept", {})
 
 
+def start_anew() -> None:
+    """Gives up what this Python process kept from another operator's tasks, and the memory that its allocators hold."""
+    kept().clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # Only glibc has it.
+
+
 def built(sent, build: Callable):
     """What ``build`` makes of a broadcast of plain values: made once in a worker and kept with the broadcast.
 
@@ -89,7 +102,7 @@ def map_arrow(
     arrow = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept().clear()
+        start_anew()
         state = setup() if setup else None
         for batch in pieces(batches):
             made = function(batch, state) if setup else function(batch)
@@ -139,7 +152,7 @@ def map_runs(df: DataFrame, keys: list[str], function: Callable[[pa.RecordBatch]
     arrow = to_arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept().clear()
+        start_anew()
         for batch in whole_runs(batches, keys):
             made = function(batch)
             yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in arrow], schema=arrow)

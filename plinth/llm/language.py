@@ -30,7 +30,7 @@ from plinth.llm import common
 #: The bound of the training sample, and the longest n-gram.
 TRAIN_DOCS, LONGEST = 20_000, 4
 #: Entries of a task's counts before they are given out and begun anew; characters of words that a worker keeps the rows of.
-HELD, HELD_CHARS = 200_000, 8_000_000
+HELD, HELD_CHARS = 50_000, 8_000_000
 #: From this many words on, more words don't make the score more certain.
 SURE_WORDS = 20
 #: The pipeline rejects what scores less.
@@ -161,7 +161,7 @@ def _counted(df: DataFrame, add) -> DataFrame:
     arrow = common.to_arrow(_COUNTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.kept().clear()
+        common.start_anew()
         counts: Counter = Counter()
 
         def made() -> pa.RecordBatch:

@@ -147,7 +147,7 @@ def nearest(vectors: DataFrame, query: Column, k: int = 10, id_col: str = "vec_i
     arrow = common.to_arrow(schema)
 
     def cell(queries: pa.Table, block: pa.Table) -> pa.Table:
-        common.kept().clear()
+        common.start_anew()
         own, marks = queries.column("vec_id").to_pylist(), queries.column("mark").to_pylist()
         found = search(_matrix(queries.column("v")), own, _matrix(block.column("v")), block.column("ids").to_pylist(), k) if len(own) and len(block) else []
         columns = [own[q] for q, _, _ in found], [marks[q] for q, _, _ in found], [c for _, c, _ in found], [s for _, _, s in found]

@@ -94,7 +94,7 @@ def distinct_sequences(convs: DataFrame) -> DataFrame:
     arrow = common.to_arrow(_DISTINCT)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.kept().clear()
+        common.start_anew()
         before: list | None = None
         for batch in batches:
             out: list[list] = []

@@ -38,7 +38,7 @@ BLOCK_IDS = 1 << 16
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a worker's cache of encoded pieces, and the most characters of one.
-CACHED, KEPT_CHARS = 500_000, 64
+CACHED, KEPT_CHARS = 250_000, 64
 #: The array type of 4-byte unsigned integers.
 UNSIGNED = next(c for c in "IL" if array(c).itemsize == 4)
 
@@ -126,16 +126,23 @@ def _data(words: np.ndarray, at: int, group: int) -> bool:
 
 
 class Pieces(dict):
-    """Ids of pieces as bytes, made by ``make`` when first asked for; only short ones are kept."""
+    """Ids of pieces as bytes, made by ``make`` when first asked for; only short ones are kept.
+
+    When half of what may be kept is new, the other half is given up but for the
+    pieces that were asked for meanwhile.
+    """
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.make = make
+        self.make, self.before = make, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.make(piece)
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self.make(piece)
         if len(piece) <= KEPT_CHARS:
-            if len(self) >= CACHED:
+            if 2 * len(self) >= CACHED:
+                self.before = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
@@ -285,6 +292,28 @@ def read_ids(spark: SparkSession, where: str) -> DataFrame:
     return common.map_arrow(spark.read.parquet(where), run, schema)
 
 
+def read_window(spark: SparkSession, where: str, begin: int, length: int) -> DataFrame:
+    """doc_id, n_tokens and ids: of each document of a token file, its ``length`` ids from ``begin`` on, or as many as it has there.
+
+    The offsets of a block lead to the words that hold these ids; no others are decoded.
+    """
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))])
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out: dict = {"doc_id": [], "n_tokens": [], "ids": []}
+        for docs, lengths, words, offsets in zip(*(batch.column(c).to_pylist() for c in ("doc_ids", "lengths", "words", "offsets"))):
+            coded, places, at = np.frombuffer(words, dtype="<u8"), np.frombuffer(offsets, dtype="<u8"), 0
+            for doc, n in zip(docs, lengths):
+                low, high = at + min(begin, n), at + min(begin + length, n)
+                out["doc_id"].append(doc)
+                out["n_tokens"].append(n)
+                out["ids"].append(decode_range(coded, places, low, high).astype(np.int64) if high > low else [])
+                at += n
+        return out
+
+    return common.map_arrow(spark.read.parquet(where).select("doc_ids", "lengths", "words", "offsets"), run, schema)
+
+
 def read_back(spark: SparkSession, where: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document of a token file.
 

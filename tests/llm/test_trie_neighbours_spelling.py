@@ -199,3 +199,31 @@ def test_forms_are_followed_to_the_last(spark):
     got = {r["word"]: (r["form"], r["root"]) for r in spelling.variants(words).collect()}
     names = ["aaaaaaa" + "b" * i for i in range(7)]
     assert got == {w: (names[i + 1] if i < 6 else None, names[6]) for i, w in enumerate(names)}
+
+
+# Token windows by offsets
+
+
+def test_token_windows_are_slices_of_the_whole(spark):
+    """Windows by the blocks' offsets equal slices of all ids, past a document's end and in one without text too."""
+    from plinth.llm import common, tokens
+
+    docs = spark.createDataFrame([(i, "word " * (i * 37 % 900) + str(i)) for i in range(60)] + [(60, None)], "doc_id long, text string")
+    where = common.scratch(spark, "windows")
+    tokens.write(docs, where)
+    whole = {r["doc_id"]: list(r["ids"]) for r in tokens.read_ids(spark, where).collect()}
+    for begin, length in ((0, 5), (100, 64), (850, 1000), (5000, 3)):
+        got = {r["doc_id"]: (r["n_tokens"], list(r["ids"])) for r in tokens.read_window(spark, where, begin, length).collect()}
+        assert got == {d: (len(ids), ids[begin : begin + length]) for d, ids in whole.items()}
+
+
+def test_kept_pieces_are_bounded(monkeypatch):
+    from plinth.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHED", 10)
+    made = []
+    pieces = tokens.Pieces(lambda p: made.append(p) or p.encode())
+    for i in range(100):
+        assert pieces["often"] == b"often" and pieces[str(i)] == str(i).encode()
+        assert len(pieces) + len(pieces.before) <= 10
+    assert made.count("often") == 1
