@@ -50,29 +50,45 @@ def min_distance_squared(x, y) -> Column:
     return dx * dx + dy * dy
 
 
-def hilbert(x: Column, y: Column) -> Column:
-    """Place of a cell along a Hilbert curve through 65,536 by 65,536 cells.
+#: Levels of the curve that one look-up covers.
+AT_ONCE = 4
+
+
+def _curve() -> list[int]:
+    """For each orientation and the next bits of x and y: the quadrants' numbers, and below them the orientation after these levels.
 
-    From the coarsest bit to the finest, each quadrant's number is added and the
-    cell is turned into that quadrant's own orientation.
+    An orientation says whether the axes are exchanged (1) and turned around (2).
+    From the coarsest bit to the finest, a quadrant has its number, and is entered in
+    an orientation of its own.
     """
-    n = CELLS
-
-    def step(acc: Column, level: Column) -> Column:
-        rx = F.call_function("shiftright", acc["x"], level).bitwiseAND(1)
-        ry = F.call_function("shiftright", acc["y"], level).bitwiseAND(1)
-        flip = (ry == 0) & (rx == 1)
-        fx = F.when(flip, n - acc["x"]).otherwise(acc["x"])
-        fy = F.when(flip, n - acc["y"]).otherwise(acc["y"])
-        quadrant = (rx * 3).bitwiseXOR(ry).cast("long")
-        return F.struct(
-            F.when(ry == 0, fy).otherwise(fx).alias("x"),
-            F.when(ry == 0, fx).otherwise(fy).alias("y"),
-            (acc["d"] * 4 + quadrant).alias("d"),
-        )
-
-    start = F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(0).cast("long").alias("d"))
-    return F.aggregate(F.sequence(F.lit(LEVELS - 1), F.lit(0), F.lit(-1)), start, step, lambda acc: acc["d"])
+    table = []
+    for start in range(4):
+        for x in range(1 << AT_ONCE):
+            for y in range(1 << AT_ONCE):
+                now, number = start, 0
+                for level in reversed(range(AT_ONCE)):
+                    across, up = (x >> level) & 1, (y >> level) & 1
+                    if now & 1:
+                        across, up = up, across
+                    if now & 2:
+                        across, up = 1 - across, 1 - up
+                    number = number * 4 + (3 * across ^ up)
+                    if not up:
+                        now ^= 3 if across else 1
+                table.append(number << 2 | now)
+    return table
+
+
+def hilbert(x: Column, y: Column) -> Column:
+    """Place of a cell along a Hilbert curve through 65,536 by 65,536 cells: a look-up for each ``AT_ONCE`` levels."""
+    table, mask = F.lit(_curve()), (1 << AT_ONCE) - 1
+    found, place = None, F.lit(0).cast("long")
+    for shift in range(LEVELS - AT_ONCE, -1, -AT_ONCE):
+        bits = F.shiftright(x.cast("int"), shift).bitwiseAND(mask) * (1 << AT_ONCE) + F.shiftright(y.cast("int"), shift).bitwiseAND(mask)
+        at = bits if found is None else found.bitwiseAND(3) * (1 << 2 * AT_ONCE) + bits
+        found = F.get(table, at)
+        place = place + F.shiftright(found, 2).cast("long") * F.lit(4**shift).cast("long")
+    return place
 
 
 def cell(low: Column, high: Column, least: Column, most: Column) -> Column:

@@ -1,4 +1,10 @@
-"""Fixed values of the exchange format for city models: what a line or document says that it is."""
+"""What lines and documents say that they are.
 
-DOCUMENT = "CityJSON"
-FEATURE = "CityJSONFeature"
+The reader goes by what a line holds and by how its type ends; types are carried as
+data from what was read to what is written.
+"""
+
+#: How the type of a feature's line ends.
+FEATURE_ENDING = "Feature"
+#: The types of made-up models.
+DOCUMENT, FEATURE = "Model", "ModelFeature"

@@ -31,6 +31,11 @@ SURFACE_TYPES = (
 #: Bytes of a stored attribute of each type of fixed size.
 SIZES = {"Byte": 1, "UByte": 1, "Bool": 1, "Short": 2, "UShort": 2, "Int": 4, "UInt": 4, "Long": 8, "ULong": 8, "Float": 4, "Double": 8}
 
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 RFC3339 = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt ][0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]+)?([Zz]|[+-][0-9]{2}:[0-9]{2})$"
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plinth.errors import EmptyQuery, UnknownColumn, UnknownOperator, WrongType
+from plinth.functions import values
 
 OPERATORS = {"=": operator.eq, "!=": operator.ne, ">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
 NAMES = {"Eq": "=", "Ne": "!=", "Gt": ">", "Lt": "<", "Ge": ">=", "Le": "<="}
@@ -37,12 +38,14 @@ class Condition:
 
     def row(self) -> Column:
         """Whether the object's own value meets the condition; never for null, nor for NaN in a range."""
-        met = OPERATORS[self.op](F.col(self.field), F.lit(self.value))
-        return met & ~F.isnan(self.field) if isinstance(self.value, float) and self.op in ("<", "<=", ">", ">=") else met
+        met = OPERATORS[self.op](values.column(self.field), F.lit(self.value))
+        return met & in_range(values.column(self.field), self.value) if self.op in ("<", "<=", ">", ">=") else met
 
     def feature(self) -> Column:
-        """Whether a feature's objects meet the condition, as an aggregate."""
-        v, k = F.col(self.field), F.lit(self.value)
+        """Whether a feature's objects meet the condition, as an aggregate; NaN is in no range."""
+        v, k = values.column(self.field), F.lit(self.value)
+        if self.op not in ("=", "!="):
+            v = F.when(in_range(v, self.value), v)
         equal = F.coalesce(F.bool_or(v == k), F.lit(False))
         if self.op == "=":
             return equal
@@ -58,7 +61,12 @@ class Condition:
     def implied(self) -> Column | None:
         """Objects that can matter; all of them for ``!=``."""
         widened = {"=": "=", ">": ">=", ">=": ">=", "<": "<=", "<=": "<="}.get(self.op)
-        return None if widened is None else OPERATORS[widened](F.col(self.field), F.lit(self.value))
+        return None if widened is None else OPERATORS[widened](values.column(self.field), F.lit(self.value))
+
+
+def in_range(v: Column, bound: Any) -> Column:
+    """False for NaN, which is greater than all numbers and in no range; only numbers can be NaN."""
+    return ~F.isnan(v.cast("double")) if isinstance(bound, (int, float, Decimal)) and not isinstance(bound, bool) else F.lit(True)
 
 
 def check_type(field: T.StructField, value: Any) -> None:
@@ -121,14 +129,15 @@ def select_ids(objects: DataFrame, query: AttrQuery | list, key: str, semantics:
 
 
 def select_range(objects: DataFrame, field: str, low: Any = None, high: Any = None) -> DataFrame:
-    """Rows whose value lies between two bounds, both included; one may be open."""
+    """Rows whose value lies between two bounds, both included; one may be open.  NaN lies in no range."""
     if low is None and high is None:
         raise EmptyQuery("a range needs a bound")
+    v = values.column(field)
     rows = objects
     if low is not None:
-        rows = rows.where(F.col(field) >= F.lit(low))
+        rows = rows.where((v >= F.lit(low)) & in_range(v, low))
     if high is not None:
-        rows = rows.where(F.col(field) <= F.lit(high))
+        rows = rows.where((v <= F.lit(high)) & in_range(v, high))
     return rows
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plinth.functions import format as kinds
+from plinth.errors import BadInput
 from plinth.functions import geometry
 from plinth.operators import ordering
 from plinth.sources import sequences
@@ -41,15 +41,12 @@ def reindex(g: Column, moved: Column) -> Column:
 def shared_vertices(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The distinct vertices of each file with their index (by x, y, z), and the features with ``moved``: own index to the file's.
 
-    Vertices are numbered over all files in ranges of the file's number and x, and a
-    file's first place is taken off again, so that no task numbers a whole file.
+    Vertices are numbered over all files, in ranges of similar size, and a file's first
+    place is taken off again, so that no task numbers a whole file.
     """
     points = features.select("file", "feature_seq", F.posexplode("vertices").alias("i", "v"))
-    # A row for each file.
-    files = features.select("file").distinct().select("file", F.row_number().over(Window.orderBy("file")).cast("long").alias("_no"))
-    order = (F.shiftleft(F.col("_no"), 32) + F.col("v.x").cast("long")).alias("_order")
-    distinct = points.select("file", "v").distinct().join(files, "file").select("file", "v", order)
-    placed = ordering.with_place(distinct, "_order", "v.y", "v.z")
+    distinct = points.select("file", "v").distinct()
+    placed = ordering.with_place(distinct, "file", "v.x", "v.y", "v.z")
     first = placed.groupBy("file").agg(F.min("place").alias("first"))
     indexed = placed.join(first, "file").select("file", "v", (F.col("place") - F.col("first")).cast("int").alias("at"))
     found = points.join(indexed, ["file", "v"]).groupBy("file", "feature_seq").agg(F.array_sort(F.collect_list(F.struct("i", "at"))).alias("m"))
@@ -57,30 +54,56 @@ def shared_vertices(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     return indexed, features.join(found, ["file", "feature_seq"], "left").withColumn("moved", F.coalesce("moved", F.array().cast("array<int>")))
 
 
-def merge_documents(features: DataFrame, header: DataFrame) -> DataFrame:
-    """file and value: the features of each file as one document (JSON text).
+#: The order of a document's pieces: its part, an object's id, a vertex's number.
+PIECE = ["part", "object_id", "at"]
+
+
+def document_pieces(features: DataFrame, header: DataFrame) -> DataFrame:
+    """file, part, object_id, at and value: the features of each file as pieces of one document, a row for each object and each vertex.
 
-    Equal vertices become one.  Objects that features share by id are kept from the
-    feature that comes last.  A document is one row, so it must fit a task; files
-    are independent.  A file without features gives a document without objects.
+    The values of a file, one after another in the order of ``PIECE``, are its document's
+    text, so that no row holds a document.  Equal vertices become one.  Of objects that
+    features share by id the one of the feature that comes last is kept.  A file
+    without features gives a document without objects.
     """
     distinct, moved = shared_vertices(features)
-    vertices = distinct.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("s"))
-    vertices = vertices.select("file", F.transform("s", lambda x: F.array(x["v"]["x"], x["v"]["y"], x["v"]["z"])).alias("vertices"))
-    rows = moved.select("file", "feature_seq", "moved", F.explode("objects").alias("id", "o"))
+    head = F.to_json(F.struct("type", "version", "transform", "metadata", "extensions", "appearance", "geometry-templates"))
+    opened = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.when(F.length(head) > 2, ",").otherwise(""), F.lit('"CityObjects":{'))
+    ends = F.array(*(F.struct(F.lit(part).alias("part"), value.alias("value")) for part, value in ((0, opened), (2, F.lit('},"vertices":[')), (4, F.lit("]}")))))
+    frame = header.select("file", F.explode(ends).alias("e")).select("file", "e.part", F.lit("").alias("object_id"), F.lit(0).alias("at"), "e.value")
+    rows = moved.select("file", "feature_seq", "moved", F.explode("objects").alias("object_id", "o"))
     fields = F.from_json(F.to_json("o"), "map<string,variant>")
     shapes = F.transform(F.try_variant_get("o", "$.geometry", "array<variant>"), lambda g: reindex(g, F.col("moved")))
     put = F.map_concat(F.map_filter(fields, lambda k, _: k != "geometry"), F.create_map(F.lit("geometry"), F.parse_json(F.to_json(shapes))))
-    rows = rows.select("file", "id", "feature_seq", F.parse_json(F.to_json(F.when(shapes.isNotNull(), put).otherwise(fields))).alias("o"))
-    last = F.row_number().over(Window.partitionBy("file", "id").orderBy(F.desc("feature_seq")))
-    rows = rows.withColumn("n", last).where("n = 1")
-    objects = rows.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("id", "o"))).alias("objects"))
-    joined = header.join(objects, "file", "left").join(vertices, "file", "left")
-    whole = F.struct(
-        F.lit(kinds.DOCUMENT).alias("type"), "version", "transform", "metadata", "extensions", "appearance", "geometry-templates",
-        F.coalesce("objects", F.create_map().cast("map<string,variant>")).alias("CityObjects"), F.coalesce("vertices", F.array().cast("array<array<int>>")).alias("vertices"),
-    )
-    return joined.select("file", F.to_json(whole).alias("value"))
+    named = F.to_json(F.create_map("object_id", F.parse_json(F.to_json(F.when(shapes.isNotNull(), put).otherwise(fields)))))
+    objects = rows.select("file", "object_id", "feature_seq", F.substring(named, F.lit(2), F.length(named) - 2).alias("text"))
+    objects = objects.groupBy("file", "object_id").agg(F.max_by("text", "feature_seq").alias("text"))
+    first = objects.groupBy("file").agg(F.min("object_id").alias("first"))
+    comma = F.when(F.col("object_id") == F.col("first"), "").otherwise(",")
+    objects = objects.join(first, "file").select("file", F.lit(1).alias("part"), "object_id", F.lit(0).alias("at"), F.concat(comma, "text").alias("value"))
+    vertex = F.concat(F.when(F.col("at") > 0, ",").otherwise(""), F.to_json(F.array("v.x", "v.y", "v.z")))
+    vertices = distinct.select("file", F.lit(3).alias("part"), F.lit("").alias("object_id"), "at", vertex.alias("value"))
+    return frame.unionByName(objects).unionByName(vertices)
+
+
+def merge_documents(features: DataFrame, header: DataFrame) -> DataFrame:
+    """file and value: the features of each file as one document (JSON text), which must fit a task; see ``document_pieces``."""
+    pieces = document_pieces(features, header).groupBy("file").agg(F.array_sort(F.collect_list(F.struct(*PIECE, "value"))).alias("s"))
+    return pieces.select("file", F.array_join(F.transform("s", lambda x: x["value"]), "").alias("value"))
+
+
+def write_document(features: DataFrame, header: DataFrame, path: str, parts: int | None = None) -> None:
+    """One file's features as a document of any size, in part files that make it up in the order of their names."""
+    one_file(header)
+    pieces = document_pieces(features, header)
+    ranged = pieces.repartitionByRange(parts, *PIECE) if parts else pieces.repartitionByRange(*PIECE)
+    ranged.sortWithinPartitions(*PIECE).select("value").write.mode("overwrite").text(path)
+
+
+def one_file(header: DataFrame) -> None:
+    """An error if there are headers of several files."""
+    if header.limit(2).count() > 1:
+        raise BadInput("the models of several files can't be one text: take them one by one")
 
 
 def surfaces(g: Column) -> Column:
@@ -118,7 +141,8 @@ def obj_lines(features: DataFrame, header: DataFrame, parts: int | None = None)
 
 
 def write_obj(features: DataFrame, header: DataFrame, path: str) -> None:
-    """An OBJ text in part files, in the order of their names."""
+    """An OBJ text of one file's features in part files, in the order of their names; headers of several files are an error."""
+    one_file(header)
     order = ("at", "part", "object_id", "line")
     obj_lines(features, header).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
 

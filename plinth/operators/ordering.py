@@ -1,8 +1,9 @@
 """Places and running sums over a total order, without sorting everything in one task.
 
-The order's numeric column is cut at quantiles into ranges of similar row counts;
-rows are numbered or summed within their range, and what the ranges before hold,
-a row for each range, is added.
+Rows are cut into ranges of similar row counts and numbered or summed within their
+range; what the ranges before hold, a row for each range, is added.  What is read
+more than once is written to a scratch folder, so that the input is worked out once
+(a range shuffle reads it once more, to find its bounds).
 """
 
 from __future__ import annotations
@@ -12,6 +13,10 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plinth.sources import folders
+
+#: Bits of a row's number within its partition, in the numbers that Spark gives rows.
+_ROW_BITS = 33
 #: Rows that a range should have; ranges at least and at most.
 RANGE_ROWS, LEAST, MOST = 500_000, 8, 20_000
 
@@ -54,20 +59,23 @@ def _before(ranged: DataFrame, band: str, value: Column) -> DataFrame:
 
 
 def with_place(rows: DataFrame, order: str, *tie: Column | str, name: str = "place", parts: int | None = None) -> DataFrame:
-    """Adds ``name``: the row's place from 0 by ``order`` (a number, ascending), then by ``tie``.
+    """Adds ``name``: the row's place from 0 by ``order``, ascending, then by ``tie``.
 
-    Rows without a value in ``order`` come first.
+    Rows without a value in ``order`` come first.  The ranges are Spark's own, over the
+    order and its ties, so that many rows of one value are split; a partition's rows
+    have consecutive numbers.
     """
-    slim = rows.select(order)
-    points = split_points(slim, order, parts or parts_for(slim))
-    ranged = rows.withColumn("_band", F.coalesce(range_of(F.col(order), points), F.lit(0)))
-    inner = F.row_number().over(Window.partitionBy("_band").orderBy(F.col(order), *tie))
-    placed = ranged.withColumn("_own", inner).join(F.broadcast(_before(ranged, "_band", F.count("*"))), "_band")
-    return placed.withColumn(name, (F.col("_before") + F.col("_own") - 1).cast("long")).drop("_band", "_own", "_before")
+    by = [F.col(order), *(F.col(t) if isinstance(t, str) else t for t in tie)]
+    ranged = rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)
+    numbered = folders.saved(ranged.sortWithinPartitions(*by).withColumn("_own", F.monotonically_increasing_id()), "placed")
+    numbered = numbered.withColumn("_band", F.shiftright("_own", _ROW_BITS)).withColumn("_own", F.col("_own").bitwiseAND((1 << _ROW_BITS) - 1))
+    placed = numbered.join(F.broadcast(_before(numbered, "_band", F.count("*"))), "_band")
+    return placed.withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).select(*rows.columns, name)
 
 
 def with_running_sum(rows: DataFrame, order: str, size: str, *tie: Column | str, name: str = "start", parts: int | None = None) -> DataFrame:
     """Adds ``name``: the sum of ``size`` over the rows before, by ``order`` (a number, ascending), then by ``tie``."""
+    rows = folders.saved(rows, "summed")
     slim = rows.select(order)
     points = split_points(slim, order, parts or parts_for(slim))
     ranged = rows.withColumn("_band", F.coalesce(range_of(F.col(order), points), F.lit(0)))

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plinth.errors import BadBox, BadInput
+from plinth.errors import BadBox
 from plinth.functions import boxes
 from plinth.operators import ordering
+from plinth.sources import folders
 
-#: Points of ``nearest_many``.
-MOST_POINTS = 10_000
 #: Grids of the box join, each four times as coarse as the one before.
 GRIDS = 24
 
@@ -67,18 +66,86 @@ def nearest(features: DataFrame, x: float, y: float, *tie: Column | str) -> Data
     return features.withColumn("d2", d2).orderBy("d2", *(tie or ("hilbert_seq",))).limit(1)
 
 
-def nearest_many(features: DataFrame, points: DataFrame, *tie: Column | str) -> DataFrame:
-    """For each point (point_id, x, y) of a stated set, the feature whose box centre is nearest.
+#: Tiles of a pyramid of centres that one tile above them has.
+FAN = 16
+#: Tiles from which on a level of that pyramid is written rather than worked out again.
+STORED_TILES = 100_000
+_CENTRES = ("cxmin", "cymin", "cxmax", "cymax")
+
+
+def _square(low: Column, high: Column, at: Column) -> tuple[Column, Column]:
+    """The squares of the least and the greatest distance of a value to a range."""
+    outside = F.greatest(low - at, at - high, F.lit(0.0))
+    inside = F.greatest(F.abs(low - at), F.abs(high - at))
+    return outside * outside, inside * inside
+
 
-    Each task keeps the best row of each point before anything is shuffled.  A set
-    of over ``MOST_POINTS`` points is an error: it would be sent to all tasks.
+def nearest_many(features: DataFrame, points: DataFrame, *tie: Column | str) -> DataFrame:
+    """For each point (point_id, x, y), the feature whose box centre is nearest, with d2, the square of the distance.
+
+    Branch and bound down a pyramid of tiles over the features in Hilbert order: of a
+    point's tiles only those are followed whose box of centres begins no farther away
+    than some other one of them ends.  Each level is an equi-join of points with the
+    tiles below theirs, so neither the points nor the features are limited.  Equally
+    near features are taken by ``tie``, without it in storage order (``hilbert_seq``);
+    of tiles whose centres are all one place only the first by ``tie`` is followed, so
+    that many features at one place cost no more than one.  Points without
+    coordinates, and all points if no feature has a box, have no row.
     """
-    if points.limit(MOST_POINTS + 1).count() > MOST_POINTS:
-        raise BadInput(f"more than {MOST_POINTS} points")
-    d2 = boxes.centroid_distance_squared(F.col("x"), F.col("y"))
-    kept = [c for c in features.columns]
-    best = F.min_by(F.struct(*kept), F.struct(d2, *(tie or ("hilbert_seq",)))).alias("best")
-    return features.crossJoin(F.broadcast(points)).groupBy("point_id").agg(best, F.min(d2).alias("d2")).select("point_id", "best.*", "d2")
+    by = [F.col(t) if isinstance(t, str) else t for t in (tie or ("hilbert_seq",))]
+    rows = features.where(F.col("xmin").isNotNull() & F.col("ymin").isNotNull())
+    placed = ordering.with_place(rows if "hilbert" in rows.columns else with_hilbert(rows), "hilbert", "xmin", "ymin", name="_place")
+    placed = placed.withColumn("_tile", F.floor(F.col("_place") / FAN))
+    centre = {a: (F.col(f"{a}min") + F.col(f"{a}max")) / 2 for a in "xy"}
+    first = F.struct(*(t.alias(f"t{i}") for i, t in enumerate(by)))
+    levels = [folders.saved(_centred(placed.select(F.col("_tile").alias("tile"), first.alias("first"), *(centre[c[1]].alias(c) for c in _CENTRES))), "centres")]
+    left = levels[0].count()
+    while left > 1:
+        above = _centred(levels[-1].withColumn("tile", F.floor(F.col("tile") / FAN)))
+        left = -(-left // FAN)
+        levels.append(folders.saved(above, "centres") if left > STORED_TILES else above)
+    found = points.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select("point_id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.lit(0).cast("long").alias("tile"))
+    for level in reversed(levels):
+        below = level.withColumn("above", F.lit(0).cast("long") if level is levels[-1] else F.floor(F.col("tile") / FAN))
+        found = _followed(found.withColumnRenamed("tile", "above").join(below, "above"))
+    d2 = boxes.centroid_distance_squared(F.col("_x"), F.col("_y"))
+    near = placed.join(found.select("point_id", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("tile").alias("_tile")), "_tile")
+    best = F.min_by(F.struct(*features.columns), F.struct(d2, *by)).alias("best")
+    return near.groupBy("point_id").agg(best, F.min(d2).alias("d2")).select("point_id", "best.*", "d2")
+
+
+def _centred(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("tile").agg(F.min("first").alias("first"), *((F.min if c.endswith("min") else F.max)(c).alias(c) for c in _CENTRES))
+
+
+def _followed(rows: DataFrame) -> DataFrame:
+    """The tiles of each point that may have its nearest centre."""
+    (lx, hx), (ly, hy) = (_square(F.col(f"c{a}min"), F.col(f"c{a}max"), F.col(a)) for a in "xy")
+    point = Window.partitionBy("point_id")
+    one = (F.col("cxmin") == F.col("cxmax")) & (F.col("cymin") == F.col("cymax"))
+    bounded = rows.select("*", (lx + ly).alias("low"), one.alias("one"), F.min(hx + hy).over(point).alias("bound"))
+    tied = F.col("one") & (F.col("low") == F.col("bound"))
+    marked = bounded.where(F.col("low") <= F.col("bound")).withColumn("best", F.min(F.when(tied, F.col("first"))).over(point))
+    return marked.where(~tied | (F.col("first") == F.col("best"))).select("point_id", "x", "y", "tile")
+
+
+def nearest_file(files: DataFrame, x: float, y: float) -> str | None:
+    """The file (name, and the box of its centres: cxmin to cymax) whose centres are all within the least distance; None without any."""
+    dx = F.greatest(F.abs(F.col("cxmin") - x), F.abs(F.col("cxmax") - x))
+    dy = F.greatest(F.abs(F.col("cymin") - y), F.abs(F.col("cymax") - y))
+    found = files.where("n > 0").select("name", (dx * dx + dy * dy).alias("far")).orderBy("far", "name").first()
+    return None if found is None else found["name"]
+
+
+def reach(features: DataFrame, x: float, y: float) -> float:
+    """The distance of the nearest box centre, and a little more, as distances are rounded."""
+    d2 = features.agg(F.min(boxes.centroid_distance_squared(x, y))).first()[0]
+    return d2**0.5 * (1 + 1e-9) + 1e-9 * (abs(x) + abs(y))
+
+
+def within_reach(x: float, y: float, far: float) -> Column:
+    """Whether a box meets the square around a point; a centre that is nearer than ``far`` is in such a box."""
+    return boxes.intersects(x - far, y - far, x + far, y + far)
 
 
 def vertex_in_bbox(vertices: Column, transform: dict[str, float], x0: float, y0: float, x1: float, y1: float) -> Column:
@@ -140,9 +207,9 @@ def _rolled(rows: DataFrame, tile: Column, n: Column) -> DataFrame:
 
 def pyramid(features: DataFrame, node: int = 16) -> DataFrame:
     """level, tile, box and n (features) of all levels: 0 over the features, each further one over ``node`` tiles, up to one tile."""
-    level = tiles(features, node)
+    level = folders.saved(tiles(features, node), "tiles")
     out = level.select(F.lit(0).alias("level"), "*")
-    left, k = -(-features.count() // node), 0
+    left, k = level.count(), 0
     while left > 1:
         k, left = k + 1, -(-left // node)
         level = _rolled(level, F.floor(F.col("tile") / node).cast("long"), F.sum("n"))
@@ -150,23 +217,50 @@ def pyramid(features: DataFrame, node: int = 16) -> DataFrame:
     return out
 
 
-def join_boxes(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
+def _smallest_cell(*sides: DataFrame) -> float:
+    """A cell so small that ``GRIDS`` grids reach from it to the whole extent."""
+    boxed = None
+    for df in sides:
+        own = df.select(*boxes.BOX)
+        boxed = own if boxed is None else boxed.unionByName(own)
+    r = boxed.agg(F.max("xmax") - F.min("xmin"), F.max("ymax") - F.min("ymin")).first()
+    return max(float(r[0] or 0), float(r[1] or 0), 1e-300) / 4.0 ** (GRIDS - 10)
+
+
+def join_boxes(left: DataFrame, right: DataFrame, size: float | None = None) -> DataFrame:
     """Pairs of overlapping boxes: equi-joins on grid cells, each pair kept in one cell only.
 
     Both sides need xmin to ymax; the right side's columns get the prefix ``r_``.
+    See ``box_candidates``; boxes with nulls meet none.
+    """
+    pairs = box_candidates(left, right, size)
+    meet = (F.col("xmax") >= F.col("r_xmin")) & (F.col("xmin") <= F.col("r_xmax")) & (F.col("ymax") >= F.col("r_ymin")) & (F.col("ymin") <= F.col("r_ymax"))
+    first = (F.col("cx") == F.floor(F.greatest("xmin", "r_xmin") / F.col("cell"))) & (F.col("cy") == F.floor(F.greatest("ymin", "r_ymin") / F.col("cell")))
+    return pairs.where(meet & first).drop("cell", "cx", "cy")
+
+
+def box_candidates(left: DataFrame, right: DataFrame, size: float | None = None) -> DataFrame:
+    """Pairs of boxes that have a grid cell in common, with ``cell`` (its size), ``cx`` and ``cy``.
+
     A box has the finest grid, of cells of ``size`` times a power of four, whose
     cells are as large as the box; it covers four cells at most there.  A pair
     meets in the coarser grid of the two, so wide boxes cost no more cells.
+
+    Without ``size`` the finest cells are those of a 2^28-th of the extent.  Then
+    boxes that share a cell are about as large as it or lie in a box that is, so
+    that a dense place has about as many candidates as it has pairs, however dense it is;
+    a cell with many rows of one side is split by Spark's skew join.
     """
+    size = float(size) if size else _smallest_cell(left, right)
     grids = F.sequence(F.lit(0), F.lit(GRIDS - 1))
+    cell = F.lit(size) * F.pow(F.lit(4.0), F.col("grid"))
 
     def graded(df: DataFrame) -> DataFrame:
         width = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-        fits = F.filter(grids, lambda g: width <= F.lit(float(size)) * F.pow(F.lit(4.0), g))
+        fits = F.filter(grids, lambda g: width <= F.lit(size) * F.pow(F.lit(4.0), g))
         return df.withColumn("own", F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(GRIDS - 1)))
 
     def celled(df: DataFrame) -> DataFrame:
-        cell = F.lit(float(size)) * F.pow(F.lit(4.0), F.col("grid"))
         across = F.sequence(F.floor(F.col("xmin") / cell), F.floor(F.col("xmax") / cell))
         down = F.sequence(F.floor(F.col("ymin") / cell), F.floor(F.col("ymax") / cell))
         return df.withColumn("cx", F.explode(across)).withColumn("cy", F.explode(down))
@@ -185,9 +279,5 @@ def join_boxes(left: DataFrame, right: DataFrame, size: float) -> DataFrame:
     a, b = graded(left), graded(right)
     own_a, own_b = celled(a.withColumn("grid", F.col("own"))), celled(b.withColumn("grid", F.col("own")))
     on = ["grid", "cx", "cy"]
-    kept = [*left.columns, *(f"r_{c}" for c in right.columns), *on]
-    pairs = own_a.join(prefixed(coarser(b, used(a), True)), on).select(kept).unionByName(coarser(a, used(b), False).join(prefixed(own_b), on).select(kept))
-    meet = (F.col("xmax") >= F.col("r_xmin")) & (F.col("xmin") <= F.col("r_xmax")) & (F.col("ymax") >= F.col("r_ymin")) & (F.col("ymin") <= F.col("r_ymax"))
-    cell = F.lit(float(size)) * F.pow(F.lit(4.0), F.col("grid"))
-    first = (F.col("cx") == F.floor(F.greatest("xmin", "r_xmin") / cell)) & (F.col("cy") == F.floor(F.greatest("ymin", "r_ymin") / cell))
-    return pairs.where(meet & first).drop(*on)
+    kept = [*left.columns, *(f"r_{c}" for c in right.columns), cell.alias("cell"), "cx", "cy"]
+    return own_a.join(prefixed(coarser(b, used(a), True)), on).select(kept).unionByName(coarser(a, used(b), False).join(prefixed(own_b), on).select(kept))

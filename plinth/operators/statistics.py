@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plinth.functions import values
 from plinth.operators import ordering
+from plinth.sources import folders
 
 
 def explode_attributes(rows: DataFrame, column: str, *keys: str) -> DataFrame:
@@ -92,7 +93,8 @@ def merge_runs(rows: DataFrame, key: str, at: str, gap: str) -> DataFrame:
 def summary(rows: DataFrame, key: str, value: str) -> DataFrame:
     """By key: mean, median, population deviation, least and most.
 
-    The median is exact: a key's distinct values, with their counts, must fit a task.
+    The median is exact: a key's distinct values, with their counts, must fit a task;
+    ``quantiles`` has no such bound.
     """
     return rows.groupBy(key).agg(
         F.round(F.avg(value), 6).alias("mean"),
@@ -103,6 +105,38 @@ def summary(rows: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+#: Ranges that values are cut into to find their quantiles.
+RANGES = 256
+
+
+def quantiles(rows: DataFrame, key: str, value: str, at: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """key, q and value: exact quantiles of each key's values, between two ranks by their distance; nulls don't count.
+
+    Equal values are counted first.  Values are cut into ranges of similar row counts;
+    a range's count for each key tells which one holds a rank, and only the values
+    of that range are ranked.  So no buffer holds a key's values, and a value
+    that a third of all rows have is one row.
+    """
+    counts = folders.saved(rows.where(F.col(value).isNotNull()).groupBy(F.col(key).alias("key"), F.col(value).alias("v")).agg(F.count("*").alias("n")), "values")
+    counts = counts.withColumn("band", ordering.range_of(F.col("v"), ordering.split_points(counts, "v", RANGES)))
+    bands = counts.groupBy("key", "band").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy("key")
+    bands = bands.select("key", "band", "n", F.sum("n").over(whole).alias("total"), (F.sum("n").over(whole.orderBy("band")) - F.col("n")).alias("before"))
+    # Two ranks from 0 for each quantile.
+    place = lambda q: (F.col("total") - 1) * q
+    wanted = F.array(*(F.struct(F.lit(float(q)).alias("q"), F.lit(side).alias("side"), f(place(q)).cast("long").alias("rank")) for q in at for side, f in ((0, F.floor), (1, F.ceil))))
+    ranks = bands.withColumn("w", F.explode(wanted)).where(F.col("w.rank").between(F.col("before"), F.col("before") + F.col("n") - 1))
+    ranks = ranks.select(F.col("key").alias("k"), F.col("band").alias("b"), "before", "total", "w.*")
+    own = counts.join(ranks.select("k", "b").distinct(), F.col("key").eqNullSafe(F.col("k")) & (F.col("band") == F.col("b")), "left_semi")
+    upto = F.sum("n").over(Window.partitionBy("key", "band").orderBy("v"))
+    own = own.select("key", "band", "v", "n", upto.alias("upto"))
+    first = F.col("before") + F.col("upto") - F.col("n")
+    found = own.join(ranks, F.col("key").eqNullSafe(F.col("k")) & (F.col("band") == F.col("b"))).where((F.col("rank") >= first) & (F.col("rank") < F.col("before") + F.col("upto")))
+    pair = found.groupBy("key", "q").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("low"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("high"), F.max("total").alias("total"))
+    share = place(F.col("q")) - F.floor(place(F.col("q")))
+    return pair.select(F.col("key").alias(key), "q", (F.col("low") + (F.col("high") - F.col("low")) * share).alias(value))
+
+
 def ratios(rows: DataFrame, key: str, kind: str, value: str, base) -> DataFrame:
     """Mean of each kind within a key, and how many times the mean of kind ``base`` it is: 0 where that isn't positive."""
     means = rows.groupBy(key, kind).agg(F.avg(value).alias("mean"))

@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plinth.functions import format as kinds
-from plinth.operators import attributes, merge, semantics, spatial
+from plinth.functions import values
+from plinth.operators import attributes, merge, semantics, shapes, spatial
 from plinth.plans.queries import query, read
 from plinth.sources import dataset, encoded, folders, sequences
 
@@ -248,3 +249,87 @@ def combined_selection(spark, sf_dir):
     objects = stored(spark, sf_dir).objects
     found = attributes.select_range(objects.where("flag = 'R'").groupBy("feature_id").agg(F.max("q").alias("top")), "top", 10.0, 20.0)
     return found.select("feature_id", "top")
+
+
+@query(f"""WITH {ITEMS}, v AS (SELECT x, y, z, row_number() OVER (ORDER BY x, y, z) - 1 AS place FROM (SELECT DISTINCT x, y, z FROM it)),
+ o AS (SELECT k || '-' || n AS id FROM it UNION SELECT CAST(k AS VARCHAR) FROM it)
+ SELECT 3 AS part, '' AS object_id, place AS "at", CASE WHEN place > 0 THEN ',' ELSE '' END || '[' || x || ',' || y || ',' || z || ']' AS value FROM v
+ UNION ALL SELECT 1, id, 0, CASE WHEN id > (SELECT min(id) FROM o) THEN ',' ELSE '' END || '"' || id || '":' FROM o""")
+def document_pieces(spark, sf_dir):
+    """The pieces of the whole model as one document: its vertices' texts, and where its objects begin."""
+    header, features = city(spark, sf_dir)
+    value = F.when(F.col("part") == 1, F.concat(F.split_part("value", F.lit(":"), F.lit(1)), F.lit(":"))).otherwise(F.col("value"))
+    return merge.document_pieces(features, header).where("part IN (1, 3)").select("part", "object_id", F.col("at").cast("long").alias("at"), value.alias("value"))
+
+
+_BROKEN = {0: "a vertex that doesn't fit 32 bits", 1: "a vertex that isn't whole", 2: "a line of another type: Else", 3: "a feature without an id", 4: "without objects", 5: "not JSON, or a key comes twice"}
+_REASONS = " ".join(f"WHEN {k} THEN '" + reason.replace("'", "''") + "'" for k, reason in _BROKEN.items())
+
+
+@query(f"SELECT DISTINCT l_orderkey AS line_no, CASE l_orderkey % 9 {_REASONS} END AS reason FROM lineitem WHERE l_orderkey % 9 < 6")
+def sequence_bad_lines(spark, sf_dir):
+    """Lines of the model with six kinds of faults in every nine, and what the reader says of each."""
+    k, v = F.col("key") % 9, F.col("value")
+    vertex = lambda x: F.regexp_replace(v, r'"vertices":\[\[[0-9]+', f'"vertices":[[{x}')
+    broken = F.when(k == 0, vertex("3000000000")).when(k == 1, vertex("1.5")).when(k == 2, F.replace(v, F.lit(kinds.FEATURE), F.lit("Else"))).when(k == 3, F.regexp_replace(v, '"id":"[^"]*",', ""))
+    broken = broken.when(k == 4, F.replace(v, F.lit('"CityObjects"'), F.lit('"Others"'))).when(k == 5, F.substring(v, F.lit(1), F.length(v) - 1)).otherwise(v)
+    head = spark.createDataFrame([("orders", -1, json.dumps(HEADER))], sequences.LINES)
+    rows = lines(spark, sf_dir).select(F.lit("orders").alias("file"), F.col("key").alias("line_no"), broken.alias("value"))
+    return sequences.bad_lines(head.unionByName(rows)).select("line_no", "reason")
+
+
+@query("SELECT l_orderkey AS k, l_linenumber AS n, l_returnflag AS a, CAST(l_quantity AS BIGINT) AS b, CAST(l_partkey AS BIGINT) AS c, l_linestatus AS d, l_suppkey AS e FROM lineitem")
+def odd_attribute_names(spark, sf_dir):
+    """Attributes whose names are taken, differ in case or have dots and quotes, as columns."""
+    names = {"type": F.col("l_returnflag"), "d": F.col("l_quantity").cast("long"), "D": F.col("l_partkey").cast("long"), "e.f": F.col("l_linestatus"), "it's": F.col("l_suppkey")}
+    whole = F.create_map(*(x for n, c in names.items() for x in (F.lit(n), F.parse_json(F.to_json(F.array(c))))))
+    whole = F.transform_values(whole, lambda _, v: F.try_variant_get(v, "$[0]", "variant"))
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.lit("Building").alias("type"), F.parse_json(F.to_json(whole)).alias("attributes"))
+    kinds_ = [("D", "Long"), ("d", "Long"), ("e.f", "String"), ("it's", "Long"), ("type", "String")]
+    found = sequences.column_names([n for n, _ in kinds_], rows.columns)
+    at = lambda n: values.column(found[n])
+    return sequences.projected(rows, kinds_).select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), at("type").alias("a"), at("d").alias("b"), at("D").alias("c"), at("e.f").alias("d"), at("it's").alias("e"))
+
+
+@query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING max(CASE WHEN l_linenumber > 1 THEN l_quantity END) >= 30 AND NOT coalesce(bool_or(l_linenumber > 1 AND l_quantity = 30), FALSE)")
+def attr_nan(spark, sf_dir):
+    """A range in which every first item has NaN, which is greater than all numbers and in no range."""
+    q = F.when(F.col("l_linenumber") > 1, F.col("l_quantity")).otherwise(F.lit(float("nan")))
+    return attributes.select_ids(read(spark, sf_dir, "lineitem").select("l_orderkey", q.alias("q")), [("q", ">", 30)], "l_orderkey")
+
+
+@query(f"""WITH {ITEMS}, t AS (SELECT k || '-' || n AS object_id, CAST(n % 4 AS INT) AS kind, n, n || ',' || (n + 1) % c || ',' || (n + 2) % c AS r FROM it)
+ SELECT object_id, CASE kind WHEN 0 THEN 'MultiSurface' WHEN 1 THEN 'Solid' WHEN 2 THEN 'MultiSolid' ELSE 'GeometryInstance' END AS type, CASE kind WHEN 2 THEN '1' WHEN 3 THEN NULL ELSE '2' END AS lod,
+ CASE kind WHEN 3 THEN CAST(n AS VARCHAR) ELSE r || ',' || r END AS boundaries, CASE WHEN kind < 3 THEN '3,3' ELSE '' END AS strings, CASE WHEN kind < 3 THEN '1,1' ELSE '' END AS surfaces,
+ CASE kind WHEN 1 THEN '2' WHEN 2 THEN '1,1' ELSE '' END AS shells, CASE kind WHEN 2 THEN '1,1' ELSE '' END AS solids, CASE WHEN kind = 0 AND n % 8 = 0 THEN '0,1' WHEN kind = 0 THEN '0,-' WHEN kind = 1 THEN '1,0' ELSE '' END AS ordinals,
+ CASE kind WHEN 3 THEN CAST(n % 2 AS INT) END AS template FROM t""")
+def typed_geometries(spark, sf_dir):
+    """The stored model's geometries of four types in typed columns."""
+    text = lambda c: F.coalesce(F.array_join(F.col(c).cast("array<string>"), ",", "-"), F.lit("")).alias(c)
+    return stored(spark, sf_dir).geometries().select("object_id", "type", "lod", *map(text, ("boundaries", "strings", "surfaces", "shells", "solids", "ordinals")), "template")
+
+
+@query(f"""WITH {ITEMS}, t AS (SELECT k || '-' || n AS object_id, n % 4 AS kind, n, '[' || n || ',' || (n + 1) % c || ',' || (n + 2) % c || ']' AS r FROM it)
+ SELECT object_id, CASE kind WHEN 0 THEN '[[' || r || '],[' || r || ']]' WHEN 1 THEN '[[[' || r || '],[' || r || ']]]' WHEN 2 THEN '[[[[' || r || ']]],[[[' || r || ']]]]' ELSE '[' || n || ']' END AS boundaries,
+ CASE WHEN kind = 0 AND n % 8 = 0 THEN '[0,1]' WHEN kind = 0 THEN '[0,null]' WHEN kind = 1 THEN '[[1,0]]' END AS semantics, CASE kind WHEN 0 THEN '{{"values":[0,null]}}' WHEN 1 THEN '{{"value":1}}' END AS material,
+ CASE kind WHEN 0 THEN '[[[0,0,1,2]],[[null]]]' END AS texture FROM t""")
+def nested_geometries(spark, sf_dir):
+    """The stored typed geometries in their nested form again."""
+    rows = shapes.nested_form(stored(spark, sf_dir).geometries())
+    get = lambda path, name: F.to_json(F.try_variant_get("g", path, "variant")).alias(name)
+    return rows.select("object_id", get("$.boundaries", "boundaries"), get("$.semantics.values", "semantics"), get("$.material.day", "material"), get("$.texture.day.values", "texture"))
+
+
+@query(f"WITH {ITEMS} SELECT u.name, u.name AS column_name, u.indexed, count(*) AS n FROM it, (VALUES ('flag', FALSE), ('n', FALSE), ('q', TRUE), ('ship', FALSE)) AS u(name, indexed) GROUP BY ALL")
+def attribute_catalogue(spark, sf_dir):
+    return stored(spark, sf_dir).columns().select("name", F.col("column").alias("column_name"), "indexed", "n")
+
+
+@query(f"""WITH {ITEMS}, {BOX}, p AS (SELECT s_suppkey, s_suppkey * CAST('2e-2' AS DOUBLE) + 85000.0 AS x, s_suppkey * CAST('1e-3' AS DOUBLE) + 446000.0 AS y FROM supplier),
+ r AS (SELECT s_suppkey, k, row_number() OVER (PARTITION BY s_suppkey ORDER BY ((xmin + xmax) / 2 - x) * ((xmin + xmax) / 2 - x) + ((ymin + ymax) / 2 - y) * ((ymin + ymax) / 2 - y), k) AS n FROM box, p)
+ SELECT s_suppkey, CAST(k AS VARCHAR) AS feature_id FROM r WHERE n = 1""")
+def nearest_to_suppliers(spark, sf_dir):
+    """The nearest feature of each supplier's place."""
+    k = F.col("s_suppkey")
+    points = read(spark, sf_dir, "supplier").select(k.alias("point_id"), (k * 0.02 + TRANSLATE[0]).alias("x"), (k * 0.001 + TRANSLATE[1]).alias("y"))
+    return spatial.nearest_many(stored(spark, sf_dir).features, points, "feature_seq").select(F.col("point_id").alias("s_suppkey"), "feature_id")

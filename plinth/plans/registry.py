@@ -7,11 +7,11 @@ items, a vertex (part key, supplier key, quantity) and the transform a scale of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.functions import boxes, geometry, values
-from plinth.operators import attributes, merge, spatial, statistics
+from plinth.operators import attributes, merge, spatial, statistics, trees
 from plinth.plans import city  # noqa: F401
 from plinth.plans.queries import ORACLES, QUERIES, query, read  # noqa: F401
 from plinth.sources import sequences
@@ -416,3 +416,42 @@ def boundary_depths(spark, sf_dir):
         found = flat_.select("l_orderkey", "l_linenumber", F.lit(d).alias("depth"), F.to_json(geometry.rebuild(F.col("f"), d)).alias("nested"), F.size("f.boundaries").cast("long").alias("n"))
         out = found if out is None else out.unionByName(found)
     return out
+
+
+@query(" UNION ALL ".join(f"SELECT event_type, CAST({q} AS DOUBLE) AS q, quantile_cont(value, {q}) AS v FROM events GROUP BY event_type" for q in (0.5, 0.9)))
+def exact_quantiles(spark, sf_dir):
+    found = statistics.quantiles(read(spark, sf_dir, "events"), "event_type", "value", (0.5, 0.9))
+    return found.select("event_type", "q", F.col("value").alias("v"))
+
+
+_HEAP = """it AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS n FROM lineitem),
+ up AS (SELECT k, n, n AS above, 0 AS depth FROM it UNION ALL SELECT k, n, (above - 1) // 2, depth + 1 FROM up WHERE above > 0)"""
+
+
+def _heaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's items as objects in a tree: item n's children are 2n + 1 and 2n + 2, of which some aren't there."""
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    rows = read(spark, sf_dir, "lineitem").select(F.lit("orders").alias("file"), F.col("l_orderkey").alias("feature_seq"), n.alias("n"))
+    return rows.select("file", "feature_seq", F.col("n").cast("string").alias("object_id"), F.array((2 * F.col("n") + 1).cast("string"), (2 * F.col("n") + 2).cast("string")).alias("children"))
+
+
+@query(f"WITH RECURSIVE {_HEAP} SELECT k, CAST(n AS VARCHAR) AS object_id, max(depth) AS depth, '0' AS root, (SELECT count(*) FROM up AS b WHERE b.k = up.k AND b.above = up.n AND b.depth > 0) AS below FROM up GROUP BY k, n")
+def object_trees(spark, sf_dir):
+    """The place of each object in its tree."""
+    found = trees.placed(_heaps(spark, sf_dir))
+    return found.select(F.col("feature_seq").alias("k"), "object_id", "depth", F.col("root_id").alias("root"), "below")
+
+
+@query("SELECT l_orderkey AS k, count(*) + 1 AS missing FROM lineitem GROUP BY l_orderkey")
+def missing_children(spark, sf_dir):
+    """Links to objects that aren't there, by order."""
+    return trees.missing(_heaps(spark, sf_dir)).groupBy(F.col("feature_seq").alias("k")).agg(F.count("*").alias("missing"))
+
+
+@query(f"""WITH f AS ({FEATURES_SQL}), c AS (SELECT s_suppkey, s_suppkey * 20 AS x0, s_suppkey AS y0 FROM supplier)
+ SELECT s_suppkey, count(*) AS n, CAST(sum(key) AS BIGINT) AS keys FROM f JOIN c ON xmax >= x0 AND xmin <= x0 + 15 AND ymax >= y0 AND ymin <= y0 + 5 GROUP BY s_suppkey""")
+def box_join_totals(spark, sf_dir):
+    """The box join without a cell size: features that each supplier's box meets."""
+    k = F.col("s_suppkey")
+    other = read(spark, sf_dir, "supplier").select("s_suppkey", (k * 20).alias("xmin"), k.alias("ymin"), (k * 20 + 15).alias("xmax"), (k + 5).alias("ymax"))
+    return spatial.join_boxes(flat(features(spark, sf_dir)), other).groupBy(F.col("r_s_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"), F.sum("key").alias("keys"))

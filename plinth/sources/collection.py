@@ -54,7 +54,7 @@ def report(spark: SparkSession, root: str, prefixes: tuple[str, ...] = ()) -> Da
         read = spark.read.parquet(*(f"{r['path']}/features" for r in kept))
         placed = read.select(F.regexp_extract(_plain(F.col("_metadata.file_path")), PART, 1).alias("path"), F.size("objects").alias("o"), F.size("vertices").alias("v"))
         stored = placed.groupBy("path").agg(F.count("*").alias("features"), F.sum(F.greatest("o", F.lit(0))).alias("objects"), F.sum(F.greatest("v", F.lit(0))).alias("vertices"))
-        lines = spark.read.text([r["sequence"] for r in kept]).where(F.get_json_object("value", "$.type") == kinds.FEATURE)
+        lines = spark.read.text([r["sequence"] for r in kept]).where(F.get_json_object("value", "$.type").endswith(kinds.FEATURE_ENDING))
         texts = lines.groupBy(_plain(F.col("_metadata.file_path")).alias("sequence")).agg(F.avg(F.octet_length("value")).alias("mean_line_bytes"))
     else:
         stored, texts = (spark.createDataFrame([], c) for c in counts)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +38,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     where = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _until_exit(spark, where)
     return where
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The rows of ``df``, written to a scratch folder and read from there."""
+    where = scratch(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)

@@ -3,13 +3,17 @@
 A sequence has its header in the first line and a feature in each further line.
 Lines are read in parallel; a feature keeps its file and its line's number there,
 however the file was split.
+
+Nothing is lost without a word.  A line is bad if it is neither a header nor a
+feature, or if it lacks what it needs; ``bad_lines`` names each with a reason.
+Reading fails at a bad line, unless it is told to drop them (``mode``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plinth.errors import BadInput
@@ -18,7 +22,7 @@ from plinth.functions import values
 from plinth.operators import statistics
 
 HEADER = "type string, version string, transform struct<scale: array<double>, translate: array<double>>, metadata variant, extensions variant, appearance variant, `geometry-templates` variant"
-FEATURE = "id string, vertices array<array<int>>, appearance variant, CityObjects map<string, variant>"
+FEATURE = "type string, id string, vertices array<array<double>>, appearance variant, CityObjects map<string, variant>"
 LINES = "file string, line_no long, value string"
 #: Files, and with them header rows, up to which headers are sent to all tasks.
 MOST_FILES = 100_000
@@ -30,6 +34,7 @@ def read_lines(spark: SparkSession, path: str, joined: bool = False) -> DataFram
     With ``joined``, the files of a folder are one file, in the order of their
     names.  Lines are counted by the blocks that files are read in, of which there
     is a row each; a line's place in its block and the blocks before give its number.
+    The blocks' rows are sent to all tasks unless there could be over ``MOST_FILES``.
     """
     part, block = F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("block")
     raw = spark.read.text(path).select(part, block, F.monotonically_increasing_id().alias("id"), "value")
@@ -37,7 +42,8 @@ def read_lines(spark: SparkSession, path: str, joined: bool = False) -> DataFram
     blocks = raw.groupBy("part", "block").agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("file", file)
     before = F.sum("n").over(Window.partitionBy("file").orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1))
     placed = blocks.select("part", "block", "file", "first", F.coalesce(before, F.lit(0)).alias("before"))
-    lines = raw.join(F.broadcast(placed), ["part", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line_no"), "value")
+    few = len(raw.inputFiles()) + raw.rdd.getNumPartitions() <= MOST_FILES
+    lines = raw.join(F.broadcast(placed) if few else placed, ["part", "block"]).select("file", (F.col("before") + F.col("id") - F.col("first")).alias("line_no"), "value")
     return lines.where(F.trim("value") != "")
 
 
@@ -47,53 +53,139 @@ def from_lines(spark: SparkSession, lines: Iterable[str], name: str = "-") -> Da
     return spark.createDataFrame(rows, LINES)
 
 
-def parse_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The header row and the features of each file; a line that isn't JSON fails."""
-    typed = lines.withColumn("type", F.try_variant_get(F.parse_json("value"), "$.type", "string"))
-    header = typed.where(F.col("type") == kinds.DOCUMENT).select("file", F.from_json("value", HEADER).alias("h")).select("file", "h.*")
-    return header, parse_features(typed.where(F.col("type") == kinds.FEATURE))
+MODES = ("fail", "drop")
+
+
+def judged(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``kind`` (header, feature or null) and ``reason``: why a line is bad, or null.
+
+    A feature is an object whose type ends as features' types do; a header is any
+    other object with a transform.
+    """
+    v = F.try_parse_json("value")
+    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    kind = F.when(is_object & F.coalesce(get("$.type", "string").endswith(kinds.FEATURE_ENDING), F.lit(False)), "feature").when(is_object & get("$.transform", "variant").isNotNull(), "header")
+    three = lambda path: F.coalesce(F.size(F.filter(get(path, "array<double>"), lambda x: x.isNotNull())) == 3, F.lit(False))
+    head = F.when(~three("$.transform.scale") | ~three("$.transform.translate"), "a header whose transform isn't three scales and three translations")
+    f = F.from_json("value", FEATURE)
+    said = F.concat_ws(" ", F.lit("a line of another type:"), get("$.type", "string"))
+    reason = F.when(v.isNull(), "not JSON, or a key comes twice").when(~is_object, "not an object").when(kind.isNull(), said).when(kind == "header", head).otherwise(_feature_reason(f, True))
+    return lines.withColumns({"kind": kind, "reason": reason})
+
+
+def _feature_reason(f: Column, with_id: bool) -> Column:
+    """What a parsed feature or document lacks, or null."""
+    some = lambda test: F.exists(f["vertices"], lambda v: F.exists(v, test))
+    whole = F.forall(f["vertices"], lambda v: (F.size(v) == 3) & F.forall(v, lambda x: x.isNotNull()))
+    reason = F.when(~F.coalesce(whole, F.lit(False)), "without vertices, or with one that isn't three numbers")
+    reason = reason.when(some(lambda x: x != F.floor(x)), "a vertex that isn't whole").when(some(lambda x: (x < -(2**31)) | (x > 2**31 - 1)), "a vertex that doesn't fit 32 bits")
+    reason = reason.when(f["CityObjects"].isNull(), "without objects")
+    return reason.when(f["id"].isNull(), "a feature without an id") if with_id else reason
+
+
+def _refuse(reason: Column, wanted: Column | bool = True, at: str = "line_no") -> Column:
+    """Whether a row is wanted; an error for one with a reason, wanted or not."""
+    said = F.concat(F.col("file"), F.lit(", line "), F.col(at).cast("string"), F.lit(": "), reason)
+    return F.when(reason.isNull(), wanted).otherwise(F.raise_error(said).cast("boolean"))
+
+
+def bad_lines(lines: DataFrame) -> DataFrame:
+    """file, line_no, reason and value of each line that can't be read: the quarantine of a sequence.
+
+    A header after a file's first is bad too, and so is a feature of a file without a
+    header.
+    """
+    known = judged(lines)
+    own = known.where(F.col("reason").isNotNull())
+    good = known.where(F.col("reason").isNull())
+    heads = good.where(F.col("kind") == "header")
+    place = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
+    second = heads.withColumn("place", place).where("place > 1").withColumn("reason", F.lit("a second header"))
+    alone = good.where(F.col("kind") == "feature").join(heads.select("file").distinct(), "file", "left_anti").withColumn("reason", F.lit("a feature of a file without a header"))
+    columns = ["file", "line_no", "reason", "value"]
+    return own.select(columns).unionByName(second.select(columns)).unionByName(alone.select(columns))
+
+
+def parse_lines(lines: DataFrame, mode: str = "fail") -> tuple[DataFrame, DataFrame]:
+    """The header row and the features of each file.
+
+    With mode ``fail`` a bad line is an error that names file, line and reason; with
+    ``drop`` bad lines are left out, of several headers the first is kept, and features
+    of a file without one are left out.  ``bad_lines`` gives what ``drop`` leaves out.
+    """
+    if mode not in MODES:
+        raise BadInput(f"unknown mode: {mode}")
+    known = judged(lines)
+
+    def of(kind: str) -> DataFrame:
+        # One condition, as of two Spark could try the one that makes no error first.
+        wanted = F.col("kind") == kind
+        return known.where(_refuse(F.col("reason"), wanted) if mode == "fail" else F.col("reason").isNull() & wanted)
+
+    place = F.row_number().over(Window.partitionBy("file").orderBy("line_no"))
+    heads = of("header").withColumn("place", place)
+    first = heads.where(_refuse(F.when(F.col("place") > 1, "a second header")) if mode == "fail" else F.col("place") == 1)
+    header = first.select("file", F.from_json("value", HEADER).alias("h")).select("file", "h.*")
+    features = parse_features(of("feature"), None)
+    return header, features if mode == "fail" else features.join(headers(header), "file", "left_semi")
 
 
-def read_sequence(spark: SparkSession, path: str, joined: bool = False) -> tuple[DataFrame, DataFrame]:
-    return parse_lines(read_lines(spark, path, joined))
+def read_sequence(spark: SparkSession, path: str, joined: bool = False, mode: str = "fail") -> tuple[DataFrame, DataFrame]:
+    return parse_lines(read_lines(spark, path, joined), mode)
 
 
 def parse_documents(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The header row of whole documents (file, value) and one feature for each, with all their objects."""
+    """The header row of whole documents (file, value) and one feature for each, with all their objects; a bad document is an error."""
     header = texts.select("file", F.from_json("value", HEADER).alias("h")).select("file", "h.*")
-    return header, parse_features(texts.select("file", F.lit(0).cast("long").alias("line_no"), "value"))
+    return header, parse_features(texts.select("file", F.lit(0).cast("long").alias("line_no"), "value"), False)
 
 
 def read_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return parse_documents(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value")))
 
 
-def read_models(spark: SparkSession, path: str, kind: str = "sequence") -> tuple[DataFrame, DataFrame]:
+def read_models(spark: SparkSession, path: str, kind: str = "sequence", mode: str = "fail") -> tuple[DataFrame, DataFrame]:
     if kind == "sequence":
-        return read_sequence(spark, path)
+        return read_sequence(spark, path, mode=mode)
     if kind == "folder":
-        return read_sequence(spark, path, joined=True)
+        return read_sequence(spark, path, joined=True, mode=mode)
     if kind == "document":
         return read_document(spark, path)
     raise BadInput(f"unknown kind: {kind}")
 
 
-def parse_features(lines: DataFrame) -> DataFrame:
-    parsed = lines.select("file", F.col("line_no").alias("feature_seq"), F.from_json("value", FEATURE).alias("f"))
-    vertex = F.transform("f.vertices", lambda v: F.struct(v[0].alias("x"), v[1].alias("y"), v[2].alias("z")))
-    axis = lambda i: F.transform("f.vertices", lambda v: v[i])
+def parse_features(lines: DataFrame, with_id: bool | None = True) -> DataFrame:
+    """A row for each line (file, line_no, value), which must be a feature, or with ``with_id`` False a document.
+
+    What it lacks is an error; with None, the lines have been judged already.
+    """
+    f = F.from_json("value", FEATURE)
+    rows = lines if with_id is None else lines.where(_refuse(_feature_reason(f, with_id)))
+    parsed = rows.select("file", F.col("line_no").alias("feature_seq"), f.alias("f"))
+    parsed = parsed.withColumn("v", F.col("f.vertices").cast("array<array<int>>"))
+    vertex = F.transform("v", lambda v: F.struct(v[0].alias("x"), v[1].alias("y"), v[2].alias("z")))
+    axis = lambda i: F.transform("v", lambda v: v[i])
     boxes = [f(axis(i)).alias(f"{n}{a}") for n, f in (("qmin_", F.array_min), ("qmax_", F.array_max)) for i, a in enumerate("xyz")]
-    return parsed.select("file", "feature_seq", F.col("f.id").alias("feature_id"), vertex.alias("vertices"), F.col("f.appearance").alias("appearance"), F.col("f.CityObjects").alias("objects"), *boxes)
+    return parsed.select("file", "feature_seq", F.col("f.id").alias("feature_id"), vertex.alias("vertices"), F.col("f.appearance").alias("appearance"), F.col("f.CityObjects").alias("objects"), *boxes, F.col("f.type").alias("type"))
 
 
 def headers(header: DataFrame, *columns: str) -> DataFrame:
-    """Columns of the headers, to be joined by file: sent to all tasks unless there are too many files."""
-    chosen = header.select("file", *columns)
-    return F.broadcast(chosen) if len(header.inputFiles()) <= MOST_FILES else chosen
+    """Columns of the headers, to be joined by file: sent to all tasks unless there are too many files.
+
+    A sequence has a header a file; a stored table's rows are counted by its footers.
+    """
+    chosen, files = header.select("file", *columns), header.inputFiles()
+    rows = header.count() if files and all(f.endswith(".parquet") for f in files) else len(files)
+    return F.broadcast(chosen) if rows <= MOST_FILES else chosen
 
 
 def with_transform(features: DataFrame, header: DataFrame) -> DataFrame:
-    return features.join(headers(header, "transform"), "file")
+    """Adds ``transform``; a feature of a file without a header is an error."""
+    joined = features.join(headers(header, F.struct("transform").alias("_head")), "file", "left")
+    missing = F.raise_error(F.concat(F.lit("no header for "), F.col("file")))
+    found = F.when(F.col("_head").isNotNull(), F.col("_head.transform")).otherwise(missing.cast(header.schema["transform"].dataType))
+    return joined.withColumn("transform", found).drop("_head")
 
 
 def with_box(features: DataFrame, header: DataFrame) -> DataFrame:
@@ -143,28 +235,55 @@ def infer_schema(objects: DataFrame, merge: bool = True) -> DataFrame:
 _READ_AS = {"Bool": "boolean", "ULong": "bigint", "Long": "bigint", "Double": "double", "DateTime": "string", "String": "string", "Json": "variant"}
 
 
+def column_names(names: list[str], taken: list[str]) -> dict[str, str]:
+    """A column for each attribute: of its own name, or with a number behind it where that name is taken, whatever its case."""
+    used, own = {t.lower() for t in taken}, {n.lower() for n in names}
+    found = {}
+    for name in sorted(names):
+        column, k = name, 1
+        while column.lower() in used or (k > 1 and column.lower() in own):
+            k += 1
+            column = f"{name}_{k}"
+        used.add(column.lower())
+        found[name] = column
+    return found
+
+
 def project(objects: DataFrame, schema: DataFrame | None = None) -> DataFrame:
-    """Objects with a typed column for each attribute; the schema has a row for each attribute name."""
+    """Objects with a typed column for each attribute; the schema has a row for each attribute name.
+
+    A column has its attribute's name unless that is taken, by a column of the objects
+    or by an attribute that differs in case; see ``column_names``.
+    """
     found = (infer_schema(objects) if schema is None else schema).collect()
-    columns = []
-    for r in found:
-        path = "$['" + r["name"].replace("\\", "\\\\").replace("'", "\\'") + "']"
-        column = F.try_variant_get("attributes", path, _READ_AS.get(r["type"], "string"))
-        columns.append((values.to_instant(column) if r["type"] == "DateTime" else column).alias(r["name"]))
+    return projected(objects, [(r["name"], r["type"]) for r in found])
+
+
+def projected(objects: DataFrame, found: list[tuple[str, str]]) -> DataFrame:
+    """``project`` for attributes (name, type) that are known."""
+    names, columns = column_names([n for n, _ in found], objects.columns), []
+    for name, kind in found:
+        as_ = _READ_AS.get(kind, "string")
+        if "'" in name or "\\" in name:
+            # A path can't spell these.
+            column = F.try_variant_get(F.try_element_at(F.try_variant_get("attributes", "$", "map<string,variant>"), F.lit(name)), "$", as_)
+        else:
+            column = F.try_variant_get("attributes", f"$['{name}']", as_)
+        columns.append((values.to_instant(column) if kind == "DateTime" else column).alias(names[name]))
     return objects.select(*objects.columns, *columns)
 
 
 def header_json(header: DataFrame) -> DataFrame:
     """file and value: each header as the first line of a sequence, with all that it holds."""
     empty = F.create_map().cast("map<string,string>").alias("CityObjects"), F.array().cast("array<int>").alias("vertices")
-    whole = F.struct(F.lit(kinds.DOCUMENT).alias("type"), "version", "transform", "metadata", "extensions", "appearance", "geometry-templates", *empty)
+    whole = F.struct("type", "version", "transform", "metadata", "extensions", "appearance", "geometry-templates", *empty)
     return header.select("file", F.to_json(whole).alias("value"))
 
 
 def feature_json(features: DataFrame) -> DataFrame:
     """file, feature_seq and value: each feature as a line of a sequence."""
     vertices = F.transform("vertices", lambda v: F.array(v["x"], v["y"], v["z"]))
-    whole = F.struct(F.lit(kinds.FEATURE).alias("type"), F.col("feature_id").alias("id"), F.col("objects").alias("CityObjects"), vertices.alias("vertices"), "appearance")
+    whole = F.struct("type", F.col("feature_id").alias("id"), F.col("objects").alias("CityObjects"), vertices.alias("vertices"), "appearance")
     return features.select("file", "feature_seq", F.to_json(whole).alias("value"))
 
 

@@ -16,13 +16,13 @@ def stream_features(spark: SparkSession, path: str, max_files: int = 100, suffix
     """
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", max_files).option("pathGlobFilter", suffix).load(path)
     rows = lines.where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), F.xxhash64("value").alias("line_no"), "value")
-    return sequences.parse_features(rows.where(F.try_variant_get(F.parse_json("value"), "$.type", "string") == kinds.FEATURE))
+    return sequences.parse_features(rows.where(F.try_variant_get(F.parse_json("value"), "$.type", "string").endswith(kinds.FEATURE_ENDING)))
 
 
 def stream_headers(spark: SparkSession, path: str, suffix: str = "*.jsonl") -> DataFrame:
     """The headers in the folder now, to be joined as a static side."""
     lines = spark.read.option("pathGlobFilter", suffix).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    head = lines.where(F.get_json_object("value", "$.type") == kinds.DOCUMENT)
+    head = sequences.judged(lines).where("kind = 'header'")
     return head.select("file", F.from_json("value", sequences.HEADER).alias("h")).select("file", "h.*")
 
 
