@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plinth.functions import geometry
+
 #: Attribute types and the Spark types that hold them.
 SPARK_TYPES = {
     "Byte": "tinyint", "UByte": "smallint", "Bool": "boolean", "Short": "smallint", "UShort": "int", "Int": "int", "UInt": "bigint",
@@ -136,6 +138,16 @@ def prefix_key(text: Column, n: int = 50) -> Column:
     return F.substring(text.cast("binary"), 1, n)
 
 
+def lossy_text(data: Column) -> Column:
+    """The text of bytes up to the first zero byte; what isn't UTF-8 becomes the replacement character."""
+    return F.make_valid_utf8(F.split_part(data.cast("string"), F.lit("\0"), F.lit(1)))
+
+
+def geometry_type(name: Column) -> Column:
+    """Known types of geometries as they are, others as Solid."""
+    return F.when(name.isin(*geometry.DEPTH, "GeometryInstance"), name).otherwise("Solid")
+
+
 def safe_ratio(a: Column, b: Column) -> Column:
     """a / b, or 0 where b isn't positive."""
     return F.when(b > 0, a / b).otherwise(0.0)

@@ -36,14 +36,22 @@ class Condition:
         if self.op not in OPERATORS:
             raise UnknownOperator(self.op)
 
-    def row(self) -> Column:
+    def sides(self, key_bytes: int | None = None) -> tuple[Column, Column]:
+        """The column and the value; with ``key_bytes``, of texts only so many bytes, filled up with zero bytes."""
+        v, k = values.column(self.field), F.lit(self.value)
+        if key_bytes is None or not isinstance(self.value, str):
+            return v, k
+        fill = F.lit(b"\0")
+        return tuple(F.rpad(values.prefix_key(c, key_bytes), F.lit(key_bytes), fill) for c in (v, k))
+
+    def row(self, key_bytes: int | None = None) -> Column:
         """Whether the object's own value meets the condition; never for null, nor for NaN in a range."""
-        met = OPERATORS[self.op](values.column(self.field), F.lit(self.value))
+        met = OPERATORS[self.op](*self.sides(key_bytes))
         return met & in_range(values.column(self.field), self.value) if self.op in ("<", "<=", ">", ">=") else met
 
-    def feature(self) -> Column:
+    def feature(self, key_bytes: int | None = None) -> Column:
         """Whether a feature's objects meet the condition, as an aggregate; NaN is in no range."""
-        v, k = values.column(self.field), F.lit(self.value)
+        v, k = self.sides(key_bytes)
         if self.op not in ("=", "!="):
             v = F.when(in_range(v, self.value), v)
         equal = F.coalesce(F.bool_or(v == k), F.lit(False))
@@ -58,10 +66,10 @@ class Condition:
         found = F.coalesce(found, F.lit(False))
         return found if self.op in (">=", "<=") else found & ~equal
 
-    def implied(self) -> Column | None:
+    def implied(self, key_bytes: int | None = None) -> Column | None:
         """Objects that can matter; all of them for ``!=``."""
         widened = {"=": "=", ">": ">=", ">=": ">=", "<": "<=", "<=": "<="}.get(self.op)
-        return None if widened is None else OPERATORS[widened](values.column(self.field), F.lit(self.value))
+        return None if widened is None else OPERATORS[widened](*self.sides(key_bytes))
 
 
 def in_range(v: Column, bound: Any) -> Column:
@@ -97,8 +105,8 @@ class AttrQuery:
         return [[c.field, c.op, c.value] for c in self.conditions]
 
 
-def select_ids(objects: DataFrame, query: AttrQuery | list, key: str, semantics: str = "feature") -> DataFrame:
-    """The keys of the features that a query selects, each once.
+def select_ids(objects: DataFrame, query: AttrQuery | list, key: str, semantics: str = "feature", key_bytes: int | None = None) -> DataFrame:
+    """The keys of the features that a query selects, each once; ``key_bytes`` compares only so many bytes of texts.
 
     Objects that no condition can be decided by are filtered before the
     aggregation, so that the scan skips them; it combines partial aggregates
@@ -110,18 +118,18 @@ def select_ids(objects: DataFrame, query: AttrQuery | list, key: str, semantics:
             raise UnknownColumn(c.field)
         check_type(objects.schema[c.field], c.value)
     if semantics == "object":
-        met = query.conditions[0].row()
+        met = query.conditions[0].row(key_bytes)
         for c in query.conditions[1:]:
-            met = met & c.row()
+            met = met & c.row(key_bytes)
         return objects.where(met).select(key).distinct()
-    needed = [c.implied() for c in query.conditions]
+    needed = [c.implied(key_bytes) for c in query.conditions]
     rows = objects
     if all(n is not None for n in needed):
         some = needed[0]
         for n in needed[1:]:
             some = some | n
         rows = objects.where(some)
-    flags = [c.feature().alias(f"met{i}") for i, c in enumerate(query.conditions)]
+    flags = [c.feature(key_bytes).alias(f"met{i}") for i, c in enumerate(query.conditions)]
     met = F.col("met0")
     for i in range(1, len(flags)):
         met = met & F.col(f"met{i}")

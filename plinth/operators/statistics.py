@@ -153,3 +153,11 @@ def kind_counts(rows: DataFrame, column: str, names: dict[str, str], rest: str =
 def geometry_counts(objects: DataFrame, type_col: str = "geometry_type") -> DataFrame:
     """Numbers of solids, multi-surfaces and other geometries."""
     return kind_counts(objects, type_col, {"Solid": "solids", "MultiSurface": "multi_surfaces"})
+
+
+def write_runs(rows: DataFrame, key: str, kind: str, value: str, base, path: str) -> None:
+    """Measured values as three folders of CSV: ``raw`` (the rows), ``summary`` (of each key and kind) and ``comparison`` (means, and ratios to the kind ``base``)."""
+    both = F.struct(F.col(key), F.col(kind)).alias("_both")
+    summed = summary(rows.select(both, value), "_both", value).select("_both.*", "mean", "median", "sd", "least", "most")
+    for name, table in (("raw", rows.select(key, kind, value)), ("summary", summed), ("comparison", ratios(rows, key, kind, value, base))):
+        table.repartitionByRange(key, kind).sortWithinPartitions(key, kind).write.mode("overwrite").csv(f"{path}/{name}", header=True)

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from plinth.errors import BadInput
 from plinth.functions import format as kinds
 from plinth.functions import values
-from plinth.sources import dataset
 
-PART = r"^(.*)/(?:features|objects|header)/[^/]*\.parquet$"
+PART = r"^(.*)/(?:features|objects|geometries|header|attributes|by/[^/]+|statistics/[^/]+)/[^/]*\.parquet$"
 SEQUENCE = r"^(.*?)(\.city)?\.jsonl$"
 
 
@@ -43,21 +42,23 @@ def report(spark: SparkSession, root: str, prefixes: tuple[str, ...] = ()) -> Da
     """A row for each pair: counts, sizes and ratios.
 
     The list of pairs comes to the driver, a row for each dataset; features and
-    lines are counted where they are.  No pairs give no rows.
+    lines are counted where they are, attributes in the datasets' own tables of
+    them, all in one read.  No pairs give no rows.
     """
     kept = pairs(spark, root, prefixes).collect()
-    schema = "city string, path string, stored_bytes long, sequence string, sequence_bytes long, columns int"
-    rows = [(*r, len(dataset.Dataset.open(spark, r["path"]).schema())) for r in kept]
-    listed = F.broadcast(spark.createDataFrame(rows, schema))
+    listed = F.broadcast(spark.createDataFrame(kept, "city string, path string, stored_bytes long, sequence string, sequence_bytes long"))
     counts = ("features long, objects long, vertices long, path string", "mean_line_bytes double, sequence string")
+    own = F.regexp_extract(_plain(F.col("_metadata.file_path")), PART, 1).alias("path")
     if kept:
-        read = spark.read.parquet(*(f"{r['path']}/features" for r in kept))
-        placed = read.select(F.regexp_extract(_plain(F.col("_metadata.file_path")), PART, 1).alias("path"), F.size("objects").alias("o"), F.size("vertices").alias("v"))
+        named = spark.read.parquet(*(f"{r['path']}/attributes" for r in kept)).select(own, "name").groupBy("path").agg(F.count("name").cast("int").alias("columns"))
+        listed = listed.join(named, "path", "left").withColumn("columns", F.coalesce("columns", F.lit(0)))
+        placed = spark.read.parquet(*(f"{r['path']}/features" for r in kept)).select(own, F.size("objects").alias("o"), F.size("vertices").alias("v"))
         stored = placed.groupBy("path").agg(F.count("*").alias("features"), F.sum(F.greatest("o", F.lit(0))).alias("objects"), F.sum(F.greatest("v", F.lit(0))).alias("vertices"))
         lines = spark.read.text([r["sequence"] for r in kept]).where(F.get_json_object("value", "$.type").endswith(kinds.FEATURE_ENDING))
         texts = lines.groupBy(_plain(F.col("_metadata.file_path")).alias("sequence")).agg(F.avg(F.octet_length("value")).alias("mean_line_bytes"))
     else:
         stored, texts = (spark.createDataFrame([], c) for c in counts)
+        listed = listed.withColumn("columns", F.lit(0))
     joined = listed.join(stored, "path", "left").join(texts, "sequence", "left")
     numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("features", "objects", "vertices")]
     n = lambda c: F.coalesce(c, F.lit(0))

@@ -188,9 +188,13 @@ def with_transform(features: DataFrame, header: DataFrame) -> DataFrame:
     return joined.withColumn("transform", found).drop("_head")
 
 
-def with_box(features: DataFrame, header: DataFrame) -> DataFrame:
-    """Adds the real-world box xmin to zmax, by the transform of the feature's file."""
-    at = [(F.col(f"q{m}_{a}") * F.col("transform.scale")[i] + F.col("transform.translate")[i]).alias(f"{a}{m}") for m in ("min", "max") for i, a in enumerate("xyz")]
+def with_box(features: DataFrame, header: DataFrame, empty_at_origin: bool = False) -> DataFrame:
+    """Adds the real-world box xmin to zmax, by the transform of the feature's file.
+
+    A feature without vertices has none, or with ``empty_at_origin`` the place of a vertex of three zeros.
+    """
+    corner = lambda c: F.coalesce(c, F.lit(0)) if empty_at_origin else F.col(c)
+    at = [(corner(f"q{m}_{a}") * F.col("transform.scale")[i] + F.col("transform.translate")[i]).alias(f"{a}{m}") for m in ("min", "max") for i, a in enumerate("xyz")]
     return with_transform(features, header).select(*features.columns, *at)
 
 
@@ -249,18 +253,26 @@ def column_names(names: list[str], taken: list[str]) -> dict[str, str]:
     return found
 
 
-def project(objects: DataFrame, schema: DataFrame | None = None) -> DataFrame:
+#: What a null that is written out stands for, with ``null_as_default``.
+_DEFAULTS = {"boolean": False, "bigint": 0, "double": 0.0, "string": ""}
+
+
+def project(objects: DataFrame, schema: DataFrame | None = None, null_as_default: bool = False) -> DataFrame:
     """Objects with a typed column for each attribute; the schema has a row for each attribute name.
 
     A column has its attribute's name unless that is taken, by a column of the objects
     or by an attribute that differs in case; see ``column_names``.
     """
     found = (infer_schema(objects) if schema is None else schema).collect()
-    return projected(objects, [(r["name"], r["type"]) for r in found])
+    return projected(objects, [(r["name"], r["type"]) for r in found], null_as_default)
 
 
-def projected(objects: DataFrame, found: list[tuple[str, str]]) -> DataFrame:
-    """``project`` for attributes (name, type) that are known."""
+def projected(objects: DataFrame, found: list[tuple[str, str]], null_as_default: bool = False) -> DataFrame:
+    """``project`` for attributes (name, type) that are known.
+
+    With ``null_as_default``, an attribute that is there with null is 0, false, an empty
+    text or 1970; one that isn't there stays null.
+    """
     names, columns = column_names([n for n, _ in found], objects.columns), []
     for name, kind in found:
         as_ = _READ_AS.get(kind, "string")
@@ -269,7 +281,12 @@ def projected(objects: DataFrame, found: list[tuple[str, str]]) -> DataFrame:
             column = F.try_variant_get(F.try_element_at(F.try_variant_get("attributes", "$", "map<string,variant>"), F.lit(name)), "$", as_)
         else:
             column = F.try_variant_get("attributes", f"$['{name}']", as_)
-        columns.append((values.to_instant(column) if kind == "DateTime" else column).alias(names[name]))
+        column = values.to_instant(column) if kind == "DateTime" else column
+        if null_as_default and as_ in _DEFAULTS:
+            default = F.lit(0).cast("timestamp") if kind == "DateTime" else F.lit(_DEFAULTS[as_])
+            there = F.try_element_at(F.try_variant_get("attributes", "$", "map<string,variant>"), F.lit(name))
+            column = F.when(F.coalesce(F.is_variant_null(there), F.lit(False)), default).otherwise(column)
+        columns.append(column.alias(names[name]))
     return objects.select(*objects.columns, *columns)
 
 
@@ -287,6 +304,11 @@ def feature_json(features: DataFrame) -> DataFrame:
     return features.select("file", "feature_seq", F.to_json(whole).alias("value"))
 
 
+def feature_bytes(features: DataFrame) -> DataFrame:
+    """file, feature_seq and n_bytes: how long each feature's line is."""
+    return feature_json(features).select("file", "feature_seq", F.octet_length("value").cast("long").alias("n_bytes"))
+
+
 def sequence_lines(features: DataFrame, header: DataFrame) -> DataFrame:
     """seq and value: the header (-1), then the features in the order of their numbers."""
     head = header_json(header).select(F.lit(-1).cast("long").alias("seq"), "value")

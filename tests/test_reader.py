@@ -10,7 +10,8 @@ from plinth import __main__ as cli
 from plinth.errors import BadInput, UnknownColumn
 from plinth.functions import format as kinds
 from plinth.functions import nested
-from plinth.operators import attributes, shapes, spatial
+from plinth.functions import values as column_values
+from plinth.operators import attributes, shapes, spatial, statistics
 from plinth.sources import catalogue, dataset, sequences
 
 HEAD = {"type": kinds.DOCUMENT, "version": "2.0", "transform": {"scale": [1.0, 1.0, 1.0], "translate": [0.0, 0.0, 0.0]}, "CityObjects": {}, "vertices": []}
@@ -237,3 +238,35 @@ def test_several_files_are_not_one_text(spark, tmp_path):
     file = next(r["file"] for r in header.collect() if r["file"].endswith("b.jsonl"))
     data.of_file(file).export(str(tmp_path / "out"))
     assert [r["feature_id"] for r in sequences.read_sequence(spark, str(tmp_path / "out"), joined=True)[1].collect()] == ["b"]
+
+
+def test_options_of_the_stored_form(spark, tmp_path):
+    """Texts by their first bytes, nulls as defaults, boxes of features without vertices, a line's length, texts with odd bytes."""
+    rows = spark.createDataFrame([(1, "a" * 49 + "xy"), (2, "a" * 49 + "xz"), (3, "a"), (4, None)], "k int, v string")
+    long = ("v", "=", "a" * 49 + "x!")
+    assert attributes.select_ids(rows, [long], "k").count() == 0
+    for semantics in ("feature", "object"):
+        assert sorted(r["k"] for r in attributes.select_ids(rows, [long], "k", semantics, 50).collect()) == [1, 2]
+    assert sorted(r["k"] for r in attributes.select_ids(rows, [("v", "<", "a" * 49 + "x!")], "k", key_bytes=50).collect()) == [3]
+    lines = [feature("a", attributes={"n": None, "t": None, "b": None, "w": None}), feature("b", attributes={"n": 1, "t": "x", "b": True, "w": "2020-01-01T00:00:00Z"}), feature("c", [])]
+    header, features = sequences.read_sequence(spark, sequence(tmp_path / "x.jsonl", {**HEAD, "transform": {"scale": [1, 1, 1], "translate": [5, 6, 7]}}, *lines))
+    objects = sequences.city_objects(features)
+    schema = sequences.infer_schema(objects)
+    got = {r["object_id"]: (r["b"], r["n"], r["t"], r["w"] and r["w"].year) for r in sequences.project(objects, schema, True).collect()}
+    assert got == {"a": (False, 0, "", 1970), "b": (True, 1, "x", 2020), "c": (None, None, None, None)}
+    assert sequences.project(objects, schema).where("object_id = 'a' AND n IS NULL AND t IS NULL").count() == 1
+    at = {r["feature_id"]: r["xmin"] for r in sequences.with_box(features, header, empty_at_origin=True).collect()}
+    assert at == {"a": 5.0, "b": 5.0, "c": 5.0} and sequences.with_box(features, header).where("feature_id = 'c' AND xmin IS NULL").count() == 1
+    assert sequences.feature_bytes(features).where("n_bytes > 50").count() == 3
+    odd = spark.createDataFrame([(b"ab\0cd",), (b"a\xffb",), (b"",)], "d binary")
+    assert [r[0] for r in odd.select(column_values.lossy_text(F.col("d"))).collect()] == ["ab", "a\ufffdb", ""]
+    kinds_ = spark.createDataFrame([("Solid",), ("MultiPoint",), ("Cube",), ("GeometryInstance",)], "t string")
+    assert [r[0] for r in kinds_.select(column_values.geometry_type(F.col("t"))).collect()] == ["Solid", "MultiPoint", "Solid", "GeometryInstance"]
+
+
+def test_runs_as_csv(spark, tmp_path):
+    rows = spark.createDataFrame([("q", "x", 2.0), ("q", "x", 4.0), ("q", "y", 6.0)], "name string, kind string, t double")
+    statistics.write_runs(rows, "name", "kind", "t", "x", str(tmp_path / "csv"))
+    read = lambda n: sorted(tuple(r) for r in spark.read.csv(str(tmp_path / "csv" / n), header=True, inferSchema=True).collect())
+    assert len(read("raw")) == 3 and read("summary") == [("q", "x", 3.0, 3.0, 1.0, 2.0, 4.0), ("q", "y", 6.0, 6.0, 0.0, 6.0, 6.0)]
+    assert read("comparison") == [("q", "x", 3.0, 1.0), ("q", "y", 6.0, 2.0)]
