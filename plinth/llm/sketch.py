@@ -10,8 +10,10 @@ collision can't keep it going.
 
 Only the changed paragraphs are looked into further: they are cut into cells of a
 few words, at words that their own hash marks, and the cells that both sides have
-count as alike.  Sketches of a batch of texts are built, subtracted and peeled
-together.
+count as alike.  As equal paragraphs have equal cells, that is what all cells of the
+two texts have in common; a fingerprint's second part, the list of its cells, gives
+the same likeness (``likeness_of``).  Sketches of a batch of texts are built,
+subtracted and peeled together.
 """
 
 from __future__ import annotations
@@ -195,6 +197,21 @@ def likeness(a: list[Parts], b: list[Parts]) -> list[float]:
     return out
 
 
+def cell_lists(parts: list[Parts]) -> list[str]:
+    """The digests of each text's cells, sorted: the part of its fingerprint that its likeness is taken from."""
+    return [base64.b64encode(np.sort(p.cells).astype("<u8").tobytes()).decode() for p in parts]
+
+
+def likeness_of(a: str, b: str) -> float:
+    """The likeness of two texts from the lists of their cells (``cell_lists``) alone."""
+    x, y = (np.frombuffer(base64.b64decode(t), dtype="<u8") for t in (a, b))
+    if not len(x) + len(y):
+        return 1.0
+    keys, place = np.unique(np.concatenate((x, y)), return_inverse=True)
+    both = np.minimum(np.bincount(place[: len(x)], minlength=len(keys)), np.bincount(place[len(x) :], minlength=len(keys))).sum()
+    return 2 * float(both) / (len(x) + len(y))
+
+
 def edited(text: str, after: str) -> str:
     """The text with its last third replaced by as much of the beginning of ``after``."""
     n = len(text) // 3
@@ -216,6 +233,7 @@ def together(texts: list[str]) -> Iterator[slice]:
 _OUT = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()),
     T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType()),
+    T.StructField("cells", T.StringType()), T.StructField("edited_cells", T.StringType()),
     T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType()),
 ])
 
@@ -245,7 +263,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: fingerprints of its text and of its edited text, and their likeness.
+    """One row for each row of ``docs``: fingerprints of its text and of its edited text, the lists of their cells, and their likeness.
 
     The next document is the following row by descending id, after the last the
     first; rows that share an id follow each other by their texts, and rows
@@ -261,6 +279,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         columns = (
             [None if doc == -(1 << 63) else doc for doc, _, _ in own], [len(t) for _, t, _ in own], [hashlib.sha256(r).hexdigest() for r in raw],
             sketched([p.paragraphs for p in mine]).texts(), sketched([p.paragraphs for p in theirs]).texts(),
+            cell_lists(mine), cell_lists(theirs),
             likeness(mine, theirs), likeness(mine, [p for _, _, p in after]),
         )
         return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, arrow)], schema=arrow)

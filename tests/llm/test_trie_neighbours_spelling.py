@@ -227,3 +227,14 @@ def test_kept_pieces_are_bounded(monkeypatch):
         assert pieces["often"] == b"often" and pieces[str(i)] == str(i).encode()
         assert len(pieces) + len(pieces.before) <= 10
     assert made.count("often") == 1
+
+
+def test_likeness_follows_from_what_is_returned(spark):
+    """near_edited and near_next are those of the returned lists of cells, whatever order the paragraphs have."""
+    from plinth.llm import sketch
+
+    rows = sorted(sketch.find(spark.read.parquet(f"{SF}/documents.parquet")).collect(), key=lambda r: -r["doc_id"])
+    for r, after in zip(rows, rows[1:] + rows[:1]):
+        assert abs(r["near_edited"] - sketch.likeness_of(r["cells"], r["edited_cells"])) < 1e-12
+        assert abs(r["near_next"] - sketch.likeness_of(r["cells"], after["cells"])) < 1e-12
+    assert sketch.likeness_of("", "") == 1.0 and sketch.likeness_of(rows[0]["cells"], "") == 0.0
