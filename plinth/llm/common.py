@@ -77,6 +77,17 @@ def start_anew() -> None:
         pass  # Only glibc has it.
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark hand batches of ``BATCH_ROWS`` rows and ``BATCH_BYTES`` bytes at most to Python, unless the session asks for fewer rows.
+
+    An executor holds a batch of each of its tasks twice, in the JVM and in the worker.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def built(sent, build: Callable):
     """What ``build`` makes of a broadcast of plain values: made once in a worker and kept with the broadcast.
 
@@ -100,6 +111,7 @@ def map_arrow(
     that goes from stage to stage doesn't hold the tables of all of them.
     """
     arrow = to_arrow(schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start_anew()
@@ -150,6 +162,7 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
 def map_runs(df: DataFrame, keys: list[str], function: Callable[[pa.RecordBatch], dict], schema: T.StructType, order: tuple[str, ...] = ()) -> DataFrame:
     """Shuffle by ``keys``, sort by them and ``order``, and apply ``function`` to batches in which no run of equal keys is cut."""
     arrow = to_arrow(schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start_anew()

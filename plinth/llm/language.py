@@ -159,6 +159,7 @@ _COUNTS = T.StructType([T.StructField("n", T.IntegerType()), T.StructField("toke
 def _counted(df: DataFrame, add) -> DataFrame:
     """Counts of what ``add`` puts from each batch into a Counter by (n, token, lang)."""
     arrow = common.to_arrow(_COUNTS)
+    common.small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.start_anew()

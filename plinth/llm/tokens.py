@@ -240,6 +240,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     points = common.split_points(df.select("doc"), "doc", parts)
     df = df.withColumn("shard", common.range_of(F.col("doc"), points)).repartition(parts, "shard").sortWithinPartitions("shard", "doc", "text")
     arrow = common.to_arrow(_BLOCKS)
+    common.small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = encoder_of(path), np.array([end_id], dtype="<u4")
