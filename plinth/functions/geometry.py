@@ -71,14 +71,3 @@ def instance(template: Column, matrix: Column, boundaries: Column) -> Column:
         F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit("an instance needs a matrix of 16 values"))).otherwise(matrix).alias("matrix"),
         F.when(F.coalesce(F.size(boundaries) != 1, F.lit(True)), F.raise_error(F.lit("an instance needs one vertex"))).otherwise(boundaries).alias("boundaries"),
     )
-
-
-def dequantise(vertices: Column, scale: tuple, translate: tuple) -> Column:
-    """Real-world coordinates of quantised vertices."""
-    return F.transform(vertices, lambda v: F.struct(*((v[a] * s + t).alias(a) for a, s, t in zip("xyz", scale, translate))))
-
-
-def quantised_box(vertices: Column) -> Column:
-    """Least and greatest x, y and z of vertices; null without any."""
-    axis = lambda a: F.transform(vertices, lambda v: v[a])
-    return F.struct(*(f(axis(a)).alias(f"{a}{n}") for n, f in (("min", F.array_min), ("max", F.array_max)) for a in "xyz"))

@@ -256,7 +256,7 @@ def box_candidates(left: DataFrame, right: DataFrame, size: float | None = None)
     cell = F.lit(size) * F.pow(F.lit(4.0), F.col("grid"))
 
     def graded(df: DataFrame) -> DataFrame:
-        width = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+        width = F.greatest(boxes.width(), boxes.height())
         fits = F.filter(grids, lambda g: width <= F.lit(size) * F.pow(F.lit(4.0), g))
         return df.withColumn("own", F.coalesce(F.try_element_at(fits, F.lit(1)), F.lit(GRIDS - 1)))
 
