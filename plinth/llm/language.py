@@ -89,6 +89,11 @@ class Model:
         self.index: dict[str, int] = {}
         self.table, self.held = np.zeros((1024, len(self.languages) + 2)), 0
 
+    @property
+    def added(self) -> list[str]:
+        """The words that the worker's table has rows of now."""
+        return list(self.index)
+
     def known(self, n: int, tokens: list[str]) -> np.ndarray:
         """The log frequencies of those of the tokens that training saw, a row for each."""
         if n not in self.tables:
