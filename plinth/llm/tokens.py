@@ -38,7 +38,7 @@ BLOCK_IDS = 1 << 16
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 #: Entries of a worker's cache of encoded pieces, and the most characters of one.
-CACHED, KEPT_CHARS = 250_000, 64
+CACHED, KEPT_CHARS = 400_000, 64
 #: The array type of 4-byte unsigned integers.
 UNSIGNED = next(c for c in "IL" if array(c).itemsize == 4)
 
