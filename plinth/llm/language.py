@@ -68,6 +68,7 @@ class Model:
 
     def __init__(self, languages: list[str], tables: dict[int, tuple[np.ndarray, np.ndarray]]):
         self.languages, self.tables = languages, tables
+        self.places: dict[int, dict[int, int]] = {}
         self.forget()
 
     @classmethod
@@ -94,14 +95,16 @@ class Model:
         """The words that the worker's table has rows of now."""
         return list(self.index)
 
-    def known(self, n: int, tokens: list[str]) -> np.ndarray:
-        """The log frequencies of those of the tokens that training saw, a row for each."""
+    def known(self, n: int, grams: list[str]) -> np.ndarray:
+        """The log frequencies of those of the n-grams that training saw, a row for each."""
         if n not in self.tables:
             return np.zeros((0, len(self.languages)))
         keys, logs = self.tables[n]
-        wanted = keys_of(tokens)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return logs[at[keys[at] == wanted]]
+        if n not in self.places:
+            # n-grams are few beside the words, and asked for one word at a time.
+            self.places[n] = dict(zip(keys.tolist(), range(len(keys))))
+        places = self.places[n]
+        return logs[[i for g in grams if (i := places.get(xxhash.xxh3_64_intdigest(g))) is not None]]
 
     def unseen(self, word: str) -> np.ndarray:
         """The row of a word that training didn't see: from its longest known n-grams, all 0 without any."""
