@@ -18,7 +18,7 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +37,10 @@ GROUP = 128
 BLOCK_IDS = 1 << 16
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
-#: Entries of a worker's cache of encoded pieces, and the most characters of one.
-CACHED, KEPT_CHARS = 400_000, 64
+#: Entries of a worker's cache of encoded pieces, and the most bytes of one.
+CACHED, KEPT_BYTES = 400_000, 64
+#: Bytes of texts that are cut into pieces at once.
+CUT_BYTES = 1 << 22
 #: The array type of 4-byte unsigned integers.
 UNSIGNED = next(c for c in "IL" if array(c).itemsize == 4)
 
@@ -50,18 +52,34 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     #: Of each place, the selector of the word that would start there.
-    best = np.full(n, ESCAPE, dtype=np.int64)
+    best, top = np.full(n, ESCAPE, dtype=np.uint8), int(ids.max())
     for s in range(SINGLE, -1, -1):
-        k, width = int(COUNTS[s]), np.uint64(WIDTHS[s])
-        if k <= n:
-            large = np.concatenate(([0], np.cumsum((ids >> width) != 0)))
-            best[: n - k + 1][large[k:] == large[:-k]] = s
-    step = COUNTS[best].tolist()
-    at, starts = 0, []
+        k, width = int(COUNTS[s]), int(WIDTHS[s])
+        if k > n:
+            break
+        fits = ids < np.uint64(1 << width) if top >> width else np.ones(n, dtype=bool)
+        run = 1
+        while run < k:
+            more = min(run, k - run)
+            fits, run = fits[:-more] & fits[more:], run + more
+        if not fits.any():
+            # Then no word of more and narrower ids fits either.
+            break
+        best[: n - k + 1][fits] = s
+    # The words' starts follow from each other; a chain of every 16th is followed one by one.
+    after = np.append(np.minimum(np.arange(n) + COUNTS[best], n), n)
+    jump = after
+    for _ in range(4):
+        jump = jump[jump]
+    at, heads = 0, []
     while at < n:
-        starts.append(at)
-        at += step[at]
-    starts = np.array(starts)
+        heads.append(at)
+        at = jump.item(at)
+    starts = [np.array(heads)]
+    for _ in range(15):
+        starts.append(after[starts[-1]])
+    starts = np.stack(starts, axis=1).ravel()
+    starts = starts[starts < n]
     chosen = best[starts]
     where = np.arange(len(starts)) + np.cumsum(chosen == ESCAPE) - (chosen == ESCAPE)
     words = np.zeros(len(starts) + int((chosen == ESCAPE).sum()), dtype=np.uint64)
@@ -132,15 +150,15 @@ class Pieces(dict):
     pieces that were asked for meanwhile.
     """
 
-    def __init__(self, make: Callable[[str], bytes]):
+    def __init__(self, make: Callable[[bytes], bytes]):
         super().__init__()
         self.make, self.before = make, {}
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, piece: bytes) -> bytes:
         ids = self.before.get(piece)
         if ids is None:
             ids = self.make(piece)
-        if len(piece) <= KEPT_CHARS:
+        if len(piece) <= KEPT_BYTES:
             if 2 * len(self) >= CACHED:
                 self.before = dict(self)
                 self.clear()
@@ -148,6 +166,34 @@ class Pieces(dict):
         return ids
 
 
+#: Kinds of bytes in lower-cased texts of Latin-1 letters, digits, ASCII punctuation and white space, as UTF-8: there all from 128 on are of letters.
+SPACE, LETTER, DIGIT, OTHER = range(4)
+KINDS = np.array([SPACE if 9 <= b <= 13 or b == 32 else LETTER if 97 <= b <= 122 or b >= 128 else DIGIT if 48 <= b <= 57 else OTHER for b in range(256)], dtype=np.uint8)
+#: Lower-cases such texts: of a two-byte letter the second byte tells the case.
+LOWER = bytes(b + 32 if 65 <= b <= 90 or 0x80 <= b <= 0x9E else b for b in range(256))
+
+
+def piece_starts(data: np.ndarray) -> np.ndarray:
+    """Where the pieces and runs of white space begin in the bytes of such lower-cased texts, which end with three of white space.
+
+    A piece is a run of letters, a digit, a run of other characters, or one of
+    's 't 're 've 'm 'll 'd whose apostrophe begins a run.
+    """
+    kind = KINDS[data]
+    new = np.empty(len(data), dtype=bool)
+    new[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=new[1:])
+    new |= kind == DIGIT
+    quotes = np.flatnonzero((data == ord("'")) & new)
+    first, second = data[quotes + 1], data[quotes + 2]
+    short = np.isin(first, list(b"stmd"))
+    long = (second == ord("e")) & np.isin(first, list(b"rv")) | (first == ord("l")) & (second == ord("l"))
+    new[quotes[short | long] + 1] = False
+    new[quotes[short] + 2] = True
+    new[quotes[long] + 3] = True
+    return np.flatnonzero(new)
+
+
 #: The rules that ``Encoder`` cuts texts by.  Fixed values: normaliser and pre-tokeniser of ``word_bpe_49k.json``.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [
@@ -170,13 +216,12 @@ class Encoder:
     A file of other rules than ``known_rules`` gets whole texts.  Else the tokenizer drops white space and never joins characters across it, so a
     text's ids are those of its words.  Texts of Latin-1 letters, digits, ASCII
     punctuation and white space are cut into pieces here by the tokenizer's own
-    rule and each piece is encoded by its model.  In other texts that is done
-    word by word, and a word of other characters, or one that holds the
-    beginning of a special token, is encoded whole by the library.
+    rule, many texts at a time, and each different piece is encoded by its model.
+    In other texts that is done word by word, and a word of other characters, or
+    one that holds the beginning of a special token, is encoded whole by the library.
     """
 
     PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-z0-9à-öø-ÿß\t-\r ]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -189,27 +234,66 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.shown = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in shown)}
 
-    def piece(self, piece: str) -> bytes:
-        mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.shown)
+    def piece(self, piece: bytes) -> bytes:
+        if piece.isspace():
+            return b""
+        mapped = piece.decode() if piece.isascii() else piece.decode("latin-1").translate(self.shown)
         return array(UNSIGNED, [t.id for t in self.tokenize(mapped)]).tobytes()
 
-    def whole(self, word: str) -> bytes:
-        return array(UNSIGNED, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-
-    def plain(self, text: str) -> bool:
-        return "<|" not in text and self.PLAIN.fullmatch(text) is not None
-
-    def cut(self, text: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.PIECES.findall(text.lower())))
+    def whole(self, word: bytes) -> bytes:
+        return array(UNSIGNED, self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+
+    def plain(self, text: bytes) -> bool:
+        return b"<|" not in text and self.PLAIN.fullmatch(text.decode()) is not None
+
+    def cut(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each of some plain texts."""
+        data = b"\n".join([*texts, b"\n\n"]).translate(LOWER)
+        starts = piece_starts(np.frombuffer(data, dtype=np.uint8))
+        ends = np.append(starts, len(data)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
+        found = list(map(self.pieces.__getitem__, pieces.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        ids, lengths = np.frombuffer(b"".join(found), dtype="<u4"), np.fromiter(map(len, found), np.int32, len(found)) // 4
+        which = pieces.indices.to_numpy()
+        n = lengths[which]
+        after = np.cumsum(n, dtype=np.int32)
+        made = ids[np.repeat((np.cumsum(lengths, dtype=np.int32) - lengths)[which] - after + n, n) + np.arange(after[-1], dtype=np.int32)]
+        # White space before a text belongs to a run that began earlier, and has no ids.
+        begins = np.cumsum([0, *(len(x) + 1 for x in texts)])
+        at = np.append(0, after)[np.searchsorted(starts, begins)].tolist()
+        return [made[a:b] for a, b in zip(at, at[1:])]
+
+    def cut_all(self, texts: Iterable[bytes]) -> Iterator[np.ndarray]:
+        """The same, some ``CUT_BYTES`` at a time, to bound what is held; longer texts are parted before white space."""
+        held, size = [], 0
+        for text in texts:
+            if size + len(text) > CUT_BYTES:
+                yield from self.cut(held)
+                held, size = [], 0
+            if len(text) > CUT_BYTES:
+                parts = re.findall(rb"(?s:.{1,%d})[^\t-\r ]*" % CUT_BYTES, text)
+                yield np.concatenate([self.cut([x])[0] for x in parts])
+            else:
+                held.append(text)
+                size += len(text)
+        yield from self.cut(held)
+
+    def mixed(self, text: bytes) -> np.ndarray:
+        """The ids of a text that isn't plain."""
+        words = text.split()
+        plain = [self.plain(w) for w in words]
+        own = self.cut_all(w for w, p in zip(words, plain) if p)
+        return np.concatenate([np.empty(0, "<u4"), *(next(own) if p else np.frombuffer(self.words[w], dtype="<u4") for w, p in zip(words, plain))])
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not self.known:
+            return [np.frombuffer(self.whole(x), dtype="<u4") for x in texts]
+        plain = [self.plain(x) for x in texts]
+        own = self.cut_all(x for x, p in zip(texts, plain) if p)
+        return [next(own) if p else self.mixed(x) for x, p in zip(texts, plain)]
 
     def encode(self, text: bytes) -> np.ndarray:
-        string = text.decode()
-        if not self.known:
-            return np.frombuffer(self.whole(string), dtype="<u4")
-        if self.plain(string):
-            return np.frombuffer(self.cut(string), dtype="<u4")
-        words = (w.decode() for w in text.split())
-        return np.frombuffer(b"".join([self.cut(w) if self.plain(w) else self.words[w] for w in words]), dtype="<u4")
+        return self.encode_all([text])[0]
 
 
 def encoder_of(path: str) -> Encoder:
@@ -252,8 +336,9 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
             return pa.RecordBatch.from_arrays([pa.array([x], type=f.type) for x, f in zip(row, arrow)], schema=arrow)
 
         for batch in common.pieces(batches):
-            for own, doc, text in zip(batch.column("shard").to_pylist(), batch.column("doc").to_pylist(), common.utf8(batch.column("text"))):
-                ids = np.concatenate((encoder.encode(text), end))
+            encoded = encoder.encode_all(common.utf8(batch.column("text")))
+            for own, doc, ids in zip(batch.column("shard").to_pylist(), batch.column("doc").to_pylist(), encoded):
+                ids = np.concatenate((ids, end))
                 if held and (own != shard or n + len(ids) > BLOCK_IDS):
                     yield made()
                     block, first = block + 1, first + n

@@ -376,6 +376,42 @@ def test_other_tokenizers_get_whole_texts():
     assert tokens.Encoder(path).encode(text.encode()).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+def test_texts_are_cut_together(monkeypatch):
+    """Many texts' ids are the library's for each whole text, and each different piece is asked for once for all of them."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path(tokens.TOKENIZER), random.Random(3)
+    whole, own = Tokenizer.from_file(path), tokens.Encoder(path)
+    plain = list("''''sStTrReEvVmMlLdDaAzZ09 \t\n\x0b\x0c\r--..<|>ÀÞßàþÿÖØöø")
+    texts = ["".join(rng.choice(plain + more) for _ in range(rng.randrange(60))) for more in ([], list("×÷\x1c\x85\xa0ªµΣİ中😀\u0301H")) for _ in range(800)]
+    ids = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in own.encode_all([t.encode() for t in texts])] == ids
+    monkeypatch.setattr(tokens, "CUT_BYTES", 20)
+    assert [x.tolist() for x in own.encode_all([t.encode() for t in texts])] == ids
+    assert own.encode_all([]) == [] and [len(x) for x in own.encode_all([b"", b" \n", b""])] == [0, 0, 0]
+    monkeypatch.undo()
+
+    asked = []
+    own.pieces = type("Asked", (), {"__getitem__": lambda self, piece: asked.append(piece) or own.piece(piece)})()
+    own.encode_all([b"the same Words, the same words again"] * 100)
+    assert len(asked) == len(set(asked)) == 8
+
+
+def test_simple8b_words_are_greedy():
+    rng = np.random.default_rng(5)
+    for top in (0, 1, 300, 50_000, 1 << 30, (1 << 60) - 1, 1 << 60, (1 << 64) - 1):
+        for n in (1, 2, 59, 60, 61, 2000):
+            ids = rng.integers(0, top, n, dtype=np.uint64, endpoint=True)
+            ids[rng.random(n) < 0.5] = 0
+            want, at, values = [], 0, ids.tolist()
+            while at < n:
+                s = next((s for s in range(tokens.SINGLE + 1) if at + tokens.COUNTS[s] <= n and not any(x >> int(tokens.WIDTHS[s]) for x in values[at : at + tokens.COUNTS[s]])), tokens.ESCAPE)
+                want += [tokens.ESCAPE << 60, values[at]] if s == tokens.ESCAPE else [s << 60 | sum(x << i * int(tokens.WIDTHS[s]) for i, x in enumerate(values[at : at + tokens.COUNTS[s]]))]
+                at += int(tokens.COUNTS[s])
+            assert tokens.encode(ids)[0].tolist() == want
+
+
 def test_odd_values(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "mit license\nMIT license"), (4, "mit license\nMIT license"), (None, "apache license")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"labels": F.lit(1), "spans": F.lit(2), "ids_crc32": F.lit(3), "n_base": F.lit(4)})
